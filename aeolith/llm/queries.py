@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, resample, sanitise, toxicity
+from . import decontaminate, licenses, mixing, resample, sanitise, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.weighted_by_labels(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), _table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, ["doc_id"], weight=F.col("__weight"))
+
+
 def op10_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sanitise.sanitise(_table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op5_decontamination": op5_decontamination,
     "op7_license_scan": op7_license_scan,
+    "op8_source_mixing": op8_source_mixing,
     "op10_sanitisation": op10_sanitisation,
 }
 
@@ -92,4 +98,22 @@ its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op8_source_mixing": r"""
+WITH k AS (SELECT doc_id, max(CASE quality WHEN 1 THEN 1.0 WHEN 0 THEN 0.25 END) AS w FROM labels GROUP BY 1),
+d AS (SELECT documents.doc_id, source IS NULL AS s_null, coalesce(source, '') AS s_key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    -ln((CAST(CAST('0x' || substr(md5('0|' || coalesce(CAST(documents.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / CAST(coalesce(w, 0.75) AS DOUBLE) AS key
+  FROM documents LEFT JOIN k USING (doc_id)),
+s AS (SELECT s_null, s_key, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY ALL),
+w AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY s_null, s_key) - 1) % 3 AS DOUBLE) AS weight, 3.0 * source_size AS cap FROM s),
+p AS (SELECT *, row_number() OVER (ORDER BY CAST(cap AS DOUBLE) / weight, s_null, s_key) AS place FROM w),
+l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(CAST(cap AS DOUBLE)) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM p),
+f AS (SELECT *, min(CASE WHEN CAST(cap AS DOUBLE) / weight > level THEN place END) OVER () AS first FROM l),
+t AS (SELECT *, CASE WHEN first IS NULL OR place < first THEN CAST(cap AS DOUBLE) ELSE least(weight * max(CASE WHEN place = first THEN level END) OVER (), CAST(cap AS DOUBLE)) END AS target FROM f),
+b AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
+    CAST(coalesce(sum(size) OVER (PARTITION BY d.s_null, d.s_key ORDER BY key, CAST(doc_id AS VARCHAR), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM d JOIN t ON d.s_null = t.s_null AND d.s_key = t.s_key),
+e AS (SELECT *, target - whole * source_size AS rest FROM b),
+g AS (SELECT *, whole + CASE WHEN 2 * before + size <= 2 * rest AND rest > 0 THEN 1 ELSE 0 END AS epochs FROM e)
+SELECT doc_id, size, source_size, target, epochs, size * epochs AS taken FROM g""",
 }
