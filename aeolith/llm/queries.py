@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, resample, sanitise, toxicity
+from . import decontaminate, licenses, mixing, resample, sanitise, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,12 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.importance_resampling(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ["doc_id"])
 
 
+def op2_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, listed = warc.write_archives(_table(spark, sf_dir, "pages"))
+    out = warc.reassembled(warc.read_records(spark, folder, listed))
+    return out.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def _held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2
 
@@ -74,6 +80,7 @@ def op10_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_importance_resampling": op1_importance_resampling,
+    "op2_warc_reassembly": op2_warc_reassembly,
     "op3_toxicity": op3_toxicity,
     "op5_decontamination": op5_decontamination,
     "op7_license_scan": op7_license_scan,
@@ -85,6 +92,14 @@ _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 _WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE: dict[str, str] = {
+    "op2_warc_reassembly": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda c: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', c)]), '') AS bits FROM p),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, hex,
+  array_to_string(list_transform(range(0, 32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, CAST(5 * g + 1 AS BIGINT), 1) AS INT) + 8 * CAST(substr(bits, CAST(5 * g + 2 AS BIGINT), 1) AS INT)
+    + 4 * CAST(substr(bits, CAST(5 * g + 3 AS BIGINT), 1) AS INT) + 2 * CAST(substr(bits, CAST(5 * g + 4 AS BIGINT), 1) AS INT) + CAST(substr(bits, CAST(5 * g + 5 AS BIGINT), 1) AS INT), 1)), '') AS payload_digest FROM b),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM m""",
     "op5_decontamination": rf"""
 WITH d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM benchmark),
