@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, resample, sanitise, toxicity, warc
+from . import decontaminate, forest, licenses, mixing, resample, sanitise, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, ["doc_id"], weight=F.col("__weight"))
 
 
+def op9_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sanitise.sanitise(_table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op5_decontamination": op5_decontamination,
     "op7_license_scan": op7_license_scan,
     "op8_source_mixing": op8_source_mixing,
+    "op9_embedding_neighbours": op9_embedding_neighbours,
     "op10_sanitisation": op10_sanitisation,
 }
 
@@ -131,4 +136,11 @@ b AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor
 e AS (SELECT *, target - whole * source_size AS rest FROM b),
 g AS (SELECT *, whole + CASE WHEN 2 * before + size <= 2 * rest AND rest > 0 THEN 1 ELSE 0 END AS epochs FROM e)
 SELECT doc_id, size, source_size, target, epochs, size * epochs AS taken FROM g""",
+    "op9_embedding_neighbours": """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v AS x JOIN v AS y ON x.label = y.label AND x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.93),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
 }
