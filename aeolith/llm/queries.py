@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, forest, licenses, mixing, resample, sanitise, toxicity, warc
+from . import decontaminate, forest, jaccard, licenses, mixing, resample, sanitise, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan_licenses(_table(spark, sf_dir, "documents"), ["doc_id"])
     at = F.col("base.at")
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op2_warc_reassembly": op2_warc_reassembly,
     "op3_toxicity": op3_toxicity,
     "op5_decontamination": op5_decontamination,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_license_scan": op7_license_scan,
     "op8_source_mixing": op8_source_mixing,
     "op9_embedding_neighbours": op9_embedding_neighbours,
