@@ -149,7 +149,8 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str
     size = listed.agg(F.coalesce(F.sum(F.octet_length("body") + 16), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("item", "body"), F.lit(blocks))
-    out = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("text")).selectExpr("row", "text", "0L AS n_words", "CAST(array() AS array<bigint>) AS spans", "CAST(array() AS array<string>) AS items")
+    rest = [F.col(c) for c in keep if c != text] or [F.lit(0).alias("none")]
+    out = docs.select(F.struct(*rest).alias("row"), F.col(text).alias("text")).selectExpr("row", "text", "0L AS n_words", "CAST(array() AS array<bigint>) AS spans", "CAST(array() AS array<string>) AS items")
     texts = docs.select(F.col(text).alias("text"))
     for number in range(blocks):
         index = WindowIndex([tuple(r) for r in listed.where(block == number).collect()], width)  # a block is bounded by BLOCK_BYTES
@@ -159,7 +160,8 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text: str
         if number + 1 < blocks:
             out = stored(out, "contamination")
     hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.select("row.*", "n_words", hit.alias("n_hit"), "spans", "items")
+    kept = [F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in keep]
+    return out.select(*kept, "n_words", hit.alias("n_hit"), "spans", "items")
 
 
 def is_contaminated(one_in: int = 20):

@@ -115,11 +115,14 @@ def importance_resampling(
     shared = spark.sparkContext.broadcast(ratio)
 
     def scored(frame: DataFrame, columns: list[str]) -> DataFrame:
-        rows = frame.select(F.struct(F.col(text).alias("__text"), F.col(key).alias("__key"), *columns).alias("row"))
+        # the text once, at place 0, and the key at place 1
+        order = list(dict.fromkeys([text, key, *columns]))
+        rows = frame.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order)]).alias("row"))
         out = rows.mapInArrow(_weigh(shared, buckets), f"row {rows.schema['row'].dataType.simpleString()}, log_weight double")
-        return out.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("row.__key"), F.col("row.__text"), F.lit(seed)))
+        noise = gumbel(F.col("row.c1"), F.col("row.c0"), F.lit(seed))
+        return out.select(*[F.col(f"row.c{order.index(c)}").alias(c) for c in columns], "log_weight", (F.col("log_weight") + noise).alias("gumbel_key"))
 
     given = spark.createDataFrame([(r.id, int(r.good)) for r in sample], "__id long, __good int")  # at most max_labelled rows
-    known = scored(docs.join(F.broadcast(given), F.col(key).cast("long") == F.col("__id")), ["__good"]).select("gumbel_key", "row.__good").collect()
+    known = scored(docs.join(F.broadcast(given), F.col(key).cast("long") == F.col("__id")), ["__good"]).select("gumbel_key", "__good").collect()
     border = _threshold(np.array([r.gumbel_key for r in known]), np.array([r["__good"] == 1 for r in known], bool))
-    return scored(docs, keep).select(*[F.col("row")[c].alias(c) for c in keep], "log_weight", "gumbel_key", (F.col("gumbel_key") > border).alias("selected"))
+    return scored(docs, keep).withColumn("selected", F.col("gumbel_key") > border)
