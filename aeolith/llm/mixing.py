@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 MAX_EPOCHS = 3
 #: Key ranges of a source.
 RANGES = 1024
@@ -53,44 +55,47 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return final.select("s_null", "s_key", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, keep: list[str], text: str = "text", source: str = "source", identity: str = "doc_id", weight: Column | None = None, seed: int = 0, ranges: int = RANGES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, keep: list[str], text: str = "text", source: str = "source", identity: str = "doc_id", weights: DataFrame | None = None, unlabelled: float = 0.75, seed: int = 0, ranges: int = RANGES, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The columns ``keep`` with size, source_size, target, epochs (times the document is taken) and taken (words).
 
-    Null and empty texts have size 0 and take nothing; a null source is a source of
-    its own, the last; rows of one identity have one key, and identical rows are
-    interchangeable; a weight that is null or not above 0 counts as 1.  Reruns agree.
+    ``weights`` has a ``__weight`` for each ``__key``, an identity; others weigh
+    ``unlabelled``, and a weight that is null or not above 0 counts as 1.  Null and
+    empty texts have size 0 and take nothing; a null source is a source of its own,
+    the last; rows of one identity, source and size are taken together.  Reruns
+    agree.  Texts are read for their sizes and joined to the decisions at last:
+    they are never sorted or windowed.
     """
-    weight = F.lit(1.0) if weight is None else F.when(weight > 0, weight).otherwise(1.0).cast("double")
     rows = docs.select(
         F.struct(*keep).alias("row"),
         F.col(source).isNull().alias("s_null"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s_key"),
-        document_size(F.col(text)).alias("size"),
         F.coalesce(F.col(identity).cast("string"), F.lit("")).alias("identity"),
-        exponential_key(F.col(identity), weight, seed).alias("key"),
+        document_size(F.col(text)).alias("size"),
     )
-    rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int"))
-    slim = rows.select("s_null", "s_key", "range", "size")
-    by_range = slim.groupBy("s_null", "s_key", "range").agg(F.sum("size").alias("range_size"))
+    unit = ["s_null", "s_key", "identity", "size"]
+    units = rows.groupBy(*unit).agg(F.count("*").alias("copies"))
+    if weights is not None:
+        units = units.join(weights.select(F.col("__key").cast("string").alias("identity"), "__weight"), "identity", "left")
+    else:
+        units = units.withColumn("__weight", F.lit(1.0))
+    weight = F.coalesce("__weight", F.lit(unlabelled)).cast("double")
+    units = units.withColumn("key", exponential_key(F.col("identity"), F.when(weight > 0, weight).otherwise(1.0), seed))
+    units = units.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int")).withColumn("words", F.col("size") * F.col("copies"))
+    units = stored(units.select(*unit, "key", "range", "words"), "units")
+    by_range = units.groupBy("s_null", "s_key", "range").agg(F.sum("words").alias("range_size"))
     by_source = by_range.groupBy("s_null", "s_key").agg(F.sum("range_size").alias("source_size"))
     earlier = Window.partitionBy("s_null", "s_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_range.withColumn("start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
     plan = starts.join(source_targets(by_source, max_epochs), ["s_null", "s_key"]).select("s_null", "s_key", "range", "start", "source_size", "target")
     own = Window.partitionBy("s_null", "s_key", "range").orderBy("key", "identity", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(plan, ["s_null", "s_key", "range"]).withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(own), F.lit(0)))
+    out = units.join(plan, ["s_null", "s_key", "range"]).withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(own), F.lit(0)))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     out = out.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    extra = (2 * F.col("before") + F.col("size") <= 2 * F.col("rest")) & (F.col("rest") > 0)
-    out = out.withColumn("epochs", F.col("whole") + extra.cast("long"))
-    return out.select("row.*", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"))
+    extra = (2 * F.col("before") + F.col("words") <= 2 * F.col("rest")) & (F.col("rest") > 0)
+    decided = out.select(*unit, "source_size", "target", (F.col("whole") + extra.cast("long")).alias("epochs"))
+    return rows.join(decided, unit).select("row.*", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"))
 
 
 def label_weight(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
     """(__key, __weight): 1 for rows labelled good, 0.25 for others, the larger of several."""
     return labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(F.when(F.col(label) == 1, 1.0).when(F.col(label) == 0, 0.25)).alias("__weight"))
-
-
-def weighted_by_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", unlabelled: float = 0.75) -> DataFrame:
-    """docs with a column ``__weight``."""
-    known = label_weight(labels, key)
-    return docs.join(known, docs[key] == known["__key"], "left").drop("__key").withColumn("__weight", F.coalesce("__weight", F.lit(unlabelled)))

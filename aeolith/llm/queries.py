@@ -72,8 +72,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.weighted_by_labels(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), _table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, ["doc_id"], weight=F.col("__weight"))
+    return mixing.mix(_table(spark, sf_dir, "documents"), ["doc_id"], weights=mixing.label_weight(_table(spark, sf_dir, "labels")))
 
 
 def op9_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,8 +44,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the number of times."""
-    weighted = mixing.weighted_by_labels(docs, _read(spark, sf_dir, "labels"))
-    return mixing.mix(weighted, docs.columns, weight=F.col("__weight")).where("epochs > 0")
+    weights = mixing.label_weight(_read(spark, sf_dir, "labels"))
+    return mixing.mix(docs, docs.columns, weights=weights).where("epochs > 0")
 
 
 STAGES = [
