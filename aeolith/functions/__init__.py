@@ -1 +1 @@
-"""."""
+"""Column functions: every one takes and returns Columns and stays inside the JVM."""

@@ -1 +1 @@
-"""."""
+"""Statistics over streams of facts."""
