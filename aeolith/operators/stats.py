@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from aeolith.functions.quantiles import knots
 from aeolith.functions.scaling import clean
 
-#: The spread over the whole period is that of a sample, in groups that of a population.
 _MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 Aggregate = Callable[[Column], Column]
 
@@ -64,7 +63,7 @@ def stats(facts: DataFrame, dataset: str, statistics: Sequence[str] = ("mean", "
 
 def label(month: Column, hour: Column, statistic: str) -> Column:
     """The name of a column of the wide form: mean, Jan_mean, 00:00UTC_mean, Jan-00:00UTC_mean."""
-    m = F.element_at(F.array(*[F.lit(x) for x in _MONTHS]), month)
+    m = F.when(month.isNotNull(), F.get(F.array(*[F.lit(x) for x in _MONTHS]), month - 1))
     h = F.when(hour.isNotNull(), F.format_string("%02d:00UTC", hour))
     return F.concat_ws("_", F.nullif(F.concat_ws("-", m, h), F.lit("")), F.lit(statistic))
 
