@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import drop, stored
 
 
+_SIEVE_BITS = 21
+
+
+def sieve(wanted: DataFrame, key: str, frame: DataFrame, by: Column) -> DataFrame:
+    """frame without most rows whose ``by`` is no wanted key.
+
+    A bitmap of fixed size (256 KB) is filled by an aggregate and read as one
+    constant, so rows that no join needs are dropped before its shuffle.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(1 << _SIEVE_BITS))
+    bits = wanted.select(bucket.alias("b")).selectExpr("CAST(shiftright(b, 6) AS int) AS word", "shiftleft(1L, CAST(b & 63 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    rows = {r.word: r.bits for r in bits.collect()}  # at most 2 ** 15 rows
+    packed = frame.sparkSession.createDataFrame([([rows.get(i, 0) for i in range(1 << (_SIEVE_BITS - 6))],)], "bits array<long>")
+    marked = frame.withColumn("__at", F.pmod(F.xxhash64(by), F.lit(1 << _SIEVE_BITS)))
+    word = F.get(packed.scalar(), F.expr("CAST(shiftright(__at, 6) AS int)"))
+    return marked.where(word.bitwiseAND(F.expr("shiftleft(1L, CAST(__at & 63 AS int))")) != 0).drop("__at")
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for all nodes of the links (a, b); a component is named by its smallest node.
 
-    Each round takes the smallest label among a node and its neighbours, then the
-    label of that label, so chains halve.  Rounds are written to the shared
-    folder, which cuts lineage.
+    First every node hands its smaller neighbours over to the smallest of them,
+    which leaves few links of groups that many buckets found.  Then each round takes the smallest label among a node and its neighbours, then the
+    label of that label, so chains halve.  Rounds are written to the shared folder,
+    which cuts lineage.
     """
-    links = links.select("a", "b").where("a <> b")
+    links = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    lowest = links.groupBy("b").agg(F.min("a").alias("m"))
+    handed = links.join(lowest, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    links = lowest.select(F.col("m").alias("a"), "b").unionByName(handed).distinct()
     both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
     while True:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, in_blocks
+from .components import connected_components, in_blocks, sieve
 from .storage import stored
 from .tokens import Slab, chain, mix, slabs
 
@@ -192,14 +192,18 @@ def near_documents(docs: DataFrame, text: str = "text", identity: str = "doc_id"
     classes = stored(worded.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count_distinct("id").alias("copies")), "classes")
     bands = worded.join(classes.select("h1", "h2", "node"), ["h1", "h2"]).where("id = node").select("node", F.explode("bands").alias("band"))
     buckets = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("band", "hub")
-    clusters = connected_components(bands.join(buckets, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    buckets = stored(buckets, "buckets")
+    # most bands stand alone: they, and below the texts outside all clusters, never reach a shuffle
+    shared = sieve(buckets, "band", bands, F.col("band")).join(buckets.hint("merge"), "band")
+    clusters = connected_components(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     copies = classes.groupBy("node").agg(F.max("copies").alias("copies"))
     members = stored(clusters.select("node", F.col("component").alias("cluster")).join(copies, "node"), "members")
     many = members.count()
     cut = in_blocks(members, ["cluster"], "node", block)
     # small clusters share tasks
     bins = F.when(F.col("hi") > 0, F.xxhash64("cluster", "lo", "hi")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(max(1, many // (2 * block)))))
-    texts = cut.join(rows, cut.node == rows.id).select("cluster", "node", "part", "copies", "lo", "hi", "text", bins.alias("bin"))
+    wanted = sieve(members, "node", rows.where("id IS NOT NULL"), F.col("id")).hint("merge")
+    texts = cut.join(wanted, cut.node == wanted.id).select("cluster", "node", "part", "copies", "lo", "hi", "text", bins.alias("bin"))
     found = texts.groupBy("bin", "lo", "hi").applyInArrow(_verify(threshold, least_matches(threshold, tolerance)), "node long, others long, hub long")
     found = stored(found, "links")
     linked = found.groupBy("node").agg(F.sum("others").alias("others"))
