@@ -117,3 +117,10 @@ def expand_spatial(values: DataFrame, times: DataFrame) -> DataFrame:
     only while Spark's size estimate allows it.
     """
     return values.join(times.select("ts").distinct())
+
+
+def spectrum(facts: DataFrame, dataset: str, frequencies: Sequence[float], directions: Sequence[float]) -> DataFrame:
+    """Nested arrays (frequency, direction) of each site and time as rows: gid, ts, frequency, direction and the value."""
+    f, d = (F.array(*[F.lit(float(x)) for x in axis]) for axis in (frequencies, directions))
+    rows = facts.select("gid", "ts", F.posexplode(dataset).alias("i", "row")).select("gid", "ts", "i", F.posexplode("row").alias("j", dataset))
+    return rows.select("gid", "ts", F.get(f, F.col("i")).alias("frequency"), F.get(d, F.col("j")).alias("direction"), dataset)

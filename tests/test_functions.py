@@ -139,3 +139,18 @@ def test_units(spark):
     assert unit(300.0, "temperature", "pv", 290.0, 250.0) == pytest.approx(26.85)
     assert unit(300.0, "temperature", "geothermal", 290.0, 250.0) == 300
     assert one(spark, units.clamped(F.lit(140.0), "windspeed", "windpower")) == 120
+
+
+def test_dates(spark):
+    import datetime as dt
+
+    from aeolith.functions import dates
+
+    assert dates.date_of("20120229") == dt.date(2012, 2, 29)
+    for bad in ("2012022", "19000101", "20121301"):
+        with pytest.raises(ValueError):
+            dates.date_of(bad)
+    assert one(spark, dates.date_from_int(F.col("x")), x=20120301) == dt.date(2012, 3, 1)
+    assert one(spark, dates.time_in_name(F.col("p")), p="/a/out_2010-07-04_05:06:07.parquet") == dt.datetime(2010, 7, 4, 5, 6, 7)
+    assert one(spark, dates.time_in_name(F.col("p"), "%Y%m%d"), p="/a/x_20100704.parquet") == dt.datetime(2010, 7, 4)
+    assert one(spark, dates.time_in_name(F.col("p")), p="/a/none.parquet") is None

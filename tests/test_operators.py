@@ -179,3 +179,14 @@ def test_stream_equals_batch(spark, facts, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, windowed_stats(facts, "windspeed_80m", "1 day").collect()))
+
+
+def test_spectrum(spark):
+    df = spark.createDataFrame([(0, 5, [[1.0, 2.0], [3.0, 4.0]])], "gid long, ts long, s array<array<double>>")
+    assert [tuple(r)[2:] for r in select.spectrum(df, "s", [0.1, 0.2], [90, 180]).collect()] == [(0.1, 90.0, 1.0), (0.1, 180.0, 2.0), (0.2, 90.0, 3.0), (0.2, 180.0, 4.0)]
+
+
+def test_h5_source_is_importable_without_its_library():
+    from aeolith.sources import h5
+
+    assert h5.H5Source.name() == "resource_h5"
