@@ -8,22 +8,33 @@ from pyspark.sql import functions as F
 from .storage import drop, stored
 
 
-_SIEVE_BITS = 21
+_SIEVE_BITS = 23
 
 
-def sieve(wanted: DataFrame, key: str, frame: DataFrame, by: Column) -> DataFrame:
-    """frame without most rows whose ``by`` is no wanted key.
-
-    A bitmap of fixed size (256 KB) is filled by an aggregate and read as one
-    constant, so rows that no join needs are dropped before its shuffle.
-    """
+def _sieved(wanted: DataFrame, key: str, frame: DataFrame, by: Column) -> tuple[DataFrame, Column]:
     bucket = F.pmod(F.xxhash64(key), F.lit(1 << _SIEVE_BITS))
     bits = wanted.select(bucket.alias("b")).selectExpr("CAST(shiftright(b, 6) AS int) AS word", "shiftleft(1L, CAST(b & 63 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    rows = {r.word: r.bits for r in bits.collect()}  # at most 2 ** 15 rows
+    rows = {r.word: r.bits for r in bits.collect()}  # at most 2 ** 17 rows
     packed = frame.sparkSession.createDataFrame([([rows.get(i, 0) for i in range(1 << (_SIEVE_BITS - 6))],)], "bits array<long>")
     marked = frame.withColumn("__at", F.pmod(F.xxhash64(by), F.lit(1 << _SIEVE_BITS)))
     word = F.get(packed.scalar(), F.expr("CAST(shiftright(__at, 6) AS int)"))
-    return marked.where(word.bitwiseAND(F.expr("shiftleft(1L, CAST(__at & 63 AS int))")) != 0).drop("__at")
+    return marked, word.bitwiseAND(F.expr("shiftleft(1L, CAST(__at & 63 AS int))")) != 0
+
+
+def sieve(wanted: DataFrame, key: str, frame: DataFrame, by: Column) -> DataFrame:
+    """frame without most rows whose ``by`` is no wanted key.
+
+    A bitmap of fixed size (1 MB) is filled by an aggregate and read as one
+    constant, so rows that no join needs are dropped before its shuffle.
+    """
+    marked, there = _sieved(wanted, key, frame, by)
+    return marked.where(there).drop("__at")
+
+
+def parted(wanted: DataFrame, key: str, frame: DataFrame, by: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a wanted key, rows that have none), by the same bitmap."""
+    marked, there = _sieved(wanted, key, frame, by)
+    return marked.where(there).drop("__at"), marked.where(~there).drop("__at")
 
 
 def connected_components(links: DataFrame) -> DataFrame:

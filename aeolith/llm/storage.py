@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,8 +28,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read back: lineage ends here, and lost executors lose none of it."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    was = spark.conf.get(_CLEANUP, None)
+    # once the table is written, nothing reads the shuffle files behind it
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
