@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeolith.llm import decontaminate, jaccard, lines, mixing, resample
+from aeolith.llm.components import parted
 from aeolith.llm.storage import stored
 
 #: SQL can express neither the hashed models nor the MinHash and SimHash searches.
@@ -32,8 +33,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    gone = jaccard.near_documents(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = stored(jaccard.near_documents(docs).where("NOT kept").select("doc_id").distinct(), "near-duplicates")
+    # texts of documents that surely stay are not shuffled
+    maybe, stay = parted(gone, "doc_id", docs, F.col("doc_id"))
+    return maybe.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns).unionByName(stay)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
