@@ -47,7 +47,7 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 1, metric: str = "plan
     if count <= ARRAY_SITES:
         packed = sites.agg(F.collect_list(F.struct("latitude", "longitude", "gid")).alias("sites"))
         near = F.transform("sites", lambda s: F.struct(distance(F.col("plat"), F.col("plon"), s["latitude"], s["longitude"]).alias("distance"), s["gid"].alias("gid")))
-        ranked = points.join(F.broadcast(packed)).select("point", F.slice(F.array_sort(near), 1, k).alias("near"))
+        ranked = points.join(F.broadcast(packed)).select("point", (F.array(F.array_min(near)) if k == 1 else F.slice(F.array_sort(near), 1, k)).alias("near"))
     else:
         ranked = _by_cells(points, sites, k, metric, max(math.sqrt((north - south) * (east - west) / count * max(k, 2)), 1e-6), max(north - south, east - west))
     return ranked.select("point", F.posexplode("near").alias("rank", "n")).select("point", F.col("n.gid").alias("gid"), F.col("n.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
