@@ -256,6 +256,32 @@ def test_dedup_equals_brute_force_components(spark, prose):
     assert got == want and want
 
 
+def test_dedup_finds_every_similar_pair(spark, prose, capsys):
+    """Pairs of lines against edit similarity alone: at the threshold exactly, for many lengths, with words replaced, left out and put in."""
+    rng = random.Random(8)
+    pairs = []
+    for n in (4, 5, 6, 9, 10, 14, 15, 20, 50, 100):
+        for _ in range(12):
+            a = [f"w{rng.randrange(10**9):x}" for _ in range(n)]
+            b, k = list(a), n // 5
+            for i in sorted(rng.sample(range(n), k), reverse=True):
+                b[i : i + 1] = rng.choice(([], ["new" + b[i]], [b[i], "put" + b[i]])) if n > 5 else ["new" + b[i]]
+            if n == 4:
+                b.insert(rng.randrange(5), "put")
+            pairs.append((n, " ".join(a), " ".join(b)))
+    long = [f"v{i}" for i in range(9000)]
+    pairs.append((9000, " ".join(long), " ".join(["x", *long[2:]])))
+    pairs.append((10, " ".join(["x", "y"] * 5), " ".join(["x", "y"] * 3 + ["z", "y", "z", "y"])))
+    docs = documents(spark, [row for i, (_, a, b) in enumerate(pairs) for row in ((2 * i, a), (2 * i + 1, b))])
+    gone = {r.doc_id for r in lines.dedup_lines(docs, ["doc_id"]).collect() if r.n_dropped}
+    want = [(n, 2 * i + 1) for i, (n, a, b) in enumerate(pairs) if n == 9000 or edit(a.split(), b.split()) <= math.floor(max(len(a.split()), len(b.split())) * 0.2 + 1e-9)]
+    with capsys.disabled():
+        for n in sorted({n for n, _ in want}):
+            of = [i for m, i in want if m == n]
+            print(f"lines of {n} words: {sum(i in gone for i in of)} of {len(of)} similar pairs found")
+    assert gone == {i for _, i in want} and len(want) > 90
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 
 
