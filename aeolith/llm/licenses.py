@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from re import _parser
 from typing import NamedTuple
 
 import ahocorasick
@@ -168,28 +169,58 @@ class Detection(NamedTuple):
     rule: int
 
 
+def needed(pattern: str) -> list[frozenset[str]]:
+    """Sets of literals, of each of which every match of the pattern holds one; what is optional needs none."""
+    return _needed(_parser.parse(pattern))
+
+
+def _needed(items) -> list[frozenset[str]]:
+    out, run = [], ""
+
+    def best(sets):
+        return max(sets, key=lambda c: min(map(len, c)), default=None)
+
+    for op, value in items:
+        if op is _parser.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            out.append(frozenset([run]))
+            run = ""
+        if op is _parser.SUBPATTERN:
+            out += _needed(value[-1])
+        elif op is _parser.BRANCH:
+            either = [best(_needed(branch)) for branch in value[1]]
+            if all(either):
+                out.append(frozenset().union(*either))
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] > 0:
+            out += _needed(value[2])
+    return [*out, frozenset([run])] if run else out
+
+
 class Scanner:
-    """Compiled rules behind the keyword automaton."""
+    """Compiled rules behind the keyword automaton: a rule runs on texts with a literal of each set that its pattern needs."""
 
     def __init__(self):
         self.rules = rules()
         self.compiled = [re.compile(r.pattern) for r in self.rules]
         self.gate = ahocorasick.Automaton()
+        self.needs = [needed(r.pattern) for r in self.rules]
+        self.always = [i for i, sets in enumerate(self.needs) if not sets]
         self.gated: dict[str, list[int]] = {}
-        for i, r in enumerate(self.rules):
-            self.gated.setdefault(r.keyword.split()[0], []).append(i)
-        for word in [*self.gated, "licen"]:
-            # a keyword as short as cc ends too many ordinary words: what may follow it is part of it
-            for tail in (" ", "-", "\n", "\t", "/") if len(word) < 3 else ("",):
-                self.gate.add_word(word + tail, word)
+        for i, sets in enumerate(self.needs):
+            for word in max(sets, key=lambda c: min(map(len, c)), default=()):
+                self.gated.setdefault(word, []).append(i)
+        for word in {word for sets in self.needs for c in sets for word in c}:
+            self.gate.add_word(word, word)
         self.gate.make_automaton()
 
     def scan(self, text: str) -> list[Detection]:
         """Detections in a lower-cased text that no other of at least their priority contains."""
         words = {word for _, word in self.gate.iter(text)}
         found = []
-        for number in sorted({n for word in words for n in self.gated.get(word, ())}):
-            if "licen" in words or "licen" not in self.rules[number].pattern:
+        for number in sorted({*self.always, *(n for word in words for n in self.gated.get(word, ()))}):
+            if not any(c.isdisjoint(words) for c in self.needs[number]):
                 found += [Detection(m.start(), m.end(), number) for m in self.compiled[number].finditer(text) if m.end() > m.start()]
         return self.resolve(found)
 

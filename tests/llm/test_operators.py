@@ -395,6 +395,40 @@ def test_license_rules_and_base_places(spark):
         assert r[0] is None or sorted((b.at, b.label) for b in out[r[0]].base) == want
 
 
+def samples(items):
+    """Texts of a parsed pattern: each alternative and optional part once, beside the first of the others."""
+    parser, out = re._parser, [""]
+    for op, value in items:
+        if op is parser.LITERAL:
+            own = [chr(value)]
+        elif op is parser.SUBPATTERN:
+            own = samples(value[-1])
+        elif op is parser.BRANCH:
+            own = [x for branch in value[1] for x in samples(branch)]
+        elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT):
+            own = ([""] if value[0] == 0 else []) + samples(value[2])
+        elif op is parser.IN:
+            kinds = {parser.CATEGORY_SPACE: " ", parser.CATEGORY_WORD: "w", parser.CATEGORY_NOT_SPACE: "x", parser.CATEGORY_NOT_WORD: ","}
+            own = [next(x for k, v in value for x in ([chr(v)] if k is parser.LITERAL else [kinds[v]] if k is parser.CATEGORY else ["x"] if k is parser.NEGATE else []))]
+        else:
+            own = [""]
+        out = [out[0] + x for x in own] + [x + own[0] for x in out[1:]]
+    return out
+
+
+def test_gates_drop_no_rule():
+    """Scans behind the keywords equal scans by all rules, on a text for every alternative of every pattern."""
+    s = licenses.Scanner()
+    texts = {f"so {x} ." for r in s.rules for x in samples(re._parser.parse(r.pattern))}
+    texts |= {"distributed under the terms of the 3-clause bsd", "the wtfpl", "beerware", "mit no attribution", "released under cc0", "see w3.org/consortium/legal", "the open rail license", "cc\u00a0by 4.0"}
+    hit = set()
+    for text in texts:
+        every = [licenses.Detection(m.start(), m.end(), i) for i, c in enumerate(s.compiled) for m in c.finditer(text) if m.end() > m.start()]
+        hit |= {d.rule for d in every}
+        assert s.scan(text) == s.resolve(every), text
+    assert hit == set(range(len(s.rules)))
+
+
 def test_containment_and_priority():
     s = licenses.Scanner()
     text = "licensed under the gnu general public license, version 3."
