@@ -1,10 +1,10 @@
 """Information-theoretic sanitisation of personal data.
 
-Fixed patterns find the protected entities.  Over all documents, the words
-around each entity are counted with it: a word t discloses an entity e where the
+Fixed patterns find the protected entities.  Over all documents, the distinct
+words of each document are counted with its entities: a word t discloses an entity e where the
 pointwise mutual information log p(e, t) / p(e) p(t) comes near the information
 -log p(e) of the entity itself, that is, where seeing t nearly tells e.  Such
-words beside an entity are removed, less telling ones replaced by a class.
+words are removed wherever they stand, less telling ones replaced by a class.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ _CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = bytes(b for b in range(256) if not 0x30 <= b <= 0x39)
 _DOUBLED = np.array([0, 2, 4, 6, 8, 1, 3, 5, 7, 9])
-#: Words on each side of an entity that may disclose it.
-REACH = 6
 _SIEVE_BITS = 20
 
 
@@ -85,48 +83,98 @@ def _entity(text: bytes, span: tuple[int, int, int]) -> int:
     return int(chain([kind, *slab.hash[:, None]]).view(np.int64)[0])
 
 
-def _contexts(reach: int):
-    """(text key, entity, term, start, end) of the words within reach of each entity that are no part of one, with digits in none."""
+def _free(text: bytes, spans: list[tuple[int, int, int]], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The words, by their bounds in the text, that are no part of an entity."""
+    taken = np.zeros(len(text) + 1, bool)
+    for s, e, _ in spans:
+        taken[s:e] = True
+    return np.flatnonzero(~(taken[start] | taken[end - 1]))
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _entities(text: bytes, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    return np.unique(np.array([_entity(text, span) for span in spans], np.int64)).view(np.uint64)
+
+
+def _counted(parts: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """The distinct rows of the parts, as columns of those names, and the number of each as n."""
+    rows, n = np.unique(np.concatenate(parts), axis=0, return_counts=True) if parts else (np.zeros((0, len(names)), np.uint64), np.zeros(0, np.int64))
+    columns = [pa.array(np.ascontiguousarray(rows[:, i]).view(np.int64)) for i in range(len(names))]
+    return pa.record_batch([*columns, pa.array(n.astype(np.int64))], [*names, "n"])
+
+
+def _entity_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity, documents with it)."""
+    for batch in batches:
+        data, bounds = string_buffers(batch.column(0))
+        parts = []
+        for r in range(batch.num_rows):
+            text = data[bounds[r] : bounds[r + 1]].tobytes()
+            spans = base_spans(text)
+            if spans:
+                parts.append(_entities(text, spans)[:, None])
+        yield _counted(parts, ["entity"])
+
+
+def _buckets(keys: np.ndarray) -> np.ndarray:
+    wanted = np.zeros(1 << _SIEVE_BITS, bool)
+    wanted[keys] = True
+    return wanted
+
+
+def _pair_counts(buckets: np.ndarray):
+    """(entity, term, documents with both) for entities in wanted buckets and the free words of whole documents."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _buckets(buckets)
         for batch in batches:
-            data, bounds = string_buffers(batch.column("text"))
-            key = batch.column("key").to_numpy()
-            out: list[tuple] = []
-            for rows, slab in slabs(batch.column("text")):
+            for _, slab in slabs(batch.column(0)):
+                parts = []
                 for r in range(len(slab)):
-                    text = data[bounds[rows.start + r] : bounds[rows.start + r + 1]].tobytes()
+                    text = slab.data[slab.bounds[r] : slab.bounds[r + 1]].tobytes()
                     spans = base_spans(text)
-                    if not spans:
+                    entities = _entities(text, spans) if spans else np.zeros(0, np.uint64)
+                    entities = entities[wanted[entities >> np.uint64(64 - _SIEVE_BITS)]]
+                    if not len(entities):
                         continue
+                    lo, hi = slab.first[r], slab.first[r + 1]
+                    free = _free(text, spans, slab.start[lo:hi] - slab.bounds[r], slab.end[lo:hi] - slab.bounds[r])
+                    terms = np.unique(slab.hash[lo:hi][free])
+                    parts.append(np.stack([np.repeat(entities, len(terms)), np.tile(terms, len(entities))], 1))
+                if parts:
+                    yield _counted(parts, ["entity", "term"])
+
+    return counts
+
+
+def _places(buckets: np.ndarray):
+    """(text key, term, start, end) of the free words, in all texts, that fall into wanted buckets."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _buckets(buckets)
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            for rows, slab in slabs(batch.column("text")):
+                out: list[np.ndarray] = []
+                maybe = wanted[slab.hash >> np.uint64(64 - _SIEVE_BITS)]
+                for r in np.unique(slab.row()[maybe]).tolist():
+                    text = slab.data[slab.bounds[r] : slab.bounds[r + 1]].tobytes()
                     place = _starts(text)
                     lo, hi = slab.first[r], slab.first[r + 1]
                     start, end = slab.start[lo:hi] - slab.bounds[r], slab.end[lo:hi] - slab.bounds[r]
-                    taken = np.zeros(len(text) + 1, bool)
-                    for s, e, _ in spans:
-                        taken[s:e] = True
-                    free = np.flatnonzero(~(taken[start] | taken[end - 1]))
-                    own = set()
-                    for s, e, kind in spans:
-                        entity = _entity(text, (s, e, kind))
-                        near = int(np.searchsorted(start[free], s))
-                        for w in free[max(0, near - reach) : near + reach]:
-                            word = slab.word(lo + w)
-                            if len(word) > 2 and not any(0x30 <= b <= 0x39 for b in word):
-                                own.add((key[rows.start + r], entity, int(slab.hash[lo + w].view(np.int64)), int(place[start[w]]), int(place[end[w]])))
-                    out += own
-            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 5
-            yield pa.record_batch(columns, ["key", "entity", "term", "start", "end"])
-
-    return contexts
+                    at = _free(text, base_spans(text), start, end)
+                    at = at[maybe[lo:hi][at]]
+                    out.append(np.stack([np.full(len(at), key[rows.start + r]), slab.hash[lo:hi][at].view(np.int64), place[start[at]], place[end[at]]], 1))
+                if out:
+                    yield pa.record_batch([pa.array(c) for c in np.concatenate(out).T.copy()], ["key", "term", "start", "end"])
+
+    return places
 
 
 def _document_counts(buckets: np.ndarray):
     """(term, documents with it) for all words that fall into wanted buckets of the hash space."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.zeros(1 << _SIEVE_BITS, bool)
-        wanted[buckets] = True
+        wanted = _buckets(buckets)
         for batch in batches:
             terms = []
             for _, slab in slabs(batch.column(0)):
@@ -150,7 +198,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(batch.num_rows):
             text = data[bounds[r] : bounds[r + 1]].tobytes()
             spans = base_spans(text)
-            if not spans:
+            if not spans and not terms[r]:
                 out.append([])
                 clean.append(text.decode())
                 continue
@@ -168,34 +216,37 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("row"), pa.array(out, pa.list_(_SPAN)), pa.array(clean, pa.string())], ["row", "spans", "sanitised"])
 
 
-def sanitise(docs: DataFrame, keep: list[str], text: str = "text", reach: int = REACH, min_documents: int = 3, generalise_from: float = 0.7, remove_from: float = 0.95) -> DataFrame:
+def _bucket_list(frame: DataFrame, column: str) -> np.ndarray:
+    buckets = frame.select(F.shiftrightunsigned(column, 64 - _SIEVE_BITS).alias("b")).distinct().collect()  # at most 2 ** _SIEVE_BITS
+    return np.array([r.b for r in buckets], np.int64)
+
+
+def sanitise(docs: DataFrame, keep: list[str], text: str = "text", min_documents: int = 3, generalise_from: float = 0.7, remove_from: float = 0.95) -> DataFrame:
     """The columns ``keep`` with ``spans`` (start, end, kind, action; code points, sorted) and the ``sanitised`` text.
 
-    A term discloses an entity where their mutual information is at least
-    ``generalise_from`` of the entity's own (removed from ``remove_from``) and both
-    stand together in ``min_documents`` documents or more.  Documents are counted
-    row by row, so repeated rows count again.  Null texts are empty; texts without
-    entities are left as they are.  Terms are kept by 64-bit hash.
+    A term is any word that is no part of an entity.  It discloses an entity where
+    their mutual information is at least ``generalise_from`` of the entity's own
+    (removed from ``remove_from``) and both stand in ``min_documents`` documents or
+    more, at any distance.  All its occurrences go, also in documents without
+    entities.  Documents are counted row by row, so repeated rows count again.  Null
+    texts are empty.  Terms are kept by 64-bit hash.
     """
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = texts.select(F.xxhash64("text", F.length("text")).alias("key"), "text")
-    near = stored(keyed.mapInArrow(_contexts(reach), "key long, entity long, term long, start long, end long"), "contexts")
-    n = keyed.count()
-    # a text's copies have one key: rows for one place count them
-    seen = near.groupBy("entity", "term", "key", "start").agg(F.count("*").alias("copies"))
-    once = seen.groupBy("entity", "term", "key").agg(F.max("copies").alias("copies"))
-    pairs = stored(once.groupBy("entity", "term").agg(F.sum("copies").alias("together")).where(F.col("together") >= min_documents), "pairs")
-    entities = once.groupBy("entity", "key").agg(F.max("copies").alias("copies")).groupBy("entity").agg(F.sum("copies").alias("with_entity"))
-    buckets = pairs.select(F.shiftrightunsigned("term", 64 - _SIEVE_BITS).alias("b")).distinct().collect()  # at most 2 ** _SIEVE_BITS
-    wanted = np.array([r.b for r in buckets], np.int64)
-    terms = texts.mapInArrow(_document_counts(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
+    n = texts.count()
+    entities = texts.mapInArrow(_entity_counts, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("with_entity"))
+    entities = stored(entities.where(F.col("with_entity") >= min_documents), "entities")
+    together = texts.mapInArrow(_pair_counts(_bucket_list(entities, "entity")), "entity long, term long, n long")
+    pairs = stored(together.groupBy("entity", "term").agg(F.sum("n").alias("together")).where(F.col("together") >= min_documents), "pairs")
+    terms = texts.mapInArrow(_document_counts(_bucket_list(pairs, "term")), "term long, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
     information = F.log(F.lit(float(max(n, 2)))) - F.log("with_entity")
     shared = F.log(F.col("together").cast("double")) + F.log(F.lit(float(max(n, 2)))) - F.log("with_entity") - F.log("with_term")
     telling = pairs.join(terms, "term").join(entities, "entity").select("entity", "term", shared.alias("shared"), information.alias("information"))
     telling = telling.where((F.col("shared") > 0) & (F.col("shared") >= generalise_from * F.col("information")))
-    telling = telling.select("entity", "term", F.when(F.col("shared") >= remove_from * F.col("information"), "remove").otherwise("generalise").alias("action"))
-    told = near.distinct().join(telling, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("action").alias("action"))
-    told = told.groupBy("key").agg(F.collect_list(F.struct("start", "end", "action")).alias("terms"))
+    telling = telling.groupBy("term").agg(F.max(F.when(F.col("shared") >= remove_from * F.col("information"), "remove").otherwise("generalise")).alias("action"))
+    telling = stored(telling, "telling")
+    places = keyed.mapInArrow(_places(_bucket_list(telling, "term")), "key long, term long, start long, end long")
+    told = places.join(telling, "term").groupBy("key").agg(F.collect_set(F.struct("start", "end", "action")).alias("terms"))
     rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text", F.length("text"))).join(stored(told, "terms"), "key", "left").select("row", "text", "terms")
     kind = rows.schema["row"].dataType.simpleString()

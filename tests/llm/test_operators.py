@@ -562,6 +562,16 @@ def test_terms_beside_entities(spark, prose):
     assert sanitise.sanitise(documents(spark, ODD).limit(0), ["doc_id"]).count() == 0
 
 
+def test_terms_far_from_entities_and_elsewhere(spark, prose):
+    """Words at any distance, with digits and short, are counted with an entity, and go wherever they stand."""
+    rows = [(i, f"anna77 {prose(40)} boss@corp.example {prose(40)} 48213 then anna77 or zq") for i in range(4)] + [(10, f"{prose(20)} anna77 was 48213 or Zq")] + [(100 + i, f"{prose(60)} then was or") for i in range(80)]
+    out = {r.doc_id: r for r in sanitise.sanitise(documents(spark, rows), ["doc_id"]).collect()}
+    for i in (0, 1, 2, 3, 10):
+        assert not {"anna77", "48213", "zq"} & set(out[i].sanitised.lower().split()) and "or" in out[i].sanitised.split()
+        assert [s.kind for s in out[i].spans].count("term") == (3 if i == 10 else 4)
+    assert all(out[100 + i].sanitised == rows[5 + i][1] for i in range(80))
+
+
 # --- queries ---------------------------------------------------------------------------------------------------------
 
 
