@@ -12,21 +12,25 @@ LAPSE_RATES = {"temperature": 6.56, "pressure": 11_109.0}
 SHEAR_BOUNDS = (0.06, 0.6)
 
 
-def linear(low: Column, h_low: float, high: Column, h_high: float, height: float) -> Column:
+def height_column(height: float | Column) -> Column:
+    return height if isinstance(height, Column) else F.lit(float(height))
+
+
+def linear(low: Column, h_low: float, high: Column, h_high: float, height: float | Column) -> Column:
     """The straight line through both values, at any height."""
     slope = (high - low) / F.lit(float(h_high - h_low))
-    return slope * F.lit(float(height)) + (high - slope * F.lit(float(h_high)))
+    return slope * height_column(height) + (high - slope * F.lit(float(h_high)))
 
 
 def shear_exponent(low: Column, h_low: float, high: Column, h_high: float) -> Column:
     return F.log(high / low) / F.lit(math.log(h_high / h_low))
 
 
-def power_law(low: Column, h_low: float, alpha: Column, height: float) -> Column:
+def power_law(low: Column, h_low: float, alpha: Column, height: float | Column) -> Column:
     return low * F.pow(F.lit(height / h_low), alpha)
 
 
-def power_law_by_row(low: Column, h_low: float, high: Column, h_high: float, height: float) -> Column:
+def power_law_by_row(low: Column, h_low: float, high: Column, h_high: float, height: float | Column) -> Column:
     """Each value with its own exponent, within bounds; zeros count as 0.001."""
     a, b = (F.when(x == 0, 0.001).otherwise(x) for x in (low, high))
     alpha = F.greatest(F.lit(SHEAR_BOUNDS[0]), F.least(F.lit(SHEAR_BOUNDS[1]), shear_exponent(a, h_low, b, h_high)))
@@ -48,11 +52,11 @@ def stability(zeta: Column) -> Column:
     return F.when(zeta < 0, unstable).otherwise(stable)
 
 
-def monin_obukhov(value: Column, h_value: float, height: float, roughness: Column, inverse_length: Column) -> Column:
+def monin_obukhov(value: Column, h_value: float, height: float | Column, roughness: Column, inverse_length: Column) -> Column:
     """A wind speed carried from one height to another through the surface layer."""
 
-    def profile(h: float) -> Column:
-        return F.log(F.lit(float(h)) / roughness) - stability(F.lit(float(h)) * inverse_length) + stability(roughness * inverse_length)
+    def profile(h: float | Column) -> Column:
+        return F.log(height_column(h) / roughness) - stability(height_column(h) * inverse_length) + stability(roughness * inverse_length)
 
     return value * profile(height) / profile(h_value)
 
@@ -63,7 +67,7 @@ def shortest_turn(start: Column, end: Column) -> Column:
     return F.pmod(2 * da, F.lit(360.0)) - da
 
 
-def circular(low: Column, h_low: float, high: Column, h_high: float, height: float, anchored: str = "high") -> Column:
+def circular(low: Column, h_low: float, high: Column, h_high: float, height: float | Column, anchored: str = "high") -> Column:
     """Directions between two heights.
 
     ``anchored="high"`` adds the turn for the share of the way to the higher value,
@@ -74,5 +78,5 @@ def circular(low: Column, h_low: float, high: Column, h_high: float, height: flo
     return F.pmod(base + shortest_turn(low, high) * F.lit(share), F.lit(360.0))
 
 
-def lapse(value: Column, h_value: float, height: float, variable: str) -> Column:
+def lapse(value: Column, h_value: float, height: float | Column, variable: str) -> Column:
     return value + F.lit((h_value - height) / 1000 * LAPSE_RATES[variable])

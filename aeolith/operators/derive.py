@@ -37,14 +37,43 @@ def with_dataset(facts: DataFrame, name: str, spec: ResourceSpec, per: str = "se
 
 
 def at_site_heights(facts: DataFrame, variable: str, heights_by_site: DataFrame, spec: ResourceSpec, alias: str) -> DataFrame:
-    """The variable at a height of each site's own, from (gid, height); the distinct heights are few and fixed at plan time."""
-    wanted = sorted(float(r.height) for r in heights_by_site.select("height").distinct().limit(1000).collect())
+    """The variable at a height of each site's own, from (gid, height), by one expression over the stored heights.
+
+    Heights count as in ``Catalog.column`` with ``per="row"``; a null height gives null.
+    """
+    catalog, height = Catalog.of(facts, spec), F.col("__height")
+    known = catalog.heights().get(variable, {})
+    levels = sorted(known)
+    if len(levels) < 2:
+        if len(levels) == 1 and spec.lapse and variable in heights.LAPSE_RATES:
+            value = F.when(height == levels[0], F.col(f"`{known[levels[0]]}`")).otherwise(heights.lapse(F.col(f"`{known[levels[0]]}`"), levels[0], height, variable))
+        else:
+            value = catalog.column(f"{variable}_{levels[0] if levels else 0:g}{spec.unit}", per="row")
+    else:
+        value = F.lit(None)
+        for i in reversed(range(len(levels) - 1)):
+            between = _between(variable, levels[i], levels[i + 1], known, height, levels, facts.columns)
+            # the two nearest heights, of equally near ones the lower
+            last = i + 2 == len(levels)
+            value = between if last else F.when(F.abs(height - levels[i]) <= F.abs(height - levels[i + 2]), between).otherwise(value)
+        for level in levels:
+            value = F.when(height == level, F.col(f"`{known[level]}`")).otherwise(value)
     out = facts.join(heights_by_site.select("gid", F.col("height").cast("double").alias("__height")), "gid")
-    value: Column | None = None
-    for h in wanted:
-        column = Catalog.of(facts, spec).column(f"{variable}_{h:g}{spec.unit}", per="row")
-        value = F.when(F.col("__height") == h, column) if value is None else value.when(F.col("__height") == h, column)
-    return out.withColumn(alias, value).drop("__height")
+    return out.withColumn(alias, F.when(height.isNotNull(), value)).drop("__height")
+
+
+def _between(variable: str, low: float, high: float, known: dict[float, str], height: Column, levels: list[float], columns: Sequence[str]) -> Column:
+    a, b = F.col(f"`{known[low]}`"), F.col(f"`{known[high]}`")
+    if variable == "winddirection":
+        return heights.circular(a, low, b, high, height)
+    inside = heights.linear(a, low, b, high, height)
+    if variable != "windspeed":
+        return inside
+    beyond = heights.power_law_by_row(a, low, b, high, height)
+    if {"inversemoninobukhovlength_2m", "roughness_length"} <= set(columns):
+        layer = heights.monin_obukhov(a, low, height, F.col("roughness_length"), F.col("inversemoninobukhovlength_2m"))
+        beyond = F.when(height < low, layer).otherwise(beyond)
+    return F.when((height < levels[0]) | (height > levels[-1]), beyond).otherwise(inside)
 
 
 def in_model_units(facts: DataFrame, variables: Sequence[str], technology: str) -> DataFrame:

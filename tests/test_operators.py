@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aeolith.errors import ResourceValueError
 from aeolith.operators import derive, jointpd, ordered, select, spatial, stats
 from aeolith.plans import site_model
-from aeolith.sources.catalog import WIND
+from aeolith.sources.catalog import WIND, Catalog
 
 
 def test_index_algebra(facts):
@@ -190,3 +190,17 @@ def test_h5_source_is_importable_without_its_library():
     from aeolith.sources import h5
 
     assert h5.H5Source.name() == "resource_h5"
+
+
+def test_more_site_heights_than_a_list_takes(spark):
+    """1500 sites, each of its own height, against the column of that height; between, beyond and at stored heights."""
+    n = 1500
+    facts = spark.range(n).select(F.col("id").alias("gid"), F.lit(4.0).alias("windspeed_40m"), F.lit(6.0).alias("windspeed_80m"), F.lit(7.0).alias("windspeed_100m"), F.lit(350.0).alias("winddirection_40m"), F.lit(20.0).alias("winddirection_80m"))
+    hubs = spark.range(n).select(F.col("id").alias("gid"), (F.col("id") * 0.1 + 10).alias("height"))
+    for variable in ("windspeed", "winddirection"):
+        out = {r.gid: r.hub for r in derive.at_site_heights(facts, variable, hubs, WIND, "hub").collect()}
+        assert len(out) == n and None not in out.values()
+        some = [0, 150, 299, 300, 301, 499, 500, 501, 599, 600, 601, 700, 899, 900, 901, 1499]
+        with pytest.warns():
+            want = facts.limit(1).select(*[Catalog.of(facts, WIND).column(f"{variable}_{round(i * 0.1 + 10, 1):g}m", per="row").alias(f"c{i}") for i in some]).first()
+        assert [out[i] for i in some] == pytest.approx(list(want))
