@@ -204,42 +204,24 @@ def test_lines_odd_rows(spark):
     assert lines.dedup_lines(documents(spark, ODD).limit(0), ["doc_id"]).count() == 0
 
 
-def test_blocks_keep_every_pair_of_three_bits(spark):
-    rng = random.Random(1)
-    rows = []
-    for i in range(300):
-        h = rng.getrandbits(64)
-        other = h
-        for bit in rng.sample(range(64), 3):
-            other ^= 1 << bit
-        rows.append((i, *[x - (1 << 64) if x >> 63 else x for x in (h, other)]))
-    df = spark.createDataFrame(rows, "i long, a long, b long")
-    assert df.where(F.arrays_overlap(lines.block_keys("a"), lines.block_keys("b"))).count() == 300
-
-
-def test_simhash_is_the_majority(spark):
-    text = "one two three two"
-    df = spark.createDataFrame([(1, text.split())], "k long, words array<string>")
-    signed = [r[0] for r in df.select(F.explode("words").alias("w")).select(F.xxhash64("w")).collect()]
-    hashes, tie = [h % (1 << 64) for h in signed], min(signed) % (1 << 64)
-    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) + (tie >> b & 1) > len(hashes))
-    assert lines.simhashes(df, ["k"]).first().simhash % (1 << 64) == want
+def alike(a, b):
+    return edit(a.split(), b.split()) <= math.floor(max(len(a.split()), len(b.split())) * 0.2 + 1e-9)
 
 
 def test_dedup_equals_brute_force_components(spark, prose):
-    """Groups of lines that share a simhash key within the radius and are similar, on a small table."""
+    """Of each group by edit similarity alone, over all pairs of lines of up to 12 words, the first stays."""
     rng = random.Random(5)
-    base = [prose(40) for _ in range(6)]
-    every = []
-    for b in base:
-        for _ in range(6):
-            w = b.split()
-            w[rng.randrange(40)] = "q" * rng.randint(1, 5)
-            every.append(" ".join(w))
-    rows = [(i, t) for i, t in enumerate(base + every)]
-    docs = documents(spark, rows)
-    marked = docs.select(F.col("doc_id").alias("id"), lines.words_of(F.col("text")).alias("words"))
-    sh = {r.id: (r.simhash % (1 << 64), set(r.k)) for r in lines.simhashes(marked, ["id"]).select("id", "simhash", lines.block_keys().alias("k")).collect()}
+    rows = []
+    for n in (4, 5, 6, 8, 9, 12):
+        for _ in range(4):
+            base = prose(n).split()
+            for _ in range(5):
+                w = list(base)
+                for _ in range(rng.randint(0, 3)):
+                    at = rng.randrange(len(w))
+                    w[at : at + 1] = rng.choice(([], ["q" * rng.randint(1, 5)], [w[at], "put"]))
+                rows.append((len(rows), " ".join(w[:12])))
+    rng.shuffle(rows)
     root = {i: i for i, _ in rows}
 
     def find(x):
@@ -248,20 +230,20 @@ def test_dedup_equals_brute_force_components(spark, prose):
         return x
 
     for (i, a), (j, b) in itertools.combinations(rows, 2):
-        if sh[i][1] & sh[j][1] and (sh[i][0] ^ sh[j][0]).bit_count() <= lines.MAX_BITS and edit(a.split(), b.split()) <= math.floor(max(len(a.split()), len(b.split())) * 0.2 + 1e-9):
+        if a == b or alike(a, b) and min(len(a.split()), len(b.split())) >= 4:
             p, q = find(i), find(j)
             root[max(p, q)] = min(p, q)
     want = {i for i in root if find(i) != i}
-    got = {r.doc_id for r in lines.dedup_lines(docs, ["doc_id"]).collect() if r.n_dropped}
-    assert got == want and want
+    got = {r.doc_id for r in lines.dedup_lines(documents(spark, rows), ["doc_id"]).collect() if r.n_dropped}
+    assert got == want and 30 < len(want) < len(rows) - 24
 
 
-def test_dedup_finds_every_similar_pair(spark, prose, capsys):
-    """Pairs of lines against edit similarity alone: at the threshold exactly, for many lengths, with words replaced, left out and put in."""
+def test_dedup_recall_of_similar_pairs(spark, capsys):
+    """Pairs of lines against edit similarity alone, not the keys: at the threshold exactly, with words replaced, left out and put in."""
     rng = random.Random(8)
     pairs = []
-    for n in (4, 5, 6, 9, 10, 14, 15, 20, 50, 100):
-        for _ in range(12):
+    for n in (4, 5, 6, 9, 10, 12, 14, 15, 20, 40, 100):
+        for _ in range(40):
             a = [f"w{rng.randrange(10**9):x}" for _ in range(n)]
             b, k = list(a), n // 5
             for i in sorted(rng.sample(range(n), k), reverse=True):
@@ -274,12 +256,23 @@ def test_dedup_finds_every_similar_pair(spark, prose, capsys):
     pairs.append((10, " ".join(["x", "y"] * 5), " ".join(["x", "y"] * 3 + ["z", "y", "z", "y"])))
     docs = documents(spark, [row for i, (_, a, b) in enumerate(pairs) for row in ((2 * i, a), (2 * i + 1, b))])
     gone = {r.doc_id for r in lines.dedup_lines(docs, ["doc_id"]).collect() if r.n_dropped}
-    want = [(n, 2 * i + 1) for i, (n, a, b) in enumerate(pairs) if n == 9000 or edit(a.split(), b.split()) <= math.floor(max(len(a.split()), len(b.split())) * 0.2 + 1e-9)]
+    want = [(n, 2 * i + 1) for i, (n, a, b) in enumerate(pairs) if n == 9000 or alike(a, b)]
     with capsys.disabled():
         for n in sorted({n for n, _ in want}):
             of = [i for m, i in want if m == n]
-            print(f"lines of {n} words: {sum(i in gone for i in of)} of {len(of)} similar pairs found")
-    assert gone == {i for _, i in want} and len(want) > 90
+            found = sum(i in gone for i in of)
+            print(f"lines of {n} words: {found} of {len(of)} similar pairs found")
+            assert found == len(of) if n <= lines.KEYS + 2 or n == 9000 else found >= 0.9 * len(of)
+    assert gone <= {i for _, i in want} and len(want) > 300
+
+
+def test_lookup_deals_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(components, "_HOT_ROWS", 5)
+    rows = spark.range(100).selectExpr("id", "CASE WHEN id < 60 THEN 1 WHEN id < 97 THEN id ELSE NULL END AS k")
+    table = spark.range(0, 90).selectExpr("id AS k", "id * 2 AS v")
+    got = {r.id: r.v for r in components.lookup(rows, "k", table, "left").collect()}
+    assert got == {i: 2 if i < 60 else 2 * i if i < 90 else None for i in range(100)}
+    assert components.lookup(rows, "k", table).count() == 90
 
 
 # --- 5 ---------------------------------------------------------------------------------------------------------------
