@@ -634,3 +634,17 @@ def test_pipeline(spark, small):
         assert name.startswith("mixing") or docs.columns == columns
     assert seen[-2][1] < 60 and [r.doc_id for r in docs.where("doc_id BETWEEN 60 AND 79").collect()] == []
     assert corpus_pipeline.run(spark, d).count() == seen[-1][1]
+
+
+def test_pipeline_stages_on_odd_tables(spark, small):
+    """Extra columns of clashing names keep their values; empty tables stay empty."""
+    import corpus_pipeline
+
+    d, _ = small
+    clashing = {c: F.lit(-1) for c in ("row", "n_dropped", "n_hit", "n_words", "items", "selected", "key", "range", "id", "kept")}
+    full = spark.read.parquet(f"{d}/documents.parquet").withColumns(clashing)
+    empty = full.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        full = corpus_pipeline.stored(stage(spark, full, d), "stage")
+        assert full.where(" OR ".join(f"{c} <> -1" for c in clashing)).count() == 0 and full.count() > 0
+        assert stage(spark, empty, d).count() == 0
