@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .components import parted
+from .storage import drop, stored
 
 MAX_EPOCHS = 3
 #: Key ranges of a source.
@@ -62,8 +63,9 @@ def mix(docs: DataFrame, keep: list[str], text: str = "text", source: str = "sou
     ``unlabelled``, and a weight that is null or not above 0 counts as 1.  Null and
     empty texts have size 0 and take nothing; a null source is a source of its own,
     the last; rows of one identity, source and size are taken together.  Reruns
-    agree.  Texts are read for their sizes and joined to the decisions at last:
-    they are never sorted or windowed.
+    agree.  ``weights`` holds each key once.  A source's border, the last document
+    that its prefix sum takes, decides all its documents: of the texts only those of
+    rows with a weight are shuffled, to learn it.  An empty table has no rows.
     """
     rows = docs.select(
         F.struct(*keep).alias("row"),
@@ -73,27 +75,45 @@ def mix(docs: DataFrame, keep: list[str], text: str = "text", source: str = "sou
         document_size(F.col(text)).alias("size"),
     )
     unit = ["s_null", "s_key", "identity", "size"]
+    given = None if weights is None else stored(weights.where(F.col("__key").isNotNull()).select(F.col("__key").cast("string").alias("identity"), "__weight"), "weights")
+
+    def with_key(frame: DataFrame) -> DataFrame:
+        """frame, with ``__weight``, with the exponential key and its range."""
+        weight = F.coalesce("__weight", F.lit(unlabelled)).cast("double")
+        keyed = frame.withColumn("key", exponential_key(F.col("identity"), F.when(weight > 0, weight).otherwise(1.0), seed))
+        return keyed.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int")).drop("__weight")
+
     units = rows.groupBy(*unit).agg(F.count("*").alias("copies"))
-    if weights is not None:
-        units = units.join(weights.select(F.col("__key").cast("string").alias("identity"), "__weight"), "identity", "left")
-    else:
-        units = units.withColumn("__weight", F.lit(1.0))
-    weight = F.coalesce("__weight", F.lit(unlabelled)).cast("double")
-    units = units.withColumn("key", exponential_key(F.col("identity"), F.when(weight > 0, weight).otherwise(1.0), seed))
-    units = units.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int")).withColumn("words", F.col("size") * F.col("copies"))
+    units = units.withColumn("__weight", F.lit(1.0)) if given is None else units.join(given, "identity", "left")
+    units = with_key(units).withColumn("words", F.col("size") * F.col("copies"))
     units = stored(units.select(*unit, "key", "range", "words"), "units")
     by_range = units.groupBy("s_null", "s_key", "range").agg(F.sum("words").alias("range_size"))
     by_source = by_range.groupBy("s_null", "s_key").agg(F.sum("range_size").alias("source_size"))
     earlier = Window.partitionBy("s_null", "s_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_range.withColumn("start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
     plan = starts.join(source_targets(by_source, max_epochs), ["s_null", "s_key"]).select("s_null", "s_key", "range", "start", "source_size", "target")
-    own = Window.partitionBy("s_null", "s_key", "range").orderBy("key", "identity", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = units.join(plan, ["s_null", "s_key", "range"]).withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(own), F.lit(0)))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    out = out.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    extra = (2 * F.col("before") + F.col("words") <= 2 * F.col("rest")) & (F.col("rest") > 0)
-    decided = out.select(*unit, "source_size", "target", (F.col("whole") + extra.cast("long")).alias("epochs"))
-    return rows.join(decided, unit).select("row.*", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"))
+    plan = plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    # in the order of the keys the prefix sums only grow, so one border a source decides all its documents; it lies in
+    # the last range that starts below the rest
+    own = Window.partitionBy("s_null", "s_key").orderBy("key", "identity", "size").rowsBetween(Window.unboundedPreceding, -1)
+    last = plan.where(F.col("start") <= F.col("rest")).groupBy("s_null", "s_key").agg(F.max("range").alias("range"))
+    bordering = units.join(plan.join(last, ["s_null", "s_key", "range"]), ["s_null", "s_key", "range"])
+    summed = bordering.withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(own), F.lit(0)))
+    fits = (2 * F.col("before") + F.col("words") <= 2 * F.col("rest")) & (F.col("rest") > 0)
+    border = summed.where(fits).groupBy("s_null", "s_key").agg(F.max(F.struct("key", "identity", "size")).alias("border"))
+    sources = plan.groupBy("s_null", "s_key").agg(*[F.max(c).alias(c) for c in ("source_size", "target", "whole")]).join(last.withColumnRenamed("range", "border_range"), ["s_null", "s_key"], "left")
+    sources = stored(sources.join(border, ["s_null", "s_key"], "left"), "borders")
+    drop(units)
+    if given is None:
+        weighted = rows.withColumn("__weight", F.lit(1.0))
+    else:  # only texts of rows that may have a weight are shuffled
+        maybe, never = parted(given, "identity", rows, F.col("identity"))
+        weighted = maybe.join(given.hint("merge"), "identity", "left").unionByName(never.withColumn("__weight", F.lit(None).cast("double")))
+    out = with_key(weighted).join(sources, ["s_null", "s_key"])
+    under = (F.col("range") < F.col("border_range")) | ((F.col("range") == F.col("border_range")) & (F.struct("key", "identity", "size") <= F.col("border")))
+    epochs = F.col("whole") + F.coalesce(under, F.lit(False)).cast("long")
+    return out.select("row.*", "size", "source_size", "target", epochs.alias("epochs"), (F.col("size") * epochs).alias("taken"))
 
 
 def label_weight(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
