@@ -4,7 +4,8 @@ Fixed patterns find the protected entities.  Over all documents, the distinct
 words of each document are counted with its entities: a word t discloses an entity e where the
 pointwise mutual information log p(e, t) / p(e) p(t) comes near the information
 -log p(e) of the entity itself, that is, where seeing t nearly tells e.  Such
-words are removed wherever they stand, less telling ones replaced by a class.
+words are removed wherever they stand, less telling ones replaced by the class of
+what they tell: the kind of entity.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from .tokens import Slab, chain, slabs, string_buffers
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(rb"[A-Za-z0-9._%+-]+\Z")
+_LOCAL = bytes(b for b in range(128) if chr(b).isalnum() or chr(b) in "._%+-")
 _IP = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = bytes(b for b in range(256) if not 0x30 <= b <= 0x39)
 _DOUBLED = np.array([0, 2, 4, 6, 8, 1, 3, 5, 7, 9])
-_SIEVE_BITS = 20
+#: Bitmaps of hashes: 8 MB at any number of keys.
+_SIEVE_BITS = 26
 
 
 def luhn(digits: bytes) -> bool:
@@ -40,13 +42,20 @@ def _emails(text: bytes) -> Iterator[tuple[int, int]]:
     """Leftmost non-overlapping matches; only runs that end at an @ can start one."""
     done, at = 0, text.find(b"@")
     while at >= 0:
-        run = _LOCAL.search(text, max(done, at - 64), at)
-        if run and run.start() == max(done, at - 64):
-            run = _LOCAL.search(text, done, at)  # a long run
-        match = _EMAIL.match(text, run.start()) if run else None
+        # the run before the @, walked back in steps that double, so the whole search is linear
+        step = 64
+        while True:
+            from_ = max(done, at - step)
+            start = from_ + len(text[from_:at].rstrip(_LOCAL))
+            if start > from_ or from_ == done:
+                break
+            step *= 2
+        match = _EMAIL.match(text, start) if start < at else None
         if match:
             yield match.span()
             done = match.end()
+        else:
+            done = max(done, at)
         at = text.find(b"@", max(at + 1, done))
 
 
@@ -74,13 +83,13 @@ def _starts(text: bytes) -> np.ndarray:
 
 
 def _entity(text: bytes, span: tuple[int, int, int]) -> int:
-    """A hash of the kind and the bare value, in lower case."""
+    """A hash of the kind and the bare value, in lower case; its last two bits are the kind."""
     value = text[span[0] : span[1]].lower()
     if span[2] >= 2:
         value = value.translate(None, _NO_DIGIT)
     slab = Slab(np.frombuffer(value, np.uint8), np.array([0, len(value)]))
     kind = np.array([span[2]], np.uint64)
-    return int(chain([kind, *slab.hash[:, None]]).view(np.int64)[0])
+    return int(((chain([kind, *slab.hash[:, None]]) & ~np.uint64(3)) | kind).view(np.int64)[0])
 
 
 def _free(text: bytes, spans: list[tuple[int, int, int]], start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -115,17 +124,26 @@ def _entity_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _counted(parts, ["entity"])
 
 
-def _buckets(keys: np.ndarray) -> np.ndarray:
-    wanted = np.zeros(1 << _SIEVE_BITS, bool)
-    wanted[keys] = True
-    return wanted
+class Bitmap:
+    """Which hashes fall into wanted buckets, the first _SIEVE_BITS bits of a hash; one long holds 64 buckets."""
 
+    def __init__(self, frame: DataFrame, column: str):
+        bucket = F.shiftrightunsigned(column, 64 - _SIEVE_BITS)
+        words = frame.select(F.shiftright(bucket, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({column}, {64 - _SIEVE_BITS}) & 63 AS int))").alias("bit"))
+        table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2 ** (_SIEVE_BITS - 6) rows
+        bits = np.zeros(1 << (_SIEVE_BITS - 6), np.int64)
+        bits[table["word"].to_numpy()] = table["bits"].to_numpy()
+        self.shared = frame.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
-def _pair_counts(buckets: np.ndarray):
+    def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
+        bucket = hashes >> np.uint64(64 - _SIEVE_BITS)
+        return (self.shared.value[bucket >> np.uint64(6)] >> (bucket & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _pair_counts(wanted: Bitmap):
     """(entity, term, documents with both) for entities in wanted buckets and the free words of whole documents."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _buckets(buckets)
         for batch in batches:
             for _, slab in slabs(batch.column(0)):
                 parts = []
@@ -133,7 +151,7 @@ def _pair_counts(buckets: np.ndarray):
                     text = slab.data[slab.bounds[r] : slab.bounds[r + 1]].tobytes()
                     spans = base_spans(text)
                     entities = _entities(text, spans) if spans else np.zeros(0, np.uint64)
-                    entities = entities[wanted[entities >> np.uint64(64 - _SIEVE_BITS)]]
+                    entities = entities[wanted[entities]]
                     if not len(entities):
                         continue
                     lo, hi = slab.first[r], slab.first[r + 1]
@@ -146,16 +164,15 @@ def _pair_counts(buckets: np.ndarray):
     return counts
 
 
-def _places(buckets: np.ndarray):
+def _places(wanted: Bitmap):
     """(text key, term, start, end) of the free words, in all texts, that fall into wanted buckets."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _buckets(buckets)
         for batch in batches:
             key = batch.column("key").to_numpy()
             for rows, slab in slabs(batch.column("text")):
                 out: list[np.ndarray] = []
-                maybe = wanted[slab.hash >> np.uint64(64 - _SIEVE_BITS)]
+                maybe = wanted[slab.hash]
                 for r in np.unique(slab.row()[maybe]).tolist():
                     text = slab.data[slab.bounds[r] : slab.bounds[r + 1]].tobytes()
                     place = _starts(text)
@@ -170,15 +187,14 @@ def _places(buckets: np.ndarray):
     return places
 
 
-def _document_counts(buckets: np.ndarray):
+def _document_counts(wanted: Bitmap):
     """(term, documents with it) for all words that fall into wanted buckets of the hash space."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _buckets(buckets)
         for batch in batches:
             terms = []
             for _, slab in slabs(batch.column(0)):
-                at = np.flatnonzero(wanted[slab.hash >> np.uint64(64 - _SIEVE_BITS)])
+                at = np.flatnonzero(wanted[slab.hash])
                 pairs = np.unique(np.stack([slab.hash[at], slab.row()[at].astype(np.uint64)], 1), axis=0)
                 terms.append(pairs[:, 0])
             found, n = np.unique(np.concatenate(terms) if terms else np.zeros(0, np.uint64), return_counts=True)
@@ -200,27 +216,23 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text)
             if not spans and not terms[r]:
                 out.append([])
-                clean.append(text.decode())
+                clean.append(text.decode(errors="replace"))
                 continue
             place = _starts(text)
             found = [{"start": int(place[s]), "end": int(place[e]), "kind": KINDS[k], "action": "replace"} for s, e, k in spans]
-            found += [{"start": t["start"], "end": t["end"], "kind": "term", "action": t["action"]} for t in terms[r] or () if t["end"] < len(place)]
+            found += [{"start": t["start"], "end": t["end"], "kind": "term", "action": t["action"], "of": KINDS[t["of"]]} for t in terms[r] or () if t["end"] < len(place)]
             found.sort(key=lambda x: (x["start"], (*KINDS, "term").index(x["kind"]), x["end"]))
-            out.append(found)
-            chars, parts, done = text.decode(), [], 0
+            out.append([{k: x[k] for k in ("start", "end", "kind", "action")} for x in found])
+            chars, parts, done = text.decode(errors="replace"), [], 0
             for x in found:
                 if x["start"] >= done:
-                    parts += [chars[done : x["start"]], "" if x["action"] == "remove" else f"[{x['kind'].upper()}]"]
+                    tag = f"[TERM OF {x['of'].upper()}]" if "of" in x else f"[{x['kind'].upper()}]"
+                    parts += [chars[done : x["start"]], "" if x["action"] == "remove" else tag]
                 done = max(done, x["end"])
             clean.append("".join(parts) + chars[done:])
         yield pa.record_batch([batch.column("row"), pa.array(out, pa.list_(_SPAN)), pa.array(clean, pa.string())], ["row", "spans", "sanitised"])
 
 
-def _bucket_list(frame: DataFrame, column: str) -> np.ndarray:
-    buckets = frame.select(F.shiftrightunsigned(column, 64 - _SIEVE_BITS).alias("b")).distinct().collect()  # at most 2 ** _SIEVE_BITS
-    return np.array([r.b for r in buckets], np.int64)
-
-
 def sanitise(docs: DataFrame, keep: list[str], text: str = "text", min_documents: int = 3, generalise_from: float = 0.7, remove_from: float = 0.95) -> DataFrame:
     """The columns ``keep`` with ``spans`` (start, end, kind, action; code points, sorted) and the ``sanitised`` text.
 
@@ -229,24 +241,28 @@ def sanitise(docs: DataFrame, keep: list[str], text: str = "text", min_documents
     (removed from ``remove_from``) and both stand in ``min_documents`` documents or
     more, at any distance.  All its occurrences go, also in documents without
     entities.  Documents are counted row by row, so repeated rows count again.  Null
-    texts are empty.  Terms are kept by 64-bit hash.
+    texts are empty; bytes that are no UTF-8 are replaced.  A generalised term becomes
+    the class ``[TERM OF kind]`` of the entity it tells most of.  Terms are kept by
+    64-bit hash.  An empty table has no rows.
     """
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = texts.select(F.xxhash64("text", F.length("text")).alias("key"), "text")
     n = texts.count()
     entities = texts.mapInArrow(_entity_counts, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("with_entity"))
     entities = stored(entities.where(F.col("with_entity") >= min_documents), "entities")
-    together = texts.mapInArrow(_pair_counts(_bucket_list(entities, "entity")), "entity long, term long, n long")
+    together = texts.mapInArrow(_pair_counts(Bitmap(entities, "entity")), "entity long, term long, n long")
     pairs = stored(together.groupBy("entity", "term").agg(F.sum("n").alias("together")).where(F.col("together") >= min_documents), "pairs")
-    terms = texts.mapInArrow(_document_counts(_bucket_list(pairs, "term")), "term long, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
+    terms = texts.mapInArrow(_document_counts(Bitmap(pairs, "term")), "term long, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
     information = F.log(F.lit(float(max(n, 2)))) - F.log("with_entity")
     shared = F.log(F.col("together").cast("double")) + F.log(F.lit(float(max(n, 2)))) - F.log("with_entity") - F.log("with_term")
     telling = pairs.join(terms, "term").join(entities, "entity").select("entity", "term", shared.alias("shared"), information.alias("information"))
     telling = telling.where((F.col("shared") > 0) & (F.col("shared") >= generalise_from * F.col("information")))
-    telling = telling.groupBy("term").agg(F.max(F.when(F.col("shared") >= remove_from * F.col("information"), "remove").otherwise("generalise")).alias("action"))
+    action = F.when(F.col("shared") >= remove_from * F.col("information"), "remove").otherwise("generalise")
+    # the class that stands for a generalised term: the kind of entity it tells most of
+    telling = telling.groupBy("term").agg(F.max(action).alias("action"), F.max_by(F.col("entity").bitwiseAND(F.lit(3)), F.struct("shared", "entity")).cast("int").alias("of"))
     telling = stored(telling, "telling")
-    places = keyed.mapInArrow(_places(_bucket_list(telling, "term")), "key long, term long, start long, end long")
-    told = places.join(telling, "term").groupBy("key").agg(F.collect_set(F.struct("start", "end", "action")).alias("terms"))
+    places = keyed.mapInArrow(_places(Bitmap(telling, "term")), "key long, term long, start long, end long")
+    told = places.join(telling, "term").groupBy("key").agg(F.collect_set(F.struct("start", "end", "action", "of")).alias("terms"))
     rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text", F.length("text"))).join(stored(told, "terms"), "key", "left").select("row", "text", "terms")
     kind = rows.schema["row"].dataType.simpleString()

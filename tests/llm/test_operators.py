@@ -542,6 +542,11 @@ def test_base_spans_like_the_patterns(spark):
         assert sorted(got) == base_by_pattern(t), t
 
 
+def test_long_runs_and_bytes_that_are_no_text():
+    text = b" ".join([b"a" * 100_000] * 20) + b"@" + b"b" * 1000 + b"@x.yz"
+    assert sanitise.base_spans(text)[0][:2] == (len(text) - 1005, len(text)) and list(sanitise._emails(b"\xff a@b.c \xfe")) == [(2, 7)]
+
+
 def test_terms_beside_entities(spark, prose):
     rows = [(1000 + i, f"{prose(30)} quixote writes to boss@corp.example here {prose(30)}") for i in range(4)] + [(100 + i, prose(60)) for i in range(60)] + [(200 + i, t) for i, t in enumerate(TRICKY)]
     out = {r.doc_id: r for r in sanitise.sanitise(documents(spark, rows + ODD), ["doc_id", "row"]).collect()}
@@ -565,6 +570,12 @@ def test_terms_far_from_entities_and_elsewhere(spark, prose):
     assert all(out[100 + i].sanitised == rows[5 + i][1] for i in range(80))
 
 
+def test_generalised_terms_name_the_kind(spark, prose):
+    rows = [(i, f"{prose(20)} quixote boss@corp.example") for i in range(8)] + [(20 + i, f"quixote {prose(20)}") for i in range(3)] + [(100 + i, prose(30)) for i in range(90)]
+    out = {r.doc_id: r for r in sanitise.sanitise(documents(spark, rows), ["doc_id"], remove_from=0.99).collect()}
+    assert all("[TERM OF EMAIL]" in out[i].sanitised and "quixote" not in out[i].sanitised for i in (0, 7, 20, 22)) and not out[100].spans
+
+
 # --- queries ---------------------------------------------------------------------------------------------------------
 
 
