@@ -6,6 +6,7 @@ import math
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from aeolith.errors import ResourceValueError
 
 from .ordered import interpolate_in_time
 
-#: Most sites that travel with each row as one array; more are joined by grid cells.
+#: Most sites that each task compares with all its points; more are joined by grid cells.  Both give the same rows.
 ARRAY_SITES = 2048
 
 
@@ -36,33 +37,68 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 1, metric: str = "plan
     """(point, gid, distance, rank) of the k nearest sites of each point, nearer and then smaller gids first.
 
     Points and sites have latitude and longitude; null coordinates match nothing.
-    Few sites (counted first) are carried as one array, without any shuffle of
+    Few sites (counted first) go to all tasks as arrays, without any shuffle of
     points.  More are joined by grid cells, rings of which widen for the points
-    whose k nearest are not yet certain.
+    whose k nearest are not yet certain.  By haversine, longitudes meet at 180.
     """
     points = points.select(F.col(point).alias("point"), F.col("latitude").alias("plat"), F.col("longitude").alias("plon")).dropna()
     sites = sites.select("gid", F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude")).dropna()
-    distance = METRICS[metric]
     count, south, north, west, east = sites.agg(F.count("*"), F.min("latitude"), F.max("latitude"), F.min("longitude"), F.max("longitude")).first()
     if count <= ARRAY_SITES:
-        packed = sites.agg(F.collect_list(F.struct("latitude", "longitude", "gid")).alias("sites"))
-        near = F.transform("sites", lambda s: F.struct(distance(F.col("plat"), F.col("plon"), s["latitude"], s["longitude"]).alias("distance"), s["gid"].alias("gid")))
-        ranked = points.join(F.broadcast(packed)).select("point", (F.array(F.array_min(near)) if k == 1 else F.slice(F.array_sort(near), 1, k)).alias("near"))
+        ranked = _by_array(points, sites, k, metric)
     else:
         ranked = _by_cells(points, sites, k, metric, max(math.sqrt((north - south) * (east - west) / count * max(k, 2)), 1e-6), max(north - south, east - west))
     return ranked.select("point", F.posexplode("near").alias("rank", "n")).select("point", F.col("n.gid").alias("gid"), F.col("n.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
 
 
+def _distances(metric: str, lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """The same measures as the columns of METRICS, for all points (rows) and sites."""
+    if metric == "planar":
+        return np.sqrt((lat1[:, None] - lat2) * (lat1[:, None] - lat2) + (lon1[:, None] - lon2) * (lon1[:, None] - lon2))
+    a, b = np.radians(lat1)[:, None], np.radians(lat2)
+    s, t = np.sin((b - a) / 2), np.sin((np.radians(lon2) - np.radians(lon1)[:, None]) / 2)
+    return 2 * np.arcsin(np.minimum(1.0, np.sqrt(s * s + np.cos(a) * np.cos(b) * t * t)))
+
+
+def _by_array(points: DataFrame, sites: DataFrame, k: int, metric: str) -> DataFrame:
+    few = sites.orderBy("gid").toArrow()  # at most ARRAY_SITES rows
+    gid = few["gid"].combine_chunks()
+    lat, lon = few["latitude"].to_numpy(), few["longitude"].to_numpy()
+    k = min(k, len(gid))
+
+    def near(batches):
+        for batch in batches:
+            plat, plon = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            order, distance = [np.zeros((0, k), np.int64)], [np.zeros((0, k))]
+            for i in range(0, batch.num_rows if k else 0, 256):
+                d = _distances(metric, plat[i : i + 256], plon[i : i + 256], lat, lon)
+                # of equally near sites the smaller gid, which comes first
+                order.append(d.argmin(1)[:, None] if k == 1 else np.argsort(d, 1, kind="stable")[:, :k])
+                distance.append(np.take_along_axis(d, order[-1], 1))
+            order, distance = np.concatenate(order), np.concatenate(distance)
+            flat = pa.StructArray.from_arrays([pa.array(distance.ravel()), gid.take(pa.array(order.ravel()))], ["distance", "gid"])
+            offsets = pa.array(np.arange(batch.num_rows + 1) * k, pa.int32())
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], ["point", "near"])
+
+    kinds = {f: points.schema[f].dataType.simpleString() for f in ("point",)} | {"gid": sites.schema["gid"].dataType.simpleString()}
+    rows = points.select("point", F.col("plat").cast("double"), F.col("plon").cast("double"))
+    return rows.mapInArrow(near, f"point {kinds['point']}, near array<struct<distance:double,gid:{kinds['gid']}>>")
+
+
 def _by_cells(points: DataFrame, sites: DataFrame, k: int, metric: str, cell: float, extent: float) -> DataFrame:
     done, open_points = [], points
+    sites = sites.withColumn("at", F.col("longitude"))
+    if metric == "haversine":  # the same sites once more on either side, a whole turn away
+        turns = F.explode(F.array(*[F.lit(t) for t in (-360.0, 0.0, 360.0)]))
+        sites = sites.withColumn("turn", turns).withColumn("at", F.col("longitude") + F.col("turn"))
     while True:
         whole = cell > extent + 180
-        at = sites.select(F.floor(F.col("latitude") / cell).alias("cy"), F.floor(F.col("longitude") / cell).alias("cx"), "gid", "latitude", "longitude")
+        at = sites.select(F.floor(F.col("latitude") / cell).alias("cy"), F.floor(F.col("at") / cell).alias("cx"), "gid", "latitude", "longitude")
         ring = F.array(*[F.lit(d) for d in (-1, 0, 1)])
         spread = open_points.withColumn("dy", F.explode(ring)).withColumn("dx", F.explode(ring))
         spread = spread.select("point", "plat", "plon", (F.floor(F.col("plat") / cell) + F.col("dy")).alias("cy"), (F.floor(F.col("plon") / cell) + F.col("dx")).alias("cx"))
         found = spread.join(at, ["cy", "cx"]).select("point", "plat", "plon", F.struct(METRICS[metric](F.col("plat"), F.col("plon"), F.col("latitude"), F.col("longitude")).alias("distance"), "gid").alias("n"))
-        near = open_points.join(found.groupBy("point").agg(F.slice(F.array_sort(F.collect_list("n")), 1, k).alias("near")), "point", "left")
+        near = open_points.join(found.groupBy("point").agg(F.slice(F.array_sort(F.collect_set("n")), 1, k).alias("near")), "point", "left")
         # all sites nearer than this are in the ring
         sure = F.lit(cell) if metric == "planar" else F.lit(math.radians(cell)) * F.cos(F.radians(F.least(F.lit(89.9), F.abs("plat") + cell)))
         settled = F.coalesce((F.size("near") == k) & (F.element_at("near", -1)["distance"] <= sure), F.lit(False))

@@ -496,10 +496,10 @@ def distance_threshold(spark, d):
 _WEIGHTS = ", k AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY great, gid) AS k FROM near QUALIFY k <= 4), w AS (SELECT point, gid, CASE WHEN min(great) OVER (PARTITION BY point) < 1e-12 THEN CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END ELSE 1 / greatest(great, 1e-12) END AS w FROM k), ww AS (SELECT point AS target, gid, w / sum(w) OVER (PARTITION BY point) AS weight FROM w)"
 
 
-@query(_WEIGHTS + " SELECT target, CAST(ts AS DATE) AS day, round(sum(weight * q), 4) AS value FROM ww JOIN (SELECT gid, ts, avg(l_quantity) AS q FROM daily WHERE year(ts) = 1996 AND month(ts) = 3 GROUP BY gid, ts) USING (gid) WHERE target % 20 = 0 GROUP BY ALL")
+@query(_WEIGHTS + " SELECT target, CAST(ts AS DATE) AS day, round(sum(weight * q), 4) AS value FROM ww JOIN (SELECT gid, ts, avg(l_quantity) AS q FROM daily GROUP BY gid, ts) USING (gid) GROUP BY ALL")
 def regrid_idw(spark, d):
-    rows = daily(spark, d).where((F.year("ts") == 1996) & (F.month("ts") == 3)).groupBy("gid", "ts").agg(F.avg("l_quantity").alias("value"))
-    weights = spatial.regrid_weights(meta(spark, d), points(spark, d).where("point % 20 = 0").withColumnRenamed("point", "target"))
+    rows = daily(spark, d).groupBy("gid", "ts").agg(F.avg("l_quantity").alias("value"))
+    weights = spatial.regrid_weights(meta(spark, d), points(spark, d).withColumnRenamed("point", "target"))
     return spatial.regrid(rows, weights, "value").select("target", F.to_date("ts").alias("day"), _r("value", 4).alias("value"))
 
 

@@ -204,3 +204,14 @@ def test_more_site_heights_than_a_list_takes(spark):
         with pytest.warns():
             want = facts.limit(1).select(*[Catalog.of(facts, WIND).column(f"{variable}_{round(i * 0.1 + 10, 1):g}m", per="row").alias(f"c{i}") for i in some]).first()
         assert [out[i] for i in some] == pytest.approx(list(want))
+
+
+def test_nearest_paths_agree_across_the_antimeridian(spark, monkeypatch):
+    sites = spark.createDataFrame([(i, -60.0 + 7.3 * (i % 17), -180.0 + 360.0 * ((i * 37) % 64) / 64) for i in range(64)] + [(64, 10.0, 179.95), (65, 10.0, -179.9)], "gid long, latitude double, longitude double")
+    points = spark.createDataFrame([(i, -50.0 + 5.1 * (i % 20), -179.99 + 11.7 * i) for i in range(30)] + [(30, 10.0, 179.99), (31, 10.0, -179.99), (32, None, 0.0)], "point long, latitude double, longitude double")
+    for metric in ("planar", "haversine"):
+        both = []
+        for limit in (2048, 1):
+            monkeypatch.setattr(spatial, "ARRAY_SITES", limit)
+            both.append(sorted((r.point, r["rank"], r.gid, round(r.distance, 9)) for r in spatial.nearest(points, sites, 3, metric).collect()))
+        assert both[0] == both[1] and len(both[0]) == 96
