@@ -23,7 +23,7 @@ from .storage import stored
 TREES = 8
 #: Most vectors the trees are fitted on, those with the smallest hash of their id.
 SAMPLE = 20_000
-LEAF = 400
+LEAF = 48
 #: Half the width of the zone around a split that goes both ways, for unit vectors.
 SPILL = 0.03
 
@@ -64,25 +64,29 @@ class Forest:
                     yield tree, leaf, at
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of one width as unit rows of doubles."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors as unit rows of doubles; shorter ones are filled up with zeros."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), width))
+    out[np.arange(width) < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    # by the largest component first, so that squares of very large or small ones stay finite
+    out /= np.abs(out).max(1, keepdims=True)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def _route(shared):
+def _route(shared, width: int):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest: Forest = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = _matrix(batch.column("v"))
+            vectors = _matrix(batch.column("v"), width)
             found = list(forest.leaves(vectors))
             rows = np.concatenate([at for _, _, at in found])
             tree = np.repeat([t for t, _, _ in found], [len(at) for _, _, at in found])
             leaf = np.repeat([n for _, n, _ in found], [len(at) for _, _, at in found])
             took = batch.take(pa.array(rows))
-            yield pa.record_batch([*took.columns, pa.array(tree.astype(np.int32)), pa.array(leaf.astype(np.int64))], ["label", "id", "v", "tree", "leaf"])
+            yield pa.record_batch([*took.columns, pa.array(tree.astype(np.int32)), pa.array(leaf.astype(np.int64))], ["label", "w", "id", "v", "tree", "leaf"])
 
     return route
 
@@ -90,7 +94,7 @@ def _route(shared):
 def _compare(least: float):
     def compare(table: pa.Table) -> pa.Table:
         ids, part = table["id"].to_numpy(), table["part"].to_numpy()
-        vectors = _matrix(table["v"].combine_chunks())
+        vectors = _matrix(table["v"].combine_chunks(), table["w"][0].as_py())
         lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
         left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
         a, b = np.nonzero(vectors[left] @ vectors[right].T >= least)
@@ -107,32 +111,31 @@ def near_vectors(
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for each row.
 
-    Vectors that are null, empty, zero or not finite, vectors without label or id,
-    and vectors of another width than the most common one have no links and are
-    kept.  Equal vectors of a label are one class: they link with each other and
-    share all links, and only one of them is compared.
+    Vectors that are null, empty, zero or not finite, and vectors without label or id
+    have no links and are kept; vectors of different widths do not link.  Equal
+    vectors of a label are one class: they link with each other and share all links,
+    and only one of them is compared.  An empty table has no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(identity).alias("id"), F.col(label).alias("label"), F.col(embedding).cast("array<float>").alias("v"))
+    kind = "double" if vectors.schema[embedding].dataType.elementType.typeName() != "float" else "float"
+    rows = vectors.select(F.col(identity).alias("id"), F.col(label).alias("label"), F.col(embedding).cast(f"array<{kind}>").alias("v"))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     good = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite)
-    widths = good.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = widths.w if widths else 0
-    good = good.where(F.size("v") == width)
     # equal vectors have one representative, and rows of its id count once
     classes = good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"))
     classes = stored(classes, "vectors")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    sizes = classes.groupBy("label", F.size("v").alias("w")).count().agg(F.max("count").alias("largest"), F.max("w").alias("width")).first()
+    largest, width = sizes.largest or 0, max(sizes.width or 0, 1)
     depth = max(0, math.ceil(math.log2(max(largest, 1) / leaf)))
     taken = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()["v"].combine_chunks() if largest else None
-    forest = Forest(_matrix(taken) if largest else np.zeros((0, max(width, 1))), depth, trees, spill, seed)
-    schema = f"label {rows.schema['label'].dataType.simpleString()}, id long, v array<float>, tree int, leaf long"
-    routed = classes.select("label", F.col("id").cast("long"), "v").mapInArrow(_route(spark.sparkContext.broadcast(forest)), schema)
-    blocks = in_blocks(stored(routed, "routed"), ["label", "tree", "leaf"], "id", 2 * leaf)
-    links = stored(blocks.groupBy("label", "tree", "leaf", "lo", "hi").applyInArrow(_compare(least), "a long, b long").distinct(), "pairs")
+    forest = Forest(_matrix(taken, width) if largest else np.zeros((0, width)), depth, trees, spill, seed)
+    schema = f"label {rows.schema['label'].dataType.simpleString()}, w int, id long, v array<{kind}>, tree int, leaf long"
+    routed = classes.select("label", F.size("v").alias("w"), F.col("id").cast("long"), "v").mapInArrow(_route(spark.sparkContext.broadcast(forest), width), schema)
+    blocks = in_blocks(stored(routed, "routed"), ["label", "w", "tree", "leaf"], "id", 256)
+    links = stored(blocks.groupBy("label", "w", "tree", "leaf", "lo", "hi").applyInArrow(_compare(least), "a long, b long").distinct(), "pairs")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = classes.select(F.col("id").alias("b"), "copies")
-    linked = ends.join(sizes, "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    copies = classes.select(F.col("id").alias("b"), "copies")
+    linked = ends.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others"))
     components = connected_components(links)
     known = classes.select("label", "v", F.col("id").alias("rep"), "copies").join(linked, F.col("rep") == F.col("a"), "left").join(components, F.col("rep") == F.col("node"), "left")
     member = good.select(F.col("id"), "label", "v").distinct().join(known, ["label", "v"])
