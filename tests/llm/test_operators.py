@@ -489,7 +489,7 @@ def test_forest_recall(spark, leaf):
 def test_vectors_of_rare_widths_and_doubles_link(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.standard_normal(8)], 0) for i in range(60)]
-    rows += [(100, [1.0, 2.0, 3.0], 0), (101, [1.0, 2.0, 3.0 + 1e-12], 0), (102, [1.0, 2.0, 3.0, 0, 0, 0, 0, 0], 0), (103, [1e200, 2e200, 3e200], 0), (104, [1.0, 2.0], 0)]
+    rows += [(100, [1.0, 2.0, 3.0], 0), (101, [1.0, 2.0, 3.0 + 1e-12], 0), (102, [1.0, 2.0, 3.0] + [0.0] * 5, 0), (103, [1e200, 2e200, 3e200], 0), (104, [1.0, 2.0], 0)]
     out = {r.vec_id: r for r in forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), leaf=8).collect()}
     assert [out[i].n_links for i in (100, 101, 103)] == [2, 2, 2] and out[103].component_id == 100 and out[104].n_links == 0 and out[102].component_id != 100
 
