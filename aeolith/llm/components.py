@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from .storage import drop, stored
 
 
-#: A bitmap has eight bits a key within these bounds; the larger is 8 MB.
-_LEAST_BITS, _MOST_BITS = 16, 26
+#: A bitmap has four bits a key, or up to eight, within these bounds; the larger is 4 MB.
+_LEAST_BITS, _MOST_BITS = 16, 25
 #: Keys of more rows than this, at most so many of them, are dealt over so many tasks by lookup().
 _HOT_ROWS, _HOT_KEYS, _SALTS = 1000, 1000, 32
 
 
 def _sieved(wanted: DataFrame, key: str, frame: DataFrame, by: Column) -> tuple[DataFrame, Column]:
-    bits = min(_MOST_BITS, max(_LEAST_BITS, (8 * wanted.count()).bit_length()))
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (4 * wanted.count()).bit_length()))
     bucket = F.pmod(F.xxhash64(key), F.lit(1 << bits))
     words = wanted.select(bucket.alias("b")).selectExpr("CAST(shiftright(b, 6) AS int) AS word", "shiftleft(1L, CAST(b & 63 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
     table = words.toArrow()  # at most 2 ** (_MOST_BITS - 6) rows
@@ -33,7 +33,7 @@ def _sieved(wanted: DataFrame, key: str, frame: DataFrame, by: Column) -> tuple[
 def sieve(wanted: DataFrame, key: str, frame: DataFrame, by: Column) -> DataFrame:
     """frame without most rows whose ``by`` is no wanted key.
 
-    A bitmap of bounded size (8 MB at most) is filled by an aggregate and read as one
+    A bitmap of bounded size (4 MB at most) is filled by an aggregate and read as one
     constant, so rows that no join needs are dropped before its shuffle.
     """
     marked, there = _sieved(wanted, key, frame, by)
