@@ -1,12 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Each class has an interpolated Kneser-Ney model of the bytes of its words:
-orders above ``SHARED_ORDER`` hold counts of that class alone, the orders below
-hold counts of both, so an expression too rare for its own counts backs off to
-the same probabilities in either class.  Texts are compared by log-likelihood
-ratios normalised by length, over the whole text and over the worst of its
-expressions; a logistic curve fitted on labelled rows that the models have not
-seen maps these to scores.
+orders above ``SHARED_ORDER`` hold counts of that class alone, from all labelled
+training rows; the orders below hold one set of counts, from all documents, so an
+expression too rare for its own counts backs off to the same probabilities in
+either class.  Texts are compared by log-likelihood ratios normalised by length,
+over the whole text; the worst word, the second worst other word and the worst
+five words running find short expressions in long texts.  A logistic curve fitted
+on a bounded sample of labelled rows that the models have not seen maps these four
+to scores.
 """
 
 from __future__ import annotations
@@ -18,96 +20,102 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import LOWER, Slab, find, mix, slabs
+from .tokens import LOWER, Slab, find, slabs
 
 ORDER, SHARED_ORDER = 6, 3
 DISCOUNT = 0.75
-#: Most labelled rows of each class, those with the smallest hash of their id.
+#: Most labelled rows of each class that fit the curve, those with the smallest hash of their id.
 MAX_PER_CLASS = 5_000
+#: One labelled row of so many, by a hash of its id, is left to the curve; the others fit the models.
+CURVE_FOLD = 5
 _CACHE_WORDS = 1 << 20
-_MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
+_START, _END = 1, 2
 
 
-def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each byte of the words, and the end of each, hashes of the 1 .. ORDER bytes up to it (0: too few), and the word of each."""
+def _last(grams: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` symbols of packed grams."""
+    return grams & np.int64((1 << 8 * order) - 1)
+
+
+def packed_grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the start, each byte and the end of each word the ORDER symbols up to it, eight bits each (0: none), and its word."""
     size = end - start + 2
     word = np.repeat(np.arange(len(start)), size)
     place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
     at = np.repeat(start, size) + place - 1
-    symbol = LOWER[data[np.clip(at, 0, max(len(data) - 1, 0))]].astype(np.uint64)
-    symbol[place == 0] = 1
-    symbol[place == np.repeat(size, size) - 1] = 2
-    codes = mix(symbol + np.uint64(3))
-    out = [codes]
-    for k in range(2, ORDER + 1):
-        # the k bytes up to here: the k - 1 bytes up to the one before, then this one
-        h = np.zeros_like(codes)
-        h[1:] = mix(out[-1][:-1] * _MULTIPLIER + codes[1:])
-        h[place < k - 1] = 0
-        out.append(h)
-    return out, word
+    symbol = LOWER[data[np.clip(at, 0, max(len(data) - 1, 0))]].astype(np.int64) if len(data) else np.zeros(len(at), np.int64)
+    symbol[place == 0] = _START
+    symbol[place == np.repeat(size, size) - 1] = _END
+    grams = symbol.copy()
+    for back in range(1, ORDER):
+        grams[back:] |= np.where(place[back:] >= back, symbol[:-back] << 8 * back, 0)
+    return grams, word
+
+
+def _counts(grams: np.ndarray, raw: np.ndarray, order: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(sorted grams, counts) by order: occurrences at the highest, below it the symbols seen before a gram, or occurrences at the start of words."""
+    out, above = {}, None
+    for k in range(order, 0, -1):
+        keys, inverse = np.unique(_last(grams, k), return_inverse=True)
+        seen = np.stack([np.bincount(inverse, r, minlength=len(keys)) for r in raw.T], 1)
+        counts = seen
+        if above is not None:
+            longer, of_longer = above
+            at = np.searchsorted(keys, _last(longer, k))
+            kinds = np.stack([np.bincount(at, c > 0, minlength=len(keys)) for c in of_longer.T], 1)
+            counts = np.where(kinds > 0, kinds, seen)
+        whole = (keys >> 8 * (k - 1)) > 0  # the others are shorter grams at the start of a word
+        above = keys[whole], seen[whole]
+        out[k] = keys[whole], counts[whole]
+    return out
 
 
 class Models:
-    """Both classes' models; ``keys[k]`` are the sorted hashes of order k + 1."""
+    """Both classes' models; ``keys[k]`` are the sorted packed grams of order k + 1."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray):
-        """counts: for each word its number in ordinary and in toxic texts."""
-        data = np.frombuffer(b"".join(words), np.uint8)
-        end = np.cumsum([len(w) for w in words], dtype=np.int64) if words else np.zeros(0, np.int64)
-        grams, word = _grams(data, end - np.diff(end, prepend=0), end)
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, shared: np.ndarray, shared_counts: np.ndarray):
+        """counts: of each gram of ORDER symbols in ordinary and in toxic texts; shared: grams of SHARED_ORDER + 1 symbols in all texts."""
+        low, high = _counts(shared, shared_counts[:, None], SHARED_ORDER + 1), _counts(grams, counts, ORDER)
         self.keys: list[np.ndarray] = []
         self.alpha: list[np.ndarray] = []
-        self.weight: list[np.ndarray] = [np.ones((1, 2))]
-        index = []
-        for g in grams:
-            keys, first, inverse = np.unique(g, return_index=True, return_inverse=True)
+        self.weight: list[np.ndarray] = []
+        for k in range(1, ORDER + 1):
+            keys, raw = low[k] if k <= SHARED_ORDER else high[k]
+            raw = np.repeat(raw, 2, 1) if k <= SHARED_ORDER else raw
             self.keys.append(keys)
-            index.append((first.astype(np.int32), inverse.astype(np.int32)))
-        for k, g in enumerate(grams):
-            (first, inverse), n = index[k], len(self.keys[k])
-            raw = np.stack([np.bincount(inverse, counts[word, c], minlength=n) for c in range(2)], 1)
-            if k + 1 < ORDER:  # below the highest order: in how many contexts one byte longer
-                longer_first, _ = index[k + 1]
-                above = np.stack([np.bincount(index[k + 1][1], counts[word, c], minlength=len(self.keys[k + 1])) for c in range(2)], 1) > 0
-                real = self.keys[k + 1] != 0
-                at = inverse[longer_first[real]]
-                kinds = np.stack([np.bincount(at, above[real, c], minlength=n) for c in range(2)], 1)
-                raw = np.where(kinds > 0, kinds, raw)
-            if k < SHARED_ORDER:
-                raw = np.repeat(raw.sum(1, keepdims=True), 2, 1)
-            raw[self.keys[k] == 0] = 0
-            if k == 0:
-                p = (raw + 1) / (raw.sum(0) + 256)
-                self.alpha.append(p)
+            if k == 1:
+                self.alpha.append((raw + 1) / (raw.sum(0) + 256))
+                self.unseen = 1 / (raw.sum(0) + 256)
                 continue
-            context = index[k - 1][1][np.maximum(first - 1, 0)]
-            m = len(self.keys[k - 1])
-            total = np.stack([np.bincount(context, raw[:, c], minlength=m) for c in range(2)], 1)
-            kinds = np.stack([np.bincount(context, raw[:, c] > 0, minlength=m) for c in range(2)], 1)
+            before = self.keys[k - 2]
+            context = find(before, keys >> 8)
+            raw, context = raw * (context >= 0)[:, None], np.maximum(context, 0)
+            total = np.stack([np.bincount(context, r, minlength=len(before)) for r in raw.T], 1)
+            kinds = np.stack([np.bincount(context, r > 0, minlength=len(before)) for r in raw.T], 1)
             with np.errstate(invalid="ignore", divide="ignore"):
-                alpha = np.maximum(raw - DISCOUNT, 0) / total[context]
-                weight = np.where(total > 0, DISCOUNT * kinds / total, 1.0)
-            self.alpha.append(np.nan_to_num(alpha))
-            if k == 1:
-                self.weight = [weight]
-            else:
-                self.weight.append(weight)
+                self.alpha.append(np.nan_to_num(np.maximum(raw - DISCOUNT, 0) / total[context]))
+                self.weight.append(np.where(total > 0, DISCOUNT * kinds / total, 1.0))
+
+    def probabilities(self, grams: np.ndarray) -> np.ndarray:
+        """Of the last symbol of each packed gram after those before it, in ordinary and in toxic texts."""
+        at = find(self.keys[0], _last(grams, 1))
+        p = np.where((at >= 0)[:, None], self.alpha[0][np.maximum(at, 0)], self.unseen)
+        for k in range(2, ORDER + 1):
+            live = np.flatnonzero(_last(grams, k) >> 8 * (k - 1) > 0)
+            before = find(self.keys[k - 2], _last(grams[live], k) >> 8)
+            live, before = live[before >= 0], before[before >= 0]  # unknown contexts back off with weight 1
+            at = find(self.keys[k - 1], _last(grams[live], k))
+            p[live] = p[live] * self.weight[k - 2][before] + np.where((at >= 0)[:, None], self.alpha[k - 1][np.maximum(at, 0)], 0)
+        return p
 
     def ratios(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Toxic over ordinary log-likelihood of each word."""
+        """Toxic over ordinary log-likelihood of each word; its start is given."""
         if not len(start):
             return np.zeros(0)
-        grams, word = _grams(data, start, end)
-        at = find(self.keys[0], grams[0])
-        p = np.where((at >= 0)[:, None], self.alpha[0][np.maximum(at, 0)], 1 / 256)
-        for k in range(1, ORDER):
-            before = np.append(-1, at[:-1])
-            live = np.flatnonzero((grams[k] != 0) & (before >= 0))  # unknown contexts back off with weight 1
-            at = np.full(len(word), -1)
-            at[live] = find(self.keys[k], grams[k][live])
-            p[live] = p[live] * self.weight[k - 1][before[live]] + np.where((at[live] >= 0)[:, None], self.alpha[k][np.maximum(at[live], 0)], 0)
-        return np.bincount(word, np.log(p[:, 1]) - np.log(p[:, 0]), minlength=len(start))
+        grams, word = packed_grams(data, start, end)
+        given = grams == _START
+        p = self.probabilities(grams[~given])
+        return np.bincount(word[~given], np.log(p[:, 1]) - np.log(p[:, 0]), minlength=len(start))
 
 
 class Scorer:
@@ -172,20 +180,21 @@ def _scorer(shared) -> Scorer:
     return _KEPT[0][1]
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of SHARED_ORDER + 1 symbols of all rows (labelled -1), and of ORDER symbols of rows with a label."""
     for batch in batches:
-        label = batch.column(0).to_numpy(zero_copy_only=False)
+        label = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
         for rows, slab in slabs(batch.column(1)):
+            if not len(slab.hash):
+                continue
             _, first, inverse = np.unique(slab.hash, return_index=True, return_inverse=True)
-            toxic = label[rows][slab.row()] == 1
-            yield pa.record_batch(
-                [
-                    pa.array([slab.word(i) for i in first], pa.binary()),
-                    pa.array(np.bincount(inverse, ~toxic, minlength=len(first)).astype(np.int64)),
-                    pa.array(np.bincount(inverse, toxic, minlength=len(first)).astype(np.int64)),
-                ],
-                ["word", "n0", "n1"],
-            )
+            grams, word = packed_grams(slab.data, slab.start[first], slab.end[first])
+            of_word = label[rows][slab.row()]
+            for c in (-1, 0, 1):
+                times = np.bincount(inverse, None if c < 0 else of_word == c, minlength=len(first))[word]
+                keys, at = np.unique(_last(grams, SHARED_ORDER + 1) if c < 0 else grams[times > 0], return_inverse=True)
+                n = np.bincount(at, times if c < 0 else times[times > 0], minlength=len(keys)).astype(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys), pa.array(n)], ["label", "gram", "n"])
 
 
 def _features(shared):
@@ -220,33 +229,41 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "t
     """The columns ``keep`` with ``score``, from 0 to 1.
 
     Learns from the labelled rows for which ``train`` (a condition on ``labels``)
-    holds, at most ``max_per_class`` of each class: four fifths fit the models,
-    the rest the curve.  Null and empty texts have features 0; rows of one text
-    have one score.  Where one class has no labelled rows, all scores are 0.
+    holds; an id with both labels has none.  Four fifths of them, all of these, fit
+    the orders of a class; of the others at most ``max_per_class`` of each class fit
+    the curve.  The shared orders count all documents.  Null and empty texts have
+    features 0; rows of one text have one score; an empty table gives no rows.
+    Where one class has no labelled rows, all scores are 0.
+
+    The driver gets distinct grams of six bytes of labelled texts and of four of all
+    texts, so it grows as these do, not as the number of words or rows.
     """
     spark = docs.sparkSession
     given = labels if train is None else labels.where(train)
-    given = given.select(F.col(key).cast("long").alias("__id"), F.col(label).cast("int").alias("__label")).dropna().dropDuplicates(["__id"])
-    given = given.where(F.col("__label").isin(0, 1))
+    given = given.select(F.col(key).cast("long").alias("__id"), F.col(label).cast("int").alias("__label")).dropna().where(F.col("__label").isin(0, 1))
+    given = given.groupBy("__id").agg(F.min("__label").alias("__label"), F.max("__label").alias("__most")).where("__label = __most").drop("__most")
+    fold = F.pmod(F.xxhash64(F.lit(7), "__id"), F.lit(CURVE_FOLD))
+    # Spark broadcasts the labels while they are few; beyond that this join shuffles the texts once
+    fitted = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text")).join(given.where(fold > 0), "__id", "left")
+    grams = fitted.select("__label", "__text").mapInArrow(_count_grams, "label int, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()
+    of, gram, n = (grams[c].to_numpy() for c in ("label", "gram", "n"))
+    if len({0, 1} & set(np.unique(of).tolist())) < 2:
+        return docs.select(*keep, F.lit(0.0).alias("score"))
+    keys, at = np.unique(gram[of >= 0], return_inverse=True)
+    counts = np.stack([np.bincount(at, np.where(of[of >= 0] == c, n[of >= 0], 0), minlength=len(keys)) for c in range(2)], 1)
+    models = Models(keys, counts, gram[of < 0], n[of < 0].astype(float))
     picked = None
     for c in (0, 1):
-        part = given.where(F.col("__label") == c).orderBy(F.xxhash64("__id"), "__id").limit(max_per_class)
+        part = given.where((F.col("__label") == c) & (fold == 0)).orderBy(F.xxhash64("__id"), "__id").limit(max_per_class)
         picked = part if picked is None else picked.union(part)
-    rows = picked.collect()  # at most 2 * max_per_class
-    if len({r["__label"] for r in rows}) < 2:
-        return docs.select(*keep, F.lit(0.0).alias("score"))
-    sample = spark.createDataFrame([(r["__id"], r["__label"], hash((r["__id"], 7)) % 5 > 0) for r in rows], "__id long, __label int, __fit boolean")
-    known = docs.join(F.broadcast(sample), F.col(key).cast("long") == F.col("__id"))
-    words = known.where("__fit").select("__label", F.col(text)).mapInArrow(_count_words, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    words = words.sort_by("word")
-    models = Models(words["word"].to_pylist(), np.stack([words["n0"].to_numpy(), words["n1"].to_numpy()], 1).astype(float))
+    known = docs.join(F.broadcast(picked), F.col(key).cast("long") == F.col("__id"))  # at most 2 * max_per_class
     shared = spark.sparkContext.broadcast(models)
 
     def described(frame: DataFrame, columns: list[str]) -> DataFrame:
         packed = frame.select(F.struct(F.col(text).alias("__text"), *columns).alias("row"))
         return packed.mapInArrow(_features(shared), f"row {packed.schema['row'].dataType.simpleString()}, f array<double>")
 
-    curve = described(known.where("NOT __fit"), ["__label"]).select("f", "row.__label").collect()
+    curve = described(known, ["__label"]).select("f", "row.__label").collect()
     x, y = np.array([r.f for r in curve]).reshape(-1, 4), np.array([r["__label"] for r in curve], float)
     if len(set(y)) < 2:
         x, y = np.array([[0.0, 0, 0, 0], [1, 10, 10, 20]]), np.array([0.0, 1])
