@@ -137,6 +137,33 @@ beerware | beer | \bbeer-?ware(?:\s+licen[sc]e)?\b | spdx\.org/licenses/beerware
 proprietary | reserved | \ball\s+rights\s+reserved\b |
 copyleft | copyleft | \bcopyleft\b | fsf\.org/licensing/essays/copyleft
 """
+# label, words of the license's own text that stand in a row; one a line.
+_TEXTS = r"""
+mit | permission is hereby granted free of charge to any person obtaining a copy
+boost | permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy
+x11 | shall not be used in advertising or otherwise to promote the sale use or other dealings in this software
+isc | permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee
+postgresql | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement
+bsd | redistribution and use in source and binary forms with or without modification are permitted
+bsd-3-clause | may be used to endorse or promote products derived from this software without
+bsd-4-clause | all advertising materials mentioning features or use of this software must display
+apache-1.1 | this product includes software developed by the apache software foundation
+apache-2.0 | distributed on an as is basis without warranties or conditions of any kind
+openssl | this product includes software developed by the openssl project
+gpl | this program is free software you can redistribute it and or modify it under the terms of the gnu general public
+lgpl | this library is free software you can redistribute it and or modify it under the terms of the gnu(?: lesser| library) general public
+gpl | everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed
+wtfpl | everyone is permitted to copy and distribute verbatim or modified copies of this license document
+mpl-2.0 | this source code form is subject to the terms of the mozilla public license
+epl | the accompanying materials are made available under the terms of the eclipse public license
+unlicense | this is free and unencumbered software released into the public domain
+zlib | this software is provided as is without any express or implied warranty in no event will the authors be held liable
+cc0-1.0 | to the extent possible under law \w+(?: \w+)?(?: \w+)? has waived all copyright and related or neighboring rights
+ofl-1.1 | this font software is licensed under the sil open font license
+beerware | as long as you retain this notice you can do whatever you want with this stuff
+json | the software shall be used for good not evil
+proprietary | unauthori[sz]ed copying of this file via any medium is strictly prohibited
+"""
 _GRANT = r"\b(?:(?:re)?licen[sc]ed|released|distributed|available|provided|published|covered|redistributed?)\s+(?:\w+\s+){0,6}?(?:under|by|with|per)\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:gnu\s+)?"
 
 
@@ -150,7 +177,7 @@ class Rule(NamedTuple):
 
 @lru_cache(1)
 def rules() -> list[Rule]:
-    """Four kinds for each license, the surest first: identifier tag, address, grant, mention."""
+    """Four kinds for each license, the surest first: identifier tag, address, grant, mention; and words of the licenses' texts."""
     out = []
     for line in _SIGNATURES.strip().splitlines():
         label, keyword, name, address = (x.strip() for x in re.split(r" \|(?: |$)", line))
@@ -160,6 +187,9 @@ def rules() -> list[Rule]:
             out.append(Rule(label, address.split("\\.")[0].split("|")[0].split("/")[0], rf"(?:https?://)?(?:www\.)?(?:{address})", 3, 0.95))
         out.append(Rule(label, keyword, _GRANT + rf"(?:{name})", 2, 0.9))
         out.append(Rule(label, keyword, name, 1, 0.7))
+    for line in _TEXTS.strip().splitlines():
+        label, phrase = line.split(" | ")
+        out.append(Rule(label, "", rf"\b{phrase}\b".replace(" ", r"\W+"), 3, 0.95))
     return out
 
 
@@ -225,11 +255,15 @@ class Scanner:
         return self.resolve(found)
 
     def resolve(self, found: list[Detection]) -> list[Detection]:
-        """Suppression by priority and containment; of equal spans the earlier rule stays."""
+        """Suppression by priority and containment, in one sweep; of equal spans the earlier rule stays."""
         kept: list[Detection] = []
-        for d in sorted(found, key=lambda d: (-self.rules[d.rule].priority, d.start - d.end, d.rule)):
-            if not any(k.start <= d.start and d.end <= k.end for k in kept):
+        furthest = [-1] * (1 + max(r.priority for r in self.rules))  # end of the detections of each priority so far
+        # whatever contains a detection comes before it
+        for d in sorted(found, key=lambda d: (d.start, -d.end, -self.rules[d.rule].priority, d.rule)):
+            priority = self.rules[d.rule].priority
+            if max(furthest[priority:]) < d.end:
                 kept.append(d)
+            furthest[priority] = max(furthest[priority], d.end)
         return sorted(kept)
 
 
