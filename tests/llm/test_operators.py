@@ -62,6 +62,18 @@ def test_resampling_without_labels_keeps_all(spark):
     assert resample.importance_resampling(docs.limit(0), none, ["doc_id"]).count() == 0
 
 
+def test_top_k_equals_sorting(spark, prose):
+    docs = documents(spark, [(i, prose(20)) for i in range(100)] + ODD)
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(3, 0)], "doc_id long, quality int")
+    out = resample.importance_resampling(docs, labels, ["doc_id"], share=0.3).collect()
+    best = sorted((r.gumbel_key for r in out), reverse=True)[round(0.3 * len(out)) - 1]
+    assert {r.doc_id for r in out if r.selected} == {r.doc_id for r in out if r.gumbel_key >= best}
+    assert not any(r.selected for r in resample.importance_resampling(docs, labels, ["doc_id"], share=0.0).collect())
+    assert all(r.selected for r in resample.importance_resampling(docs, labels, ["doc_id"], share=1.0).collect())
+    values = spark.createDataFrame([(float(x),) for x in [3, 3, 3, 1, 2, 2, -5]], "v double")
+    assert [resample.kth_largest(values, "v", k) for k in range(1, 9)] == [3, 3, 3, 2, 2, 1, -5, -5]
+
+
 def test_gumbel_keys_sample_in_proportion(spark):
     weights = {0: 1.0, 1: 2.0, 2: 5.0}
     df = spark.range(9000).selectExpr("id DIV 3 AS trial", "id % 3 AS item")
@@ -134,15 +146,44 @@ def test_chunk_framing():
 # --- 3 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_models_sum_to_one_and_prefer_their_class():
-    ws = [b"abba", b"abc", b"cab", b"bac"]
-    m = toxicity.Models(ws, np.array([[5, 0], [3, 1], [0, 6], [1, 1]], float))
-    data = np.frombuffer(b"abbacab", np.uint8)
-    r = m.ratios(data, np.array([0, 4]), np.array([4, 7]))
+def kneser_ney(context, symbol, own, everything):
+    """Interpolated Kneser-Ney by counting in dictionaries: own and everything are lists of words as tuples of symbols."""
+
+    def count(k, gram, texts):
+        at = [(w, i) for w in texts for i in range(len(w) - k + 1) if w[i : i + k] == gram]
+        before = {w[i - 1] for w, i in at if i}
+        top = toxicity.SHARED_ORDER + 1 if texts is everything else toxicity.ORDER
+        return len(before) if before and k < top else len(at)
+
+    symbols = range(256)
+    total = sum(count(1, (x,), everything) for x in symbols)
+    p = (count(1, (symbol,), everything) + 1) / (total + 256)
+    for k in range(2, min(toxicity.ORDER, len(context) + 1) + 1):
+        texts = everything if k <= toxicity.SHARED_ORDER else own
+        after = [count(k, (*context[-(k - 1) :], x), texts) for x in symbols]
+        if sum(after):
+            p = max(after[symbol] - toxicity.DISCOUNT, 0) / sum(after) + toxicity.DISCOUNT * sum(n > 0 for n in after) / sum(after) * p
+    return p
+
+
+def test_models_equal_kneser_ney_and_sum_to_one(spark):
+    texts = [("abba abba cab", 0), ("abc abba Bac", 0), ("cab cab bacabac", 1), ("bac cab", 1), ("abcab zz", None)]
+    df = spark.createDataFrame([(label, t) for t, label in texts], "label int, text string").repartition(2)
+    rows = df.mapInArrow(toxicity._count_grams, "label int, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).collect()
+    grams = sorted({r.gram for r in rows if r.label >= 0})
+    n = {(r.label, r.gram): r.n for r in rows}
+    shared = [g for label, g in n if label < 0]
+    m = toxicity.Models(np.array(grams), np.array([[n.get((c, g), 0) for c in (0, 1)] for g in grams]), np.array(shared), np.array([float(n[-1, g]) for g in shared]))
+    split = {label: [(1, *w.encode(), 2) for t, own in texts if own == label for w in t.lower().split()] for label in (0, 1, None)}
+    everything = [w for ws in split.values() for w in ws]
+    pack = lambda symbols: np.int64(sum(x << 8 * i for i, x in enumerate(reversed(symbols[-toxicity.ORDER :]))))
+    for context in [(1,), (1, 97), (1, *b"ab"), tuple(b"bacab"), tuple(b"qab"), (1, *b"zz")]:
+        p = m.probabilities(np.array([pack((*context, x)) for x in range(256)]))
+        assert np.allclose(p.sum(0), 1)
+        for x in (2, 97, 98, 122):
+            assert np.allclose(p[x], [kneser_ney(context, x, split[c], everything) for c in (0, 1)])
+    r = m.ratios(np.frombuffer(b"abbacab", np.uint8), np.array([0, 4]), np.array([4, 7]))
     assert r[0] < 0 < r[1]
-    # the probabilities of all bytes after a known context add up to 1
-    grams, _ = toxicity._grams(np.frombuffer(b"ab", np.uint8), np.array([0]), np.array([2]))
-    assert [len(g) for g in grams] == [4] * toxicity.ORDER
 
 
 def test_toxicity_separates_held_out_rows(spark, prose):
@@ -160,6 +201,13 @@ def test_toxicity_separates_held_out_rows(spark, prose):
     assert all(0 <= s <= 1 for s in out.values()) and out[900] == out[901] == out[902] < 0.3
 
 
+def test_contradicting_labels_and_empty_tables(spark):
+    both = spark.createDataFrame([(5, 0), (5, 1), (6, 1), (4, 0)], "doc_id long, toxic int")
+    docs = documents(spark, ODD)
+    assert len(toxicity.toxicity(docs, both, ["doc_id"]).collect()) == len(ODD)
+    assert toxicity.toxicity(docs.limit(0), both, ["doc_id"]).count() == 0
+
+
 def test_toxicity_without_a_class_scores_zero(spark):
     given = spark.createDataFrame([(5, 0)], "doc_id long, toxic int")
     assert {r.score for r in toxicity.toxicity(documents(spark, ODD), given, ["doc_id"]).collect()} == {0.0}
@@ -428,6 +476,21 @@ def test_containment_and_priority():
     assert [s.rules[d.rule].label for d in s.scan(text)] == ["gpl-3.0"]
     a, b = licenses.Detection(0, 10, 3), licenses.Detection(2, 5, 3)
     assert s.resolve([b, a]) == [a]
+    rng = random.Random(4)
+    for _ in range(200):
+        found = [licenses.Detection(i, i + rng.randint(1, 6), rng.randrange(len(s.rules))) for i in (rng.randrange(12) for _ in range(12))]
+        rank = lambda d: (-s.rules[d.rule].priority, d.start - d.end, d.rule)
+        inside = lambda d, k: k.start <= d.start and d.end <= k.end and rank(k) < rank(d)
+        want = sorted({d for d in found if not any(inside(d, k) for k in found)})
+        assert s.resolve(sorted(set(found))) == want
+
+
+def test_words_of_license_texts(spark):
+    s = licenses.Scanner()
+    of = lambda text: {s.rules[d.rule].label for d in s.scan(text)}
+    assert of("permission is hereby granted, free of charge,\nto any person obtaining a copy of this") == {"mit"}
+    assert of("redistribution and use in source and binary forms, with or without\n// modification, are permitted") == {"bsd"}
+    assert of("permission is hereby granted by the museum, free of charge") == set()
 
 
 # --- 8 ---------------------------------------------------------------------------------------------------------------
