@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import sieve
 from .tokens import LOWER, Slab, find, slabs
 
 ORDER, SHARED_ORDER = 6, 3
@@ -180,8 +181,11 @@ def _scorer(shared) -> Scorer:
     return _KEPT[0][1]
 
 
+_GRAMS = "label int, gram long, n long"
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grams of SHARED_ORDER + 1 symbols of all rows (labelled -1), and of ORDER symbols of rows with a label."""
+    """Grams of ORDER symbols of rows with a label, and of SHARED_ORDER + 1 symbols of the others (as label -1)."""
     for batch in batches:
         label = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
         for rows, slab in slabs(batch.column(1)):
@@ -190,10 +194,11 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, first, inverse = np.unique(slab.hash, return_index=True, return_inverse=True)
             grams, word = packed_grams(slab.data, slab.start[first], slab.end[first])
             of_word = label[rows][slab.row()]
-            for c in (-1, 0, 1):
-                times = np.bincount(inverse, None if c < 0 else of_word == c, minlength=len(first))[word]
-                keys, at = np.unique(_last(grams, SHARED_ORDER + 1) if c < 0 else grams[times > 0], return_inverse=True)
-                n = np.bincount(at, times if c < 0 else times[times > 0], minlength=len(keys)).astype(np.int64)
+            for c in np.unique(of_word):
+                times = np.bincount(inverse, of_word == c, minlength=len(first))[word]
+                of_class = grams[times > 0] if c >= 0 else _last(grams[times > 0], SHARED_ORDER + 1)
+                keys, at = np.unique(of_class, return_inverse=True)
+                n = np.bincount(at, times[times > 0], minlength=len(keys)).astype(np.int64)
                 yield pa.record_batch([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys), pa.array(n)], ["label", "gram", "n"])
 
 
@@ -243,9 +248,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "t
     given = given.select(F.col(key).cast("long").alias("__id"), F.col(label).cast("int").alias("__label")).dropna().where(F.col("__label").isin(0, 1))
     given = given.groupBy("__id").agg(F.min("__label").alias("__label"), F.max("__label").alias("__most")).where("__label = __most").drop("__most")
     fold = F.pmod(F.xxhash64(F.lit(7), "__id"), F.lit(CURVE_FOLD))
-    # Spark broadcasts the labels while they are few; beyond that this join shuffles the texts once
-    fitted = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text")).join(given.where(fold > 0), "__id", "left")
-    grams = fitted.select("__label", "__text").mapInArrow(_count_grams, "label int, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text"))
+    models_of = given.where(fold > 0)
+    # only labelled texts are shuffled, at every size
+    labelled = sieve(models_of, "__id", rows, F.col("__id")).join(models_of.hint("merge"), "__id").select("__label", "__text")
+    counted = labelled.mapInArrow(_count_grams, _GRAMS).unionByName(rows.select(F.lit(-1).alias("__label"), "__text").mapInArrow(_count_grams, _GRAMS))
+    grams = counted.groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()
     of, gram, n = (grams[c].to_numpy() for c in ("label", "gram", "n"))
     if len({0, 1} & set(np.unique(of).tolist())) < 2:
         return docs.select(*keep, F.lit(0.0).alias("score"))

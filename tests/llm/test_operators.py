@@ -168,7 +168,7 @@ def kneser_ney(context, symbol, own, everything):
 
 def test_models_equal_kneser_ney_and_sum_to_one(spark):
     texts = [("abba abba cab", 0), ("abc abba Bac", 0), ("cab cab bacabac", 1), ("bac cab", 1), ("abcab zz", None)]
-    df = spark.createDataFrame([(label, t) for t, label in texts], "label int, text string").repartition(2)
+    df = spark.createDataFrame([(label, t) for t, own in texts for label in (own, -1) if label is not None], "label int, text string").repartition(2)
     rows = df.mapInArrow(toxicity._count_grams, "label int, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).collect()
     grams = sorted({r.gram for r in rows if r.label >= 0})
     n = {(r.label, r.gram): r.n for r in rows}
