@@ -63,14 +63,29 @@ def _grid_like(values: Column, sampling: str, base: float) -> Column:
     return dense if sampling == "log" else F.array_sort(F.transform(dense, lambda x: 1 - x))
 
 
-def parametric_cdf(name: str, x: Column, *p: float) -> Column:
+#: Numbers of shape parameters of the distributions in closed form.
+SHAPES = {"uniform": 0, "expon": 0, "weibull_min": 1, "gumbel_r": 0, "logistic": 0}
+
+
+def _parameters(p: Sequence[Column | float]) -> list[Column]:
+    return [x if isinstance(x, Column) else F.lit(float(x)) for x in p]
+
+
+def parameters_of(name: str, values: Column) -> list[Column]:
+    """The parameters of a distribution from an array: shape, if it has one, place, scale."""
+    if name not in SHAPES:
+        raise KeyError(f"unknown distribution: {name}")
+    return [F.get(values, F.lit(i)) for i in range(SHAPES[name] + 2)]
+
+
+def parametric_cdf(name: str, x: Column, *p: Column | float) -> Column:
     """Distribution functions in closed form; the last two parameters are place and scale."""
-    *shape, loc, scale = p
+    *shape, loc, scale = _parameters(p)
     z = (x - loc) / scale
     forms = {
         "uniform": lambda: F.greatest(F.lit(0.0), F.least(F.lit(1.0), z)),
         "expon": lambda: F.when(z < 0, 0.0).otherwise(1 - F.exp(-z)),
-        "weibull_min": lambda: F.when(z <= 0, 0.0).otherwise(1 - F.exp(-F.pow(F.greatest(z, F.lit(0.0)), F.lit(float(shape[0]))))),
+        "weibull_min": lambda: F.when(z <= 0, 0.0).otherwise(1 - F.exp(-F.pow(F.greatest(z, F.lit(0.0)), shape[0]))),
         "gumbel_r": lambda: F.exp(-F.exp(-z)),
         "logistic": lambda: 1 / (1 + F.exp(-z)),
     }
@@ -79,12 +94,12 @@ def parametric_cdf(name: str, x: Column, *p: float) -> Column:
     return forms[name]()
 
 
-def parametric_ppf(name: str, q: Column, *p: float) -> Column:
-    *shape, loc, scale = p
+def parametric_ppf(name: str, q: Column, *p: Column | float) -> Column:
+    *shape, loc, scale = _parameters(p)
     forms = {
         "uniform": lambda: q,
         "expon": lambda: -F.log(1 - q),
-        "weibull_min": lambda: F.pow(-F.log(1 - q), F.lit(1 / shape[0]) if shape else F.lit(1.0)),
+        "weibull_min": lambda: F.pow(-F.log(1 - q), 1 / shape[0]),
         "gumbel_r": lambda: -F.log(-F.log(q)),
         "logistic": lambda: F.log(q / (1 - q)),
     }
@@ -94,10 +109,20 @@ def parametric_ppf(name: str, q: Column, *p: float) -> Column:
 
 
 def delta_mapping(
-    x: Column, observed: Column, modelled: Column, future: Column, relative: bool = True, sampling: str = "linear", base: float = 10, denominator_min: float | None = None, denominator_zero: float | None = None, delta_range: tuple[float, float] | None = None
+    x: Column, observed: Column, modelled: Column, future: Column | None = None, relative: bool = True, sampling: str = "linear", base: float = 10, denominator_min: float | None = None, denominator_zero: float | None = None, delta_range: tuple[float, float] | None = None, dist: str = "empirical"
 ) -> Column:
-    """Quantile delta mapping with empirical distributions (arrays of values at the quantile grid)."""
-    q = quantile_of(x, future, sampling, base)
+    """Quantile delta mapping.
+
+    Distributions are arrays: values at the quantile grid if empirical, else the
+    parameters of ``dist``.  The modelled one stands in for a future that is not given.
+    """
+    future = modelled if future is None else F.coalesce(future, modelled)
+    if dist == "empirical":
+        q = quantile_of(x, future, sampling, base)
+        at = lambda q, values: value_at(q, values, sampling, base)
+    else:
+        q = parametric_cdf(dist, x, *parameters_of(dist, future))
+        at = lambda q, values: parametric_ppf(dist, q, *parameters_of(dist, values))
 
     def shifted(both: Column) -> Column:
         target, model = both["target"], both["model"]
@@ -113,11 +138,11 @@ def delta_mapping(
             delta = F.greatest(F.lit(float(min(delta_range))), F.least(F.lit(float(max(delta_range))), delta))
         return target * delta if relative else target + delta
 
-    both = bound(q, lambda q: F.struct(value_at(q, observed, sampling, base).alias("target"), value_at(q, modelled, sampling, base).alias("model")))
+    both = bound(q, lambda q: F.struct(at(q, observed).alias("target"), at(q, modelled).alias("model")))
     return bound(both, shifted)
 
 
-def mapped_wind(x: Column, observed: Column, modelled: Column, future: Column, **options) -> Column:
+def mapped_wind(x: Column, observed: Column, modelled: Column, future: Column | None = None, **options) -> Column:
     """Wind speeds: zeros are mapped as 0.01 and stay zero, nothing falls below 0."""
     out = delta_mapping(F.when(x == 0, 0.01).otherwise(x), observed, modelled, future, **options)
     return F.when(x == 0, 0.0).otherwise(F.greatest(F.lit(0.0), out))

@@ -108,8 +108,8 @@ def linear_irradiance_bias(facts: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def mapped_wind_bias(facts: DataFrame, table: DataFrame, dataset: str, **options) -> DataFrame:
-    """Quantile delta mapping by site with params_oh, params_mh and params_mf, arrays or their JSON."""
-    names = ["params_oh", "params_mh", "params_mf"]
+    """Quantile delta mapping by site with params_oh, params_mh and, if given, params_mf, arrays or their JSON."""
+    names = [n for n in ("params_oh", "params_mh", "params_mf") if n != "params_mf" or n in table.columns]
     joined = with_factors(facts, parsed(table, names), names)
     new = quantiles.mapped_wind(F.col(dataset).cast("double"), *[F.col(f"__{n}") for n in names], **options)
     return joined.withColumn(dataset, F.when(F.col("__params_oh").isNull(), F.col(dataset)).otherwise(new)).drop(*[f"__{n}" for n in names])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aeolith.functions.quantiles import knots
 from aeolith.functions.scaling import clean
+from aeolith.sources.scan import in_year
 
 _MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 Aggregate = Callable[[Column], Column]
@@ -61,6 +62,46 @@ def stats(facts: DataFrame, dataset: str, statistics: Sequence[str] = ("mean", "
     return rows.groupingSets(sets, *keys).agg(*out)
 
 
+def weighted_mean(x: Column, w: Column) -> Column:
+    return F.sum(x * w) / F.sum(w)
+
+
+def weighted_std(x: Column, w: Column) -> Column:
+    """The spread around the weighted mean, of a population."""
+    mean = weighted_mean(x, w)
+    return F.sqrt(F.greatest(F.lit(0.0), weighted_mean(x * x, w) - mean * mean))
+
+
+Weighted = Callable[[Column, Column], Column]
+WEIGHTED: dict[str, Weighted] = {"mean": weighted_mean, "std": weighted_std, "sum": lambda x, w: F.sum(x * w)}
+
+
+def register_weighted(name: str, aggregate: Weighted) -> None:
+    """A weighted statistic of the caller's: an aggregate of a column and its weight, also a grouped pandas UDF of two."""
+    WEIGHTED[name] = aggregate
+
+
+def weighted_stats(facts: DataFrame, dataset: str, weights: Sequence[str], statistics: Sequence[str | Weighted] = ("mean",), period: str = "all", gid: str = "gid", ts: str = "ts") -> DataFrame:
+    """As stats(), with the product of some datasets as weight; a row without value or weight does not count.
+
+    A statistic is a name of ``WEIGHTED`` or a function of value and weight, named as the function is.
+    """
+    if period not in _GROUPINGS:
+        raise KeyError(f"unknown period: {period}")
+    weight = F.lit(1.0)
+    for w in weights:
+        weight = weight * clean(F.col(w).cast("double"))
+    rows = facts.select(F.col(gid).alias("gid"), F.month(ts).alias("month"), F.hour(ts).alias("hour"), clean(F.col(dataset).cast("double")).alias("x"), weight.alias("w"))
+    rows = rows.where("x IS NOT NULL AND w IS NOT NULL")
+    named = {s if isinstance(s, str) else s.__name__: s for s in statistics}
+    unknown = [n for n, s in named.items() if isinstance(s, str) and s not in WEIGHTED]
+    if unknown:
+        raise KeyError(f"unknown statistic: {unknown[0]}")
+    out = [(WEIGHTED[s] if isinstance(s, str) else s)(F.col("x"), F.col("w")).alias(n) for n, s in named.items()]
+    sets = [[F.col("gid"), *[F.col(c) for c in g]] for g in _GROUPINGS[period]]
+    return rows.groupingSets(sets, *[F.col(c) for c in ("gid", "month", "hour")]).agg(*out)
+
+
 def label(month: Column, hour: Column, statistic: str) -> Column:
     """The name of a column of the wide form: mean, Jan_mean, 00:00UTC_mean, Jan-00:00UTC_mean."""
     m = F.when(month.isNotNull(), F.get(F.array(*[F.lit(x) for x in _MONTHS]), month - 1))
@@ -108,5 +149,5 @@ def daily(facts: DataFrame, dataset: str) -> DataFrame:
 
 def means_map(facts: DataFrame, meta: DataFrame, dataset: str, year: int | None = None) -> DataFrame:
     """Mean of each site over all years or one, with its coordinates."""
-    rows = facts if year is None else facts.where(F.year("ts") == year)
+    rows = facts if year is None else facts.where(in_year(year))
     return with_meta(rows.groupBy("gid").agg(F.avg(clean(F.col(dataset).cast("double"))).alias("mean")), meta)

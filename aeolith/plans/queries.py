@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from aeolith.functions import heights, irradiance, quantiles, scaling, solar, units
 from aeolith.operators import derive, jointpd, ordered, select, spatial, stats
 from aeolith.plans import site_model
+from aeolith.session import shared_path
 from aeolith.sources import layout, scan, sink
 from aeolith.sources.catalog import SOLAR, WAVE, WIND, Catalog
 
@@ -50,6 +51,15 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def _filed(*parts: DataFrame) -> list[DataFrame]:
+    """The tables, each written to a file of its own and read from there."""
+    spark = parts[0].sparkSession
+    paths = [shared_path(spark, f"part{i}") for i in range(len(parts))]
+    for part, path in zip(parts, paths, strict=True):
+        sink.write_profiles(part, path)
+    return [scan.read_facts(spark, f"{path}/facts", raw=True) for path in paths]
+
+
 def facts(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
     return _read(spark, d, "events").select(
@@ -536,25 +546,25 @@ def raster_index(spark, d):
 @query("SELECT gid, ts, windspeed_80m, winddirection_80m FROM facts")
 def multi_file_join(spark, d):
     f = facts(spark, d)
-    return scan.by_dataset([f.select("gid", "ts", "windspeed_80m"), f.select("gid", "ts", "winddirection_80m")], check=True)
+    return scan.by_dataset(_filed(f.select("gid", "ts", "windspeed_80m"), f.select("gid", "ts", "winddirection_80m")), check=True)
 
 
 @query("SELECT gid, ts, value, CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN windspeed_100m END AS windspeed_100m FROM facts")
 def multi_time_union(spark, d):
     f, cut = facts(spark, d), F.lit("2024-01-16").cast("timestamp_ntz")
-    return scan.by_time([f.where(F.col("ts") < cut).select("gid", "ts", "value"), f.where(F.col("ts") >= cut).select("gid", "ts", "value", "windspeed_100m")])
+    return scan.by_time(_filed(f.where(F.col("ts") < cut).select("gid", "ts", "value"), f.where(F.col("ts") >= cut).select("gid", "ts", "value", "windspeed_100m")))
 
 
 @query("SELECT gid, ts, value FROM facts WHERE gid < 50 UNION ALL SELECT gid - 50 + (SELECT max(gid) + 1 FROM facts WHERE gid < 50), ts, value FROM facts WHERE gid >= 50")
 def combine_sites(spark, d):
     f = facts(spark, d).select("gid", "ts", "value")
-    return scan.combined_sites([f.where("gid < 50"), f.where("gid >= 50").withColumn("gid", F.col("gid") - 50)])
+    return scan.combined_sites(_filed(f.where("gid < 50"), f.where("gid >= 50").withColumn("gid", F.col("gid") - 50)))
 
 
 @query("SELECT gid, ts, value FROM facts")
 def combine_time(spark, d):
     f, cut = facts(spark, d), F.lit("2024-01-16").cast("timestamp_ntz")
-    return scan.combined_times([f.where(F.col("ts") < cut).select("gid", "ts", "value", "windspeed_80m"), f.where(F.col("ts") >= cut).select("gid", "ts", "value")])
+    return scan.combined_times(_filed(f.where(F.col("ts") < cut).select("gid", "ts", "value", "windspeed_80m"), f.where(F.col("ts") >= cut).select("gid", "ts", "value")))
 
 
 @query("SELECT CAST(2000 + o_custkey % 20 AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY 1")
@@ -596,12 +606,60 @@ def site_model_means(spark, d):
 
 @query("SELECT gid, ts, CAST(round_even(value * 10, 0) AS SMALLINT) AS value FROM facts")
 def scaled_write_roundtrip(spark, d):
-    return sink.scaled(facts(spark, d).select("gid", "ts", "value"), {"value": {"dtype": "smallint", "scale_factor": 10}})
+    path = shared_path(spark, "scaled")
+    sink.write_profiles(facts(spark, d).select("gid", "ts", "value"), path, {"value": {"dtype": "smallint", "scale_factor": 10}})
+    return scan.read_facts(spark, f"{path}/facts", raw=True)
 
 
 @query("SELECT gid, ts, value FROM facts WHERE gid IN (SELECT gid FROM meta WHERE latitude > 35)")
 def save_subset(spark, d):
-    return sink.subset(facts(spark, d), meta(spark, d).where("latitude > 35"), ["value"])
+    return _filed(sink.subset(facts(spark, d), meta(spark, d).where("latitude > 35"), ["value"]))[0]
+
+
+@query("SELECT gid, ts, gid + dayofyear(ts) / 10.0 + 1 AS q, CAST(round_even((gid + dayofyear(ts) / 10.0) * 10, 0) AS INTEGER) AS stored FROM meta, (SELECT DISTINCT ts FROM daily)")
+def store_update(spark, d):
+    sites, times = meta(spark, d), daily(spark, d).select("ts").distinct()
+    path = shared_path(spark, "store")
+    sink.create_store(path, sites, times, {"made_by": "store_update"})
+    values = sites.select("gid").crossJoin(times)  # a value for every site and time is what a store holds
+    values = values.select("gid", "ts", (F.col("gid") + F.dayofyear("ts") / 10).alias("q")).withColumn("stored", F.col("q"))
+    sink.write_dataset(path, values, "q")
+    sink.write_dataset(path, values, "stored", {"dtype": "int", "scale_factor": 10})
+    sink.update_dataset(path, values.withColumn("q", F.col("q") + 1), "q")
+    return sink.read_store(spark, path, ["q", "stored"])
+
+
+@query("SELECT gid, ts, l_quantity, CAST(year(ts) AS INTEGER) AS year FROM daily WHERE year(ts) IN (1994, 1996)")
+def multi_year_files(spark, d):
+    folder, rows = shared_path(spark, "years"), daily(spark, d).select("gid", "ts", "l_quantity")
+    paths = [f"{folder}/daily_{y}.parquet" for y in (1994, 1995, 1996)]
+    for y, path in zip((1994, 1995, 1996), paths, strict=True):
+        scan.in_years(rows, [y]).write.parquet(path)
+    return scan.by_year(spark, paths, [1994, 1996])
+
+
+@query("""SELECT gid, ts, round(CASE WHEN value = 0 THEN 0 ELSE greatest(0, (60 + gid % 7) * sqrt(-ln(1 - q)) * (value / ((80 + gid % 5) * sqrt(-ln(1 - q))))) END, 6) AS value
+  FROM (SELECT gid, ts, value, 1 - exp(-power((CASE WHEN value = 0 THEN 0.01 ELSE value END) / 90.0, 2)) AS q FROM facts)""")
+def qdm_parametric(spark, d):
+    parameters = lambda scale: F.array(F.lit(2.0), F.lit(0.0), scale.cast("double"))
+    rows = facts(spark, d).select("gid", "ts", "value")
+    sites = rows.select("gid").distinct().select("gid", parameters(60 + F.col("gid") % 7).alias("params_oh"), parameters(80 + F.col("gid") % 5).alias("params_mh"), parameters(F.lit(90)).alias("params_mf"))
+    return derive.mapped_wind_bias(rows, sites, "value", dist="weibull_min").select("gid", "ts", _r("value", 6).alias("value"))
+
+
+@query("""SELECT gid, CAST(month(ts) AS INTEGER) AS month, round(sum(windspeed_80m * value) / sum(value), 5) AS mean, round(sum(windspeed_80m * value), 2) AS sum FROM facts GROUP BY gid, month(ts)""")
+def weighted_monthly(spark, d):
+    out = stats.weighted_stats(facts(spark, d), "windspeed_80m", ["value"], ["mean", "sum"], "monthly")
+    return out.select("gid", "month", _r("mean", 5).alias("mean"), _r("sum", 2).alias("sum"))
+
+
+@query("""SELECT gid, ts, round(least(1360, value * 3), 5) AS "DNI", round(least(1360, value), 5) AS "DHI", round(least(1360, value * 4), 5) AS "GHI", round(least(120, value / 20), 5) AS "Wind Speed", round(least(100, value / 10), 5) AS "Temperature" FROM facts""")
+def site_model_files(spark, d):
+    v, rows = F.col("value"), facts(spark, d)
+    sun = rows.select("gid", "ts", (v * 3).alias("dni"), v.alias("dhi"), (v * 4).alias("ghi"))
+    air = rows.select("gid", "ts", (v / 20).alias("windspeed"), (v / 10).alias("air_temperature"))
+    out = site_model.site_table(site_model.loaded_files(_filed(sun, air), "pv"), time_columns=False)
+    return out.select("gid", "ts", *[_r(F.col(f"`{c}`"), 5).alias(c) for c in ("DNI", "DHI", "GHI", "Wind Speed", "Temperature")])
 
 
 @query("SELECT gid, ts, windspeed_100m, winddirection_100m FROM facts")

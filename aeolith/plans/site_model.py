@@ -11,7 +11,9 @@ from aeolith.errors import ResourceKeyError
 from aeolith.functions import irradiance, solar, units
 from aeolith.operators.derive import in_model_units, with_dataset
 from aeolith.operators.ordered import roll_to_local
-from aeolith.sources.catalog import PRESETS, Catalog, ResourceSpec
+from aeolith.operators.spatial import with_low_resolution
+from aeolith.sources.catalog import INDEX, PRESETS, Catalog, ResourceSpec
+from aeolith.sources.scan import by_dataset
 
 #: Variables each kind of model needs.
 VARIABLES = {
@@ -70,6 +72,17 @@ def loaded(facts: DataFrame, technology: str, spec: ResourceSpec | None = None,
     return in_model_units(out.select("gid", "ts", *(["t_idx"] if "t_idx" in facts.columns else []), *names), names, technology)
 
 
+def loaded_files(parts: Sequence[DataFrame], technology: str, check: bool = False, **options) -> DataFrame:
+    """loaded() from files that hold different datasets of the same sites and times."""
+    return loaded(by_dataset(parts, check), technology, **options)
+
+
+def loaded_resolutions(facts: DataFrame, sites: DataFrame, low: DataFrame, low_sites: DataFrame, technology: str, **options) -> DataFrame:
+    """loaded() with the datasets that only a coarser source has, from its nearest site, interpolated in time."""
+    more = [c for c in low.columns if c not in (*facts.columns, *INDEX)]
+    return loaded(with_low_resolution(facts, sites, low, low_sites, more), technology, **options)
+
+
 def means(table: DataFrame) -> DataFrame:
     """Mean of each variable and site; irradiance also as daily sums."""
     names = [c for c in table.columns if c not in ("gid", "ts", "t_idx")]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeolith.functions.scaling import smallest_integer, to_stored
@@ -66,6 +67,54 @@ def write_profiles(facts: DataFrame, path: str, attributes: dict[str, dict] | No
         facts.sparkSession.createDataFrame(rows, "name string, config string").write.mode(mode).parquet(f"{path}/configs")
 
 
+def create_store(path: str, meta: DataFrame, times: DataFrame, configs: dict | None = None, mode: str = "errorifexists") -> None:
+    """A store without datasets: its sites, its times, and how it was made."""
+    shrink_meta(meta).write.mode(mode).parquet(f"{path}/meta")
+    times.select("ts").distinct().write.mode(mode).parquet(f"{path}/time_index")
+    if configs:
+        rows = [(k, json.dumps(v)) for k, v in configs.items()]
+        meta.sparkSession.createDataFrame(rows, "name string, config string").write.mode(mode).parquet(f"{path}/configs")
+
+
+def write_dataset(path: str, values: DataFrame, name: str, attributes: dict | None = None, mode: str = "errorifexists") -> None:
+    """A dataset of a store, in a folder of its own: no other is written again.
+
+    ``values`` (gid, ts, name) must hold every site at every time, once.
+    """
+    spark = values.sparkSession
+    check_shape(values, spark.read.parquet(f"{path}/meta"), spark.read.parquet(f"{path}/time_index"))
+    out = scaled(values.select("gid", "ts", name), {name: attributes} if attributes else {})
+    out.repartitionByRange("gid").sortWithinPartitions("gid", "ts").write.mode(mode).parquet(f"{path}/datasets/{name}")
+
+
+def update_dataset(path: str, values: DataFrame, name: str, attributes: dict | None = None) -> bool:
+    """Writes a dataset again if that changes anything as stored; True if so.
+
+    The new one is whole before the old one goes, so ``values`` may be made from it.
+    """
+    spark = values.sparkSession
+    old = spark.read.parquet(f"{path}/datasets/{name}")
+    attributes = attributes or {"dtype": dict(old.dtypes)[name], **old.schema[name].metadata}
+    new = scaled(values.select("gid", "ts", name), {name: attributes})
+    if not differs(old, new, name):
+        return False
+    check_shape(values, spark.read.parquet(f"{path}/meta"), spark.read.parquet(f"{path}/time_index"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    place, fresh = folder(f"{path}/datasets/{name}"), folder(f"{path}/datasets/_{name}")
+    new.repartitionByRange("gid").sortWithinPartitions("gid", "ts").write.mode("overwrite").parquet(fresh.toString())
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(place, True)
+    if not fs.rename(fresh, place):
+        raise OSError(f"{fresh.toString()} holds {name} and could not be renamed")
+    return True
+
+
+def read_store(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """Datasets of a store side by side, as stored; several are joined by site and time."""
+    parts = [spark.read.parquet(f"{path}/datasets/{n}") for n in names]
+    return reduce(lambda a, b: a.join(b, ["gid", "ts"]), parts)
+
+
 def write_means(means: DataFrame, path: str, sites: int, mode: str = "errorifexists") -> None:
     if means.count() != sites:
         raise ValueError("one value a site is needed")

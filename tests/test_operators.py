@@ -215,3 +215,48 @@ def test_nearest_paths_agree_across_the_antimeridian(spark, monkeypatch):
             monkeypatch.setattr(spatial, "ARRAY_SITES", limit)
             both.append(sorted((r.point, r["rank"], r.gid, round(r.distance, 9)) for r in spatial.nearest(points, sites, 3, metric).collect()))
         assert both[0] == both[1] and len(both[0]) == 96
+
+
+def test_weighted_statistics_like_numpy(spark):
+    rows = [(1, f"2012-0{m}-01 0{h}:00:00", float(m + h), float(h)) for m in (1, 2) for h in range(4)] + [(1, "2012-01-02 00:00:00", None, 5.0), (1, "2012-01-02 01:00:00", 5.0, None)]
+    f = spark.createDataFrame(rows, "gid long, ts string, x double, w double").withColumn("ts", F.to_timestamp_ntz("ts"))
+
+    def heaviest(x, w):
+        return F.max_by(x, w)
+
+    got = stats.weighted_stats(f, "x", ["w"], ["mean", "std", heaviest], "all")
+    one = got.where("month IS NULL AND hour IS NULL").first()
+    x, w = np.array([m + h for m in (1, 2) for h in range(4)], float), np.array([0, 1, 2, 3] * 2, float)
+    mean = np.average(x, weights=w)
+    assert one["mean"] == pytest.approx(mean) and one["std"] == pytest.approx(np.sqrt(np.average((x - mean) ** 2, weights=w)))
+    assert got.where("month = 2 AND hour IS NULL").first()["heaviest"] == 5.0
+    with pytest.raises(KeyError):
+        stats.weighted_stats(f, "x", ["w"], ["unknown"])
+    assert stats.weighted_stats(f.limit(0), "x", ["w"], period="monthly").count() == 0
+
+
+def test_parametric_mapping_without_a_future(spark, facts):
+    sites = facts.select("gid").distinct()
+    table = sites.select("gid", F.lit("[2, 0, 8]").alias("params_oh"), F.lit("[2, 0, 10]").alias("params_mh"))
+    f = facts.select("gid", "ts", F.col("windspeed_80m").alias("v")).where("v < 30")
+    got = derive.mapped_wind_bias(f, table, "v", dist="weibull_min").join(f.withColumnRenamed("v", "old"), ["gid", "ts"])
+    # of two Weibull distributions of one shape, quantiles are in the ratio of their scales
+    assert got.where(F.abs(F.col("v") - F.col("old") * 0.8) > 1e-6).count() == 0
+    assert got.where("old = 0").first()["v"] == 0
+    same = derive.mapped_wind_bias(f, table.withColumn("params_mf", F.lit(None).cast("string")), "v", dist="weibull_min")
+    assert same.exceptAll(derive.mapped_wind_bias(f, table, "v", dist="weibull_min")).count() == 0
+
+
+def test_site_model_from_files_and_resolutions(spark, facts, meta):
+    v = F.col("windspeed_80m")
+    wind = facts.select("gid", "ts", v.alias("windspeed"), v.alias("winddirection"))
+    air = facts.select("gid", "ts", (v / 2).alias("temperature"), F.lit(1.0).alias("pressure"))
+    whole = site_model.loaded(wind.join(air, ["gid", "ts"]), "windpower")
+    split = site_model.loaded_files([wind, air], "windpower", check=True)
+    assert split.columns == whole.columns and split.exceptAll(whole).count() == 0 and split.count() == facts.count()
+    # every second hour of two sites, the others take the nearest of them
+    low = air.where("gid % 2 = 0 AND hour(ts) % 2 = 0")
+    got = site_model.loaded_resolutions(wind, meta, low, meta.where("gid % 2 = 0"), "windpower")
+    assert got.count() == facts.count() and got.where("temperature IS NULL OR pressure IS NULL").count() == 0
+    at = got.where("gid = 2 AND hour(ts) = 5").first()
+    assert at["temperature"] == pytest.approx((24 + 26) / 4) and at["windspeed"] == 25

@@ -140,3 +140,23 @@ def test_layout(facts, tmp_path, spark):
     assert out.count() == 4 * 16 and dict(out.dtypes)["windspeed_80m"] == "smallint"
     with pytest.raises(ValueError):
         layout.relaid(facts, f"{tmp_path}/q", resolution_seconds=60)
+
+
+def test_store_is_created_filled_and_updated(spark, tmp_path, facts, meta):
+    path, times = f"file://{tmp_path}/store", facts.select("ts")
+    sink.create_store(path, meta, times, {"version": 1})
+    values = facts.select("gid", "ts", F.col("windspeed_80m").alias("v"))
+    sink.write_dataset(path, values, "v", {"dtype": "smallint", "scale_factor": 10, "units": "m s-1"})
+    back = sink.read_store(spark, path, ["v"])
+    assert dict(back.dtypes)["v"] == "smallint" and back.schema["v"].metadata["units"] == "m s-1"
+    assert back.where("gid = 3 AND hour(ts) = 5").first()["v"] == 350
+    # a whole number of stored steps changes nothing
+    assert not sink.update_dataset(path, values.withColumn("v", F.col("v") + 0.01), "v")
+    assert sink.update_dataset(path, values.withColumn("v", F.col("v") + 1), "v")
+    assert sink.read_store(spark, path, ["v"]).where("gid = 3 AND hour(ts) = 5").first()["v"] == 360
+    assert sorted(os.listdir(tmp_path / "store" / "datasets")) == ["v"]
+    with pytest.raises(ValueError):
+        sink.write_dataset(path, values.where("gid > 0").withColumnRenamed("v", "w"), "w")
+    sink.write_dataset(path, values.withColumn("u", F.col("v") * 2), "u")
+    both = sink.read_store(spark, path, ["v", "u"])
+    assert both.count() == facts.count() and both.columns == ["gid", "ts", "v", "u"]
