@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, forest, jaccard, licenses, lines, mixing, resample, sanitise, toxicity, warc
+from . import alignment, decontaminate, forest, jaccard, licenses, lines, mixing, resample, sanitise, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +90,14 @@ def op10_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.sha2("sanitised", 256).alias("sanitised_sha256"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"), ["vec_id"])
+
+
 QUERIES: dict[str, Query] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_warc_reassembly": op2_warc_reassembly,
@@ -101,6 +109,8 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_embedding_neighbours": op9_embedding_neighbours,
     "op10_sanitisation": op10_sanitisation,
+    "op11_token_alignment": op11_token_alignment,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
