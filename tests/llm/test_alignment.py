@@ -28,6 +28,8 @@ TEXTS = [
     "﻿bom ​ zero width ▁",
 ]
 
+TABLES = "/root/testdata/sf0.001"
+
 
 def literally(texts):
     """Rows of the contract: whole texts are encoded, labels and links found position by position."""
@@ -112,10 +114,10 @@ def test_alignment_empty_table_and_repeats(spark):
     assert len(out) == 3 and {(r.n_a, r.count_sum) for r in out} == {(2, 6)}
 
 
-def test_query(spark, small):
+def test_query(spark):
     from aeolith.llm.queries import QUERIES
 
-    rows = QUERIES["op11_token_alignment"](spark, small[0]).collect()
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small[0]}/documents.parquet").collect()}
-    assert len(rows) == spark.read.parquet(f"{small[0]}/documents.parquet").count()
+    rows = QUERIES["op11_token_alignment"](spark, TABLES).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{TABLES}/documents.parquet").collect()}
+    assert len(rows) == spark.read.parquet(f"{TABLES}/documents.parquet").count()
     assert all((r.n_a > 0) == bool(r.groups_sha256) for r in rows) and {r.doc_id for r in rows} == set(texts)

@@ -6,6 +6,8 @@ import numpy as np
 
 from aeolith.llm import whitening
 
+TABLES = "/root/testdata/sf0.001"
+
 
 def literally(vectors, components=16):
     x = [[int(np.floor(64 * float(c))) + 1_000_000 for c in v] for v in vectors]
@@ -78,11 +80,11 @@ def test_deviation_beyond_64_bits():
     assert model.deviation(np.array([[10**6 + 3], [10**6 + 10**4]])) == [9 * 10**18, None]
 
 
-def test_query(spark, small):
+def test_query(spark):
     from aeolith.llm.queries import QUERIES
 
-    vectors = spark.read.parquet(f"{small[0]}/embeddings.parquet")
-    got = collected(QUERIES["op13_embedding_whitening"](spark, small[0]))
+    vectors = spark.read.parquet(f"{TABLES}/embeddings.parquet")
+    got = collected(QUERIES["op13_embedding_whitening"](spark, TABLES))
     rows = [(r.vec_id, r.embedding) for r in vectors.collect() if r.embedding is not None and all(c is not None and np.isfinite(c) for c in r.embedding)]
     n, deviation, _, explained = literally([v for _, v in rows])
     assert {r: got[r][1][0].deviation for r, _ in rows} == {r: d for (r, _), d in zip(rows, deviation, strict=True)}
