@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, forest, jaccard, licenses, lines, mixing, resample, sanitise, toxicity, warc, whitening
+from . import alignment, decontaminate, forest, jaccard, licenses, lines, mixing, resample, sanitise, suffixes, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +94,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.dedup_substrings(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"), ["vec_id"])
 
@@ -110,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op9_embedding_neighbours": op9_embedding_neighbours,
     "op10_sanitisation": op10_sanitisation,
     "op11_token_alignment": op11_token_alignment,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
