@@ -30,14 +30,17 @@ from .tokens import SLAB_BYTES, string_buffers
 
 TOKENIZERS = "/opt/tokenizers"
 #: Chunks that a task remembers, and bytes of their strings and links, before it starts anew.
-MEMORY_CHUNKS, MEMORY_BYTES = 300_000, 48_000_000
+MEMORY_CHUNKS, MEMORY_BYTES = 600_000, 96_000_000
 #: At most so many id pairs, the most frequent ones, go to all tasks (17 bytes each); the others are joined.
 HOT_PAIRS = 1 << 17
 #: Links that a task sums before it hands them on.
 _SUMMED = 1 << 20
 
-_NONE, _A, _B, _BOTH = 0, 1, 2, 3
+#: No token ends at the byte: 0; one of either: 1, 2; of both: 3.
+_A, _B = 1, 2
 _SPAN = re.compile(rb"[^\x03]*\x03", re.DOTALL)
+#: What stands between two cuts: a blank before and nothing white at either end.
+_INNER = re.compile(rb" (?!\s|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80).*(?<![\x00-\x20])(?<!\xc2[\x85\xa0])(?<!\xe1\x9a\x80)(?<!\xe2\x80[\x80-\x8a\xa8\xa9\xaf])(?<!\xe2\x81\x9f)(?<!\xe3\x80\x80)", re.DOTALL)
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -68,8 +71,9 @@ class Aligner:
     """Encodes chunks with both tokenizers and keeps what it found of each.
 
     Of chunk ``i``: ``groups[i]`` the string of its groups (None where the bytes of the
-    tokens are not those of the chunk), ``counts`` four numbers, ``links`` its pairs of
-    ids (A << 32 | B) from ``first[i]`` to ``first[i + 1]``.
+    tokens are not those of the chunk), ``counts`` four numbers, ``links`` from
+    ``first[i]`` to ``first[i + 1]`` the numbers of its pairs of ids, which ``pairs`` has
+    (A << 32 | B).
     """
 
     def __init__(self, a_file: bytes, b_file: bytes):
@@ -87,17 +91,28 @@ class Aligner:
             self.a_bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes))
+        # the decimal id of a token inside its group, and at its end
+        self.a_text = np.array([f"{i}," for i in range(len(self.a_bytes))] + [f"{i}|" for i in range(len(self.a_bytes))], object)
+        self.b_text = np.array([f"{i}," for i in range(len(self.b_bytes))] + [f"{i};" for i in range(len(self.b_bytes))], object)
         cutter = json.loads(a_file).get("pre_tokenizer") or {}
         self.cuts = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not any("▁" in p.lstrip("▁") for p in pieces)
+        self.in_span: dict[bytes, tuple[int, int]] = {}
+        self.number_of_pair: dict[int, int] = {}
+        self.pairs = array("q")
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.groups: list[str | None] = []
-        self.counts, self.links, self.first, self.held = array("q"), array("q"), array("q", [0]), 0
+        self.counts, self.links, self.first, self.bad, self.held = array("q"), array("q"), array("q", [0]), bytearray(), 0
 
-    def full(self) -> bool:
-        return len(self.groups) > MEMORY_CHUNKS or self.held > MEMORY_BYTES
+    def tidy(self) -> None:
+        """Starts anew if too much is kept."""
+        if len(self.groups) > MEMORY_CHUNKS or self.held > MEMORY_BYTES or len(self.pairs) > MEMORY_CHUNKS:
+            self.number_of_pair.clear()
+            self.pairs = array("q")
+            self.forget()
 
     def chunk_bounds(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Bounds of the chunks of texts that each start with the added blank and are not empty."""
@@ -110,57 +125,96 @@ class Aligner:
         if len(at):
             # a chunk may start right after the blank of its text, so that blank counts as white
             at = at[~_white(data, at - 1, True) & ~_white(data, at + 1, False)]
-        return np.union1d(bounds, at)
+        inner[:] = False
+        inner[bounds] = inner[at] = True
+        return np.flatnonzero(inner)
 
     def learn(self, chunks: list[bytes]) -> None:
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        encoded = zip(chunks, self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], num_threads=1), strict=True)
-        for chunk, a, b in encoded:
-            self.known[chunk] = len(self.groups)
-            groups = self.aligned(chunk, a.ids, b)
-            self.groups.append(groups)
-            self.first.append(len(self.links))
-            self.held += len(chunk) + len(groups or "") + 120
-
-    def aligned(self, chunk: bytes, a: list[int], b: list[int]) -> str | None:
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        before = len(self.links)
-        if not a or not b or b"".join(a_parts) != chunk or b"".join(b_parts) != chunk:
-            self.counts.extend((0, 0, 0, 0))
-            return None
-        labels = bytearray(len(chunk))
-        for parts, label in ((a_parts, _A), (b_parts, _B)):
-            end = -1
-            for part in parts:
-                end += len(part)
-                labels[end] |= label
-        i = j = 0
-        out = []
-        for span in _SPAN.findall(labels):
-            i_end, j_end = i + span.count(_A) + 1, j + span.count(_B) + 1
-            out.append(f"{','.join(map(str, a[i:i_end]))}|{','.join(map(str, b[j:j_end]))}")
-            # the tokens at hand overlap up to each end of either
-            for label in span.translate(None, b"\0"):
-                self.links.append(a[i] << 32 | b[j])
-                i += label & _A
-                j += label >> 1
-        self.counts.extend((len(a), len(b), len(out), len(self.links) - before))
-        self.held += 8 * (len(self.links) - before)
-        return ";".join(out)
+        """Those between two cuts are encoded in one text, as they might stand in one; the others, and all if some token is not what it should be, each alone."""
+        inner, lone = [], []
+        for chunk in chunks:
+            (inner if self.cuts and _INNER.fullmatch(chunk) else lone).append(chunk)
+        if inner and not self.aligned(inner):
+            lone += inner
+        for chunk in lone:
+            if not self.aligned([chunk]):
+                self.known[chunk] = len(self.groups)
+                self.groups.append(None)
+                self.counts.extend((0, 0, 0, 0))
+                self.first.append(len(self.links))
+                self.bad.append(1)
+                self.held += len(chunk) + 200
+
+    def aligned(self, chunks: list[bytes]) -> bool:
+        """Finds and keeps the groups and links of chunks that follow each other; False, and nothing kept, if tokens do not restore their bytes."""
+        whole = b"".join(chunks)
+        text = whole.decode("utf-8", "replace")
+        a = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        b = np.array(self.b.encode(text[1:]), np.int64)
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
+            return False
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        labels = np.zeros(len(whole), np.uint8)
+        labels[a_end - 1] |= _A
+        labels[b_end - 1] |= _B
+        spans = _SPAN.findall(labels.tobytes())
+        known = self.in_span if len(self.in_span) < 100_000 else self.in_span.clear() or self.in_span
+        for span in {*spans} - known.keys():
+            known[span] = (span.count(_A) + 1, span.count(_B) + 1)
+        tokens = np.array([known[span] for span in spans], np.int64)  # of A and B in each group
+        a_of, b_of = tokens[:, 0].cumsum(), tokens[:, 1].cumsum()
+        # of each group first its tokens of A, then those of B
+        out = np.empty(len(a) + len(b), object)
+        a_group, b_group = np.repeat(np.arange(len(spans)), tokens[:, 0]), np.repeat(np.arange(len(spans)), tokens[:, 1])
+        a_last, b_last = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_last[a_of - 1] = b_last[b_of - 1] = 1
+        out[np.arange(len(a)) + (b_of - tokens[:, 1])[a_group]] = self.a_text[a + a_last * len(self.a_bytes)]
+        out[np.arange(len(b)) + a_of[b_group]] = self.b_text[b + b_last * len(self.b_bytes)]
+        # tokens overlap up to each end of either
+        ends = np.flatnonzero(labels)
+        links = self.numbered(a[np.searchsorted(a_end, ends + 1)] << 32 | b[np.searchsorted(b_end, ends + 1)])
+        size = np.array([len(c) for c in chunks])
+        stop = np.cumsum(size)
+        cuts = [np.append(0, np.searchsorted(x, stop, "right")) for x in (a_end, b_end, a_end[a_of - 1], ends + 1)]
+        if (cuts[0][1:] == cuts[0][:-1]).any() or (a_end[cuts[0][1:] - 1] != stop).any() or (b_end[np.maximum(cuts[1][1:], 1) - 1] != stop).any():
+            return False  # a token crosses a cut
+        strings, places = out.tolist(), (cuts[0] + cuts[1]).tolist()
+        number = len(self.groups)
+        self.known.update(zip(chunks, range(number, number + len(chunks)), strict=True))
+        self.groups += ["".join(strings[s:e])[:-1] for s, e in zip(places, places[1:], strict=False)]
+        self.counts.frombytes(np.stack([np.diff(c) for c in cuts], 1).astype(np.int64).tobytes())
+        self.first.frombytes((cuts[3][1:] + len(self.links)).astype(np.int64).tobytes())
+        self.links.frombytes(links.astype(np.int64).tobytes())
+        self.bad.extend(bytes(len(chunks)))
+        self.held += len(whole) + 8 * len(links) + 8 * len(out) + 150 * len(chunks)
+        return True
+
+    def numbered(self, links: np.ndarray) -> np.ndarray:
+        """The number of each link's pair."""
+        pairs, at = np.unique(links, return_inverse=True)
+        known = self.number_of_pair
+        for pair in pairs.tolist():
+            if pair not in known:
+                known[pair] = len(self.pairs)
+                self.pairs.append(pair)
+        return np.array([known[p] for p in pairs.tolist()], np.int64)[at]
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each chunk, and the place of the first chunk of each text (one more at the end)."""
         cuts = self.chunk_bounds(data, bounds)
         raw, places = data.tobytes(), cuts.tolist()
         chunks = [raw[s:e] for s, e in zip(places, places[1:], strict=False)]
-        new = list({c: None for c in chunks if c not in self.known})
-        if new:
-            self.learn(new)
-        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks)), np.searchsorted(cuts, bounds)
+        numbers = list(map(self.known.get, chunks))
+        if None in numbers:
+            missing = [i for i, n in enumerate(numbers) if n is None]
+            self.learn(list({chunks[i]: None for i in missing}))
+            for i in missing:
+                numbers[i] = self.known[chunks[i]]
+        return np.array(numbers, np.int64), np.searchsorted(cuts, bounds)
 
     def links_of(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The links of the chunks, one after the other, and the number of each chunk's."""
-        first, links = np.array(self.first), np.array(self.links)
+        """Numbers of the pairs of the chunks' links, one after the other, and how many each chunk has."""
+        first, links = np.frombuffer(self.first, np.int64), np.frombuffer(self.links or array("q", [0]), np.int64)
         n = first[chunks + 1] - first[chunks]
         return links[np.repeat(first[chunks] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
@@ -189,110 +243,100 @@ def _texts(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np
         i = j
 
 
-def _whole(aligner: Aligner, chunks: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Which texts have tokens: all their chunks' bytes are kept."""
-    bad = np.fromiter((g is None for g in aligner.groups), bool, len(aligner.groups))[chunks]
-    return np.add.reduceat(bad, first[:-1]) == 0 if len(first) > 1 else np.zeros(0, bool)
-
-
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, at = np.unique(keys, return_inverse=True)
     return keys, np.bincount(at, n, minlength=len(keys)).astype(np.int64)
 
 
-def _count_links(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(shared.value)
-        keys, times, held = [], [], 0
+_ALIGNED = ", ".join(f"{c} long" for c in _COUNTS) + ", groups_sha256 string, pairs array<long>, times array<int>"
 
-        def ready() -> pa.RecordBatch:
-            pairs, n = _summed(np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *times]))
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
 
-        for batch in batches:
-            for _, there, data, bounds in _texts(batch.column(0)):
-                if not len(there):
-                    continue
-                chunks, first = aligner.encode(data, bounds)
-                chunks = chunks[np.repeat(_whole(aligner, chunks, first), np.diff(first))]
-                used, n = np.unique(chunks, return_counts=True)
-                links, each = aligner.links_of(used)
-                pairs, n = _summed(links, np.repeat(n, each))
-                keys.append(pairs)
-                times.append(n)
-                held += len(pairs)
-                if aligner.full():
-                    aligner.forget()
-                if held > _SUMMED:
-                    out = ready()
-                    keys, times, held = [], [], 0
-                    if out.num_rows * 2 > _SUMMED:
-                        yield out
-                    else:
-                        keys, times, held = [out.column(0).to_numpy()], [out.column(1).to_numpy()], out.num_rows
-        yield ready()
-
-    return count
-
-
-def _describe(shared, hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per row the counts and the groups, sums over links of hot pairs, and its other pairs with their numbers."""
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _align(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per row its counts, the digest of its groups, and its id pairs with the number of links of each."""
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(shared.value)
-        pairs, counts, best = hot.value
         for batch in batches:
             for rows, there, data, bounds in _texts(batch.column(0)):
                 n = rows.stop - rows.start
-                numbers, sums = np.zeros((n, 4), np.int64), np.zeros((n, 2), np.int64)
-                texts = [""] * n
-                rare, times, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n, np.int64)
+                numbers, texts = np.zeros((n, 4), np.int64), [""] * n
+                pairs, times, sizes = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(n, np.int64)
                 if len(there):
                     chunks, first = aligner.encode(data, bounds)
-                    good = _whole(aligner, chunks, first)
-                    kept = np.repeat(good, np.diff(first))
-                    text_of = np.repeat(there, np.diff(first))[kept]
+                    bad = np.add.reduceat(np.frombuffer(bytes(aligner.bad), np.uint8)[chunks].astype(np.int64), first[:-1])
                     strings = aligner.groups
-                    for row, ok, s, e in zip(there.tolist(), good.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    for row, ok, s, e in zip(there.tolist(), (bad == 0).tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                         if ok:
                             texts[row] = hashlib.sha256(";".join([strings[i] for i in chunks[s:e].tolist()]).encode()).hexdigest()
-                    of = np.array(aligner.counts).reshape(-1, 4)[chunks[kept]]
-                    np.add.at(numbers, text_of, of)
-                    used, at = np.unique(chunks[kept], return_inverse=True)
-                    links, each = aligner.links_of(used)
-                    place = np.minimum(np.searchsorted(pairs, links), max(len(pairs) - 1, 0))
-                    found = pairs[place] == links if len(pairs) else np.zeros(len(links), bool)
-                    owner = np.repeat(np.arange(len(used)), each)
-                    part = np.zeros((len(used), 2), np.int64)
-                    np.add.at(part, owner[found], np.stack([best[place[found]].astype(np.int64), counts[place[found]]], 1))
-                    np.add.at(sums, text_of, part[at])
-                    # the other links, by row
-                    lone, size = links[~found], np.bincount(owner[~found], minlength=len(used))
-                    start, size = (np.cumsum(size) - size)[at], size[at]
-                    lone = lone[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                    order = np.lexsort((lone, np.repeat(text_of, size)))
-                    lone, row_of = lone[order], np.repeat(text_of, size)[order]
-                    new = np.ones(len(lone), bool)
-                    new[1:] = (lone[1:] != lone[:-1]) | (row_of[1:] != row_of[:-1])
-                    cut = np.flatnonzero(new)
-                    rare, times, sizes = lone[cut], np.diff(np.append(cut, len(lone))), np.bincount(row_of[cut], minlength=n)
+                    whole = np.repeat(bad == 0, np.diff(first))
+                    chunks, row_of = chunks[whole], np.repeat(there, np.diff(first))[whole]
+                    of = np.frombuffer(aligner.counts or array("q", [0] * 4), np.int64).reshape(-1, 4)[chunks]
+                    numbers = np.stack([np.bincount(row_of, of[:, k], minlength=n) for k in range(4)], 1).astype(np.int64)
+                    links, each = aligner.links_of(chunks)
+                    most = max(len(aligner.pairs), 1)
+                    own = np.sort(np.repeat(row_of, each) * most + links)
+                    cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+                    pairs = np.frombuffer(aligner.pairs, np.int64)[own[cut] % most] if len(own) else pairs
+                    times = np.diff(np.append(cut, len(own))).astype(np.int32)
+                    sizes = np.bincount(own[cut] // most, minlength=n)
                 offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-                columns = [batch.column(1)[rows], *(pa.array(numbers[:, k]) for k in range(4)), pa.array(texts), *(pa.array(sums[:, k]) for k in range(2))]
-                columns += [pa.ListArray.from_arrays(offsets, pa.array(rare)), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))]
-                yield pa.RecordBatch.from_arrays(columns, ["__row", *_COUNTS, "groups_sha256", "best", "total", "pairs", "times"])
-                if aligner.full():
-                    aligner.forget()
+                columns = [batch.column(1)[rows], *(pa.array(numbers[:, k]) for k in range(4)), pa.array(texts)]
+                columns += [pa.ListArray.from_arrays(offsets, pa.array(pairs)), pa.ListArray.from_arrays(offsets, pa.array(times))]
+                yield pa.RecordBatch.from_arrays(columns, ["__row", *_COUNTS, "groups_sha256", "pairs", "times"])
+                aligner.tidy()
 
-    return describe
+    return align
 
 
-def pair_counts(docs: DataFrame, text: str = "text", tokenizers: str = TOKENIZERS) -> DataFrame:
-    """(pair, n, best) for each id pair (A << 32 | B) that is linked anywhere: its links in all texts, and whether no other pair of its B id has more."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_tokenizers(tokenizers))
-    summed = docs.select(F.col(text).cast("string")).mapInArrow(_count_links(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    counts = stored(summed, "pairs")
-    most = counts.groupBy(F.expr("pair & 4294967295").alias("b")).agg(F.max("n").alias("most"))
-    out = stored(counts.withColumn("b", F.expr("pair & 4294967295")).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "counted-pairs")
+def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a task's links, handed on whenever they are many."""
+    keys, times, held = [], [], 0
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        return _summed(np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *times]))
+
+    for batch in batches:
+        keys.append(batch.column(0).flatten().to_numpy())
+        times.append(batch.column(1).flatten().to_numpy())
+        held += len(keys[-1])
+        if held > _SUMMED:
+            pairs, n = summed()
+            if 2 * len(pairs) > _SUMMED:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
+                pairs, n = pairs[:0], n[:0]
+            keys, times, held = [pairs], [n], len(pairs)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed()], ["pair", "n"])
+
+
+def _look_up(hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums over the links of hot pairs, and the other pairs with their numbers."""
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, counts, best = hot.value
+        for batch in batches:
+            n = batch.num_rows
+            given, times, sizes = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy(), np.diff(batch.column(1).offsets.to_numpy())
+            row = np.repeat(np.arange(n), sizes)
+            place = np.minimum(np.searchsorted(pairs, given), max(len(pairs) - 1, 0))
+            found = pairs[place] == given if len(pairs) else np.zeros(len(given), bool)
+            sums = np.zeros((2, n + 1), np.int64)
+            for k, of in enumerate((best.astype(np.int64), counts)):
+                np.cumsum(np.append(0, np.bincount(row[found], minlength=n)), out=sums[k])
+                total = np.append(0, np.cumsum(times[found] * of[place[found]]))
+                sums[k] = total[sums[k]]
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(row[~found], minlength=n))).astype(np.int32))
+            columns = [batch.column(0), *(pa.array(np.diff(x)) for x in sums), pa.ListArray.from_arrays(offsets, pa.array(given[~found])), pa.ListArray.from_arrays(offsets, pa.array(times[~found]))]
+            yield pa.RecordBatch.from_arrays(columns, ["__id", "best", "total", "pairs", "times"])
+
+    return look_up
+
+
+def pair_counts(aligned: DataFrame) -> DataFrame:
+    """(pair, n, best) for each id pair (A << 32 | B) of the rows (pairs, times): its links in all of them, and whether no other pair of its B id has more."""
+    counts = stored(aligned.select("pairs", "times").mapInArrow(_count_links, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    b = F.expr("pair & 4294967295")
+    most = counts.groupBy(b.alias("b")).agg(F.max("n").alias("most"))
+    out = stored(counts.withColumn("b", b).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "counted-pairs")
     drop(counts)
     return out
 
@@ -320,16 +364,17 @@ def align(docs: DataFrame, keep: list[str], text: str = "text", tokenizers: str
     links.  Texts that are null, empty or not restored by both tokenizers have zeros and
     an empty string.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    counts = pair_counts(docs, text, tokenizers)
-    table, least = _hot_part(counts, hot_pairs)
-    shared, hot = spark.sparkContext.broadcast(read_tokenizers(tokenizers)), spark.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(read_tokenizers(tokenizers))
     packed = docs.select(F.col(text).cast("string").alias("__text"), F.struct(*keep).alias("__row"))
-    schema = f"__row {packed.schema['__row'].dataType.simpleString()}, {', '.join(f'{c} long' for c in _COUNTS)}, groups_sha256 string, best long, total long, pairs array<long>, times array<long>"
-    rows = stored(packed.mapInArrow(_describe(shared, hot), schema).withColumn("__id", F.monotonically_increasing_id()), "aligned")
-    lone = rows.select("__id", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("__id", "x.pairs", "x.times")
+    aligned = packed.mapInArrow(_align(shared), f"__row {packed.schema['__row'].dataType.simpleString()}, {_ALIGNED}")
+    rows = stored(aligned.withColumn("__id", F.monotonically_increasing_id()), "aligned")
+    counts = pair_counts(rows)
+    table, least = _hot_part(counts, hot_pairs)
+    hot = docs.sparkSession.sparkContext.broadcast(table)
+    found = rows.select("__id", "pairs", "times").mapInArrow(_look_up(hot), "__id long, best long, total long, pairs array<long>, times array<int>")
+    lone = found.select("__id", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("__id", "x.pairs", "x.times")
     other = counts.where(F.col("n") < F.lit(least)).select(F.col("pair").alias("pairs"), "n", "best")
-    summed = lone.join(other, "pairs").groupBy("__id").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("b"), F.sum(F.col("times") * F.col("n")).alias("s"))
-    out = rows.drop("pairs", "times").join(summed, "__id", "left")
-    whole = {"n_best": F.col("best") + F.coalesce("b", F.lit(0)), "count_sum": F.col("total") + F.coalesce("s", F.lit(0))}
-    return out.select(*[F.col("__row")[c].alias(c) for c in keep], *_COUNTS, *[v.alias(k) for k, v in whole.items()], "groups_sha256")
+    parts = lone.join(other, "pairs").select("__id", F.when(F.col("best"), F.col("times")).otherwise(0).cast("long").alias("best"), (F.col("times") * F.col("n")).alias("total"))
+    summed = found.select("__id", "best", "total").unionByName(parts).groupBy("__id").agg(F.sum("best").alias("n_best"), F.sum("total").alias("count_sum"))
+    out = rows.drop("pairs", "times").join(summed, "__id")
+    return out.select(*[F.col("__row")[c].alias(c) for c in keep], *_COUNTS, "n_best", "count_sum", "groups_sha256")
