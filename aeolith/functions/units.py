@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,22 +24,23 @@ ATMOSPHERES_PER_PASCAL = 9.86923e-6
 MILLIBAR = ("csp", "troughphysicalheat", "lineardirectsteam", "solarwaterheat")
 
 
-def normalised(value: Column, variable: str, technology: str, median: Column, least: Column) -> Column:
+def normalised(value: Column, variable: str, technology: str, above: Callable[[float], Column], least: Column) -> Column:
     """Units as the models take them, judged by the median and minimum of the whole selection.
 
-    Pressure: wind models take atmospheres, thermal ones millibars.  Temperature:
-    degrees C, from kelvin; geothermal temperatures are left alone.
+    ``above(limit)`` tells whether the median exceeds a limit.  Pressure: wind models
+    take atmospheres, thermal ones millibars.  Temperature: degrees C, from kelvin;
+    geothermal temperatures are left alone.
     """
     if "pressure" in variable:
         if technology == "windpower":
-            return F.when(median > 1e3, value * ATMOSPHERES_PER_PASCAL).otherwise(value)
+            return F.when(above(1e3), value * ATMOSPHERES_PER_PASCAL).otherwise(value)
         if technology in MILLIBAR:
             # kilopascals first, then pascals by the median after that
-            factor = F.when(least < 200, 10.0).otherwise(1.0)
-            return F.when(median * factor > 70_000, value * factor / 100).otherwise(value * factor)
+            kilo = least < 200
+            return F.when(kilo & above(7e3), value / 10).when(kilo, value * 10).when(above(7e4), value / 100).otherwise(value)
         return value
     if "temperature" in variable and "geothermal" not in technology:
-        return F.when(median > 200, value - 273.15).otherwise(value)
+        return F.when(above(200), value - 273.15).otherwise(value)
     return value
 
 

@@ -11,6 +11,8 @@ from aeolith.functions import heights, irradiance, quantiles, units
 from aeolith.functions.scaling import clean
 from aeolith.sources.catalog import Catalog, ResourceSpec, parse_name
 
+from . import selection
+
 
 def with_dataset(facts: DataFrame, name: str, spec: ResourceSpec, per: str = "selection") -> DataFrame:
     """facts with a stored or derived dataset of that name.
@@ -77,14 +79,24 @@ def _between(variable: str, low: float, high: float, known: dict[float, str], he
 
 
 def in_model_units(facts: DataFrame, variables: Sequence[str], technology: str) -> DataFrame:
-    """Units by the median and least value of the selection (one row, joined by broadcast), then valid ranges."""
-    marks = [F.median(v).alias(f"__m_{v}") for v in variables] + [F.min(v).alias(f"__l_{v}") for v in variables]
-    out = facts.join(F.broadcast(facts.agg(*marks)))
-    for v in variables:
+    """Units by the median and least value of the selection, then valid ranges.
+
+    Whether the median exceeds a limit follows from counts and the values next to the
+    limit: one aggregated row, joined by broadcast.
+    """
+    marks: dict[str, Column] = {}
+    values = {}
+    for i, v in enumerate(variables):
+
+        def above(limit: float, v: str = v, i: int = i) -> Column:
+            name = f"__above_{i}_{limit:g}"
+            marks[name] = selection.median_above(F.col(v), limit).alias(name)
+            return F.col(name)
+
+        marks[f"__least_{i}"] = F.min(v).alias(f"__least_{i}")
         base = parse_name(v)[0]
-        value = units.normalised(F.col(v), base, technology, F.col(f"__m_{v}"), F.col(f"__l_{v}"))
-        out = out.withColumn(v, units.clamped(value, base, technology))
-    return out.drop(*[f"__{k}_{v}" for k in "ml" for v in variables])
+        values[v] = units.clamped(units.normalised(F.col(v), base, technology, above, F.col(f"__least_{i}")), base, technology)
+    return facts.join(F.broadcast(facts.agg(*marks.values()))).withColumns(values).drop(*marks)
 
 
 def with_factors(facts: DataFrame, factors: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,15 +7,21 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aeolith.errors import ResourceValueError
 
 from .ordered import interpolate_in_time
 
-#: Most sites that each task compares with all its points; more are joined by grid cells.  Both give the same rows.
+#: Most sites that each task compares with all its points; more are joined by ranges of a space-filling curve.  Both give the same rows.
 ARRAY_SITES = 2048
+#: Sites of a range, unless that makes more than so many ranges; each task knows the extents of all.
+RANGE_SITES, RANGES = 1024, 4096
+#: Points of a range that one task compares with its sites.
+RANGE_POINTS = 20_000
+#: Weights that go to all tasks when regridding (24 bytes each); more are joined.
+PACKED_WEIGHTS = 2_000_000
 
 
 def planar(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -38,16 +44,13 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 1, metric: str = "plan
 
     Points and sites have latitude and longitude; null coordinates match nothing.
     Few sites (counted first) go to all tasks as arrays, without any shuffle of
-    points.  More are joined by grid cells, rings of which widen for the points
-    whose k nearest are not yet certain.  By haversine, longitudes meet at 180.
+    points.  More are cut into ranges of equal population along a space-filling curve,
+    so crowded places have small ones; a point meets the ranges that its k nearest
+    sites can be in, as bounds of their extents tell.  By haversine, longitudes meet at 180.
     """
     points = points.select(F.col(point).alias("point"), F.col("latitude").alias("plat"), F.col("longitude").alias("plon")).dropna()
     sites = sites.select("gid", F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude")).dropna()
-    count, south, north, west, east = sites.agg(F.count("*"), F.min("latitude"), F.max("latitude"), F.min("longitude"), F.max("longitude")).first()
-    if count <= ARRAY_SITES:
-        ranked = _by_array(points, sites, k, metric)
-    else:
-        ranked = _by_cells(points, sites, k, metric, max(math.sqrt((north - south) * (east - west) / count * max(k, 2)), 1e-6), max(north - south, east - west))
+    ranked = _by_array(points, sites, k, metric) if sites.limit(ARRAY_SITES + 1).count() <= ARRAY_SITES else _by_ranges(points, sites, k, metric)
     return ranked.select("point", F.posexplode("near").alias("rank", "n")).select("point", F.col("n.gid").alias("gid"), F.col("n.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
 
 
@@ -85,29 +88,108 @@ def _by_array(points: DataFrame, sites: DataFrame, k: int, metric: str) -> DataF
     return rows.mapInArrow(near, f"point {kinds['point']}, near array<struct<distance:double,gid:{kinds['gid']}>>")
 
 
-def _by_cells(points: DataFrame, sites: DataFrame, k: int, metric: str, cell: float, extent: float) -> DataFrame:
-    done, open_points = [], points
-    sites = sites.withColumn("at", F.col("longitude"))
-    if metric == "haversine":  # the same sites once more on either side, a whole turn away
-        turns = F.explode(F.array(*[F.lit(t) for t in (-360.0, 0.0, 360.0)]))
-        sites = sites.withColumn("turn", turns).withColumn("at", F.col("longitude") + F.col("turn"))
-    while True:
-        whole = cell > extent + 180
-        at = sites.select(F.floor(F.col("latitude") / cell).alias("cy"), F.floor(F.col("at") / cell).alias("cx"), "gid", "latitude", "longitude")
-        ring = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-        spread = open_points.withColumn("dy", F.explode(ring)).withColumn("dx", F.explode(ring))
-        spread = spread.select("point", "plat", "plon", (F.floor(F.col("plat") / cell) + F.col("dy")).alias("cy"), (F.floor(F.col("plon") / cell) + F.col("dx")).alias("cx"))
-        found = spread.join(at, ["cy", "cx"]).select("point", "plat", "plon", F.struct(METRICS[metric](F.col("plat"), F.col("plon"), F.col("latitude"), F.col("longitude")).alias("distance"), "gid").alias("n"))
-        near = open_points.join(found.groupBy("point").agg(F.slice(F.array_sort(F.collect_set("n")), 1, k).alias("near")), "point", "left")
-        # all sites nearer than this are in the ring
-        sure = F.lit(cell) if metric == "planar" else F.lit(math.radians(cell)) * F.cos(F.radians(F.least(F.lit(89.9), F.abs("plat") + cell)))
-        settled = F.coalesce((F.size("near") == k) & (F.element_at("near", -1)["distance"] <= sure), F.lit(False))
-        near = near.withColumn("settled", F.lit(True) if whole else settled).persist()
-        done.append(near.where("settled").select("point", "near"))
-        open_points = near.where("NOT settled").select("point", "plat", "plon")
-        if whole or not open_points.limit(1).count():
-            return reduce(DataFrame.unionByName, done)
-        cell *= 2
+def _on_curve(box: tuple[float, float, float, float]):
+    """Adds ``code``, the place on a Z-order curve through the box, 26 bits a side: half a metre on the globe, and exact as a double."""
+    south, north, west, east = box
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            x = (x | x << shift) & mask
+        return x
+
+    def coded(batches):
+        for batch in batches:
+            side = []
+            for name, low, high in (("latitude", south, north), ("longitude", west, east)):
+                x = batch.column(name).to_numpy(zero_copy_only=False)
+                side.append(spread((np.clip((x - low) / max(high - low, 1e-300), 0, 1) * (2**26 - 1)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(side[0] << 1 | side[1])], [*batch.schema.names, "code"])
+
+    return coded
+
+
+def _at_least(metric: str, lat: np.ndarray, lon: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """For points (rows) and extents (south, north, west, east): no place inside is nearer."""
+    south, north, west, east = box
+    lat, lon = lat[:, None], lon[:, None]
+    up = np.maximum(0, np.maximum(south - lat, lat - north))
+    if metric == "planar":
+        across = np.maximum(0, np.maximum(west - lon, lon - east))
+        return np.sqrt(up * up + across * across)
+    turned = (lon - west) % 360
+    across = np.where(turned <= east - west, 0, np.minimum(turned - (east - west), 360 - turned))
+    # a meridian is nearest on the circle through the point that meets it at a right angle, or at a pole
+    beside = np.arcsin(np.minimum(1, np.cos(np.radians(lat)) * np.sin(np.radians(np.minimum(across, 90)))))
+    return np.maximum(np.radians(up), beside) * (1 - 1e-12)
+
+
+def _by_ranges(points: DataFrame, sites: DataFrame, k: int, metric: str) -> DataFrame:
+    # of sites at one place only the k smallest can be among the nearest
+    place = Window.partitionBy("latitude", "longitude").orderBy("gid")
+    sites = sites.withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= k).drop("__n")
+    n, *box = sites.agg(F.count("*"), F.min("latitude"), F.max("latitude"), F.min("longitude"), F.max("longitude")).first()
+    gid, point = (f.schema[c].dataType.simpleString() for f, c in ((sites, "gid"), (points, "point")))
+    coded = sites.mapInArrow(_on_curve(tuple(box)), f"gid {gid}, latitude double, longitude double, code long")
+    parts = max(1, min(RANGES, -(-n // RANGE_SITES)))
+    cuts = sorted(set(coded.approxQuantile("code", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    ranged = coded.withColumn("range", _range_of(cuts)).drop("code")
+    extent = [F.min("latitude"), F.max("latitude"), F.min("longitude"), F.max("longitude")]
+    known = ranged.groupBy("range").agg(*[e.alias(f"e{i}") for i, e in enumerate(extent)], F.slice(F.collect_list(F.struct("latitude", "longitude")), 1, k).alias("some"))
+    known = known.orderBy("range").collect()  # at most RANGES rows, each with k sites
+    numbers, boxes = np.array([r["range"] for r in known]), np.array([[r[f"e{i}"] for r in known] for i in range(4)], float)
+    # k sites of a range bound the distance of the k nearest of all
+    full = [i for i, r in enumerate(known) if len(r.some) == k]
+    some = np.array([[(s.latitude, s.longitude) for s in known[i].some] for i in full], float).reshape(-1, 2)
+
+    def candidates(batches):
+        for batch in batches:
+            plat, plon = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            rows, ranges = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in range(0, batch.num_rows, 256):
+                lat, lon = plat[i : i + 256], plon[i : i + 256]
+                reach = np.full(len(lat), np.inf)
+                if full:
+                    reach = _distances(metric, lat, lon, some[:, 0], some[:, 1]).reshape(len(lat), -1, k).max(2).min(1)
+                p, r = np.nonzero(_at_least(metric, lat, lon, boxes) <= reach[:, None])
+                rows.append(p + i)
+                ranges.append(numbers[r])
+            rows = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns), pa.array(np.concatenate(ranges).astype(np.int32))], ["point", "plat", "plon", "range"])
+
+    asked = points.select("point", F.col("plat").cast("double"), F.col("plon").cast("double")).mapInArrow(candidates, f"point {point}, plat double, plon double, range int")
+    shares = F.broadcast(asked.groupBy("range").agg(F.ceil(F.count("*") / RANGE_POINTS).cast("int").alias("shares")))  # at most RANGES rows
+    asked = asked.join(shares, "range").withColumn("share", F.pmod(F.xxhash64("point"), F.col("shares")).cast("int")).drop("shares")
+    dealt = ranged.join(shares, "range").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    near = asked.groupBy("range", "share").cogroup(dealt.groupBy("range", "share")).applyInArrow(_compared(k, metric), f"point {point}, distance double, gid {gid}")
+    return near.groupBy("point").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "gid"))), 1, k).alias("near"))
+
+
+def _range_of(cuts: list[float]) -> Column:
+    """The number of cuts up to the code, by halving."""
+
+    def halved(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col("code") < F.lit(cuts[middle]), halved(low, middle)).otherwise(halved(middle + 1, high))
+
+    return halved(0, len(cuts))
+
+
+def _compared(k: int, metric: str):
+    def compared(asked: pa.Table, sites: pa.Table) -> pa.Table:
+        sites = sites.sort_by("gid")
+        lat, lon, plat, plon = (t[c].to_numpy() for t, c in ((sites, "latitude"), (sites, "longitude"), (asked, "plat"), (asked, "plon")))
+        m = min(k, len(lat)) if len(plat) else 0
+        order, distance = [np.zeros((0, m), np.int64)], [np.zeros((0, m))]
+        for i in range(0, len(plat) if m else 0, 256):
+            d = _distances(metric, plat[i : i + 256], plon[i : i + 256], lat, lon)
+            order.append(np.argsort(d, 1, kind="stable")[:, :m] if m > 1 else d.argmin(1)[:, None])
+            distance.append(np.take_along_axis(d, order[-1], 1))
+        of = pa.array(np.repeat(np.arange(len(plat)), m))
+        return pa.table({"point": asked["point"].take(of), "distance": np.concatenate(distance).ravel(), "gid": sites["gid"].take(pa.array(np.concatenate(order).ravel()))})
+
+    return compared
 
 
 def distance_threshold(sites: DataFrame) -> Column:
@@ -143,8 +225,70 @@ def regrid_weights(sites: DataFrame, targets: DataFrame, k: int = 4, min_distanc
 
 
 def regrid(facts: DataFrame, weights: DataFrame, dataset: str, target: str = "target") -> DataFrame:
-    """Weighted sums of the neighbours' values at each time."""
-    return facts.join(weights, "gid").groupBy(target, "ts").agg(F.sum(F.col("weight") * F.col(dataset)).alias(dataset))
+    """Weighted sums of the neighbours' values at each time.
+
+    Up to ``PACKED_WEIGHTS`` weights (counted first) go to all tasks as a sparse matrix, and
+    facts are shuffled once, by time, each time's values being one vector; more are
+    joined, which sends a fact to each of its targets.  A target has a row where any
+    neighbour has one; null values do not count, and only they give null.
+    """
+    table = weights.select(F.col(target).alias("target"), "gid", F.col("weight").cast("double").alias("weight")).where("gid IS NOT NULL AND target IS NOT NULL")
+    if table.limit(PACKED_WEIGHTS + 1).count() > PACKED_WEIGHTS:
+        return facts.join(weights, "gid").groupBy(target, "ts").agg(F.sum(F.col("weight") * F.col(dataset)).alias(dataset))
+    packed = table.orderBy("gid").toArrow()  # at most PACKED_WEIGHTS rows
+    kind = facts.schema["ts"].dataType.simpleString()
+    rows = facts.select("gid", "ts", F.col(dataset).cast("double").alias("value"))
+    shared = rows.sparkSession.sparkContext.broadcast(_Weights(packed))
+    out = rows.groupBy("ts").applyInArrow(lambda table: shared.value.at_time(table), f"target {table.schema['target'].dataType.simpleString()}, ts {kind}, value double")
+    return out.select(F.col("target").alias(target), "ts", F.col("value").alias(dataset))
+
+
+class _Weights:
+    """Weights by site: those of site i stand from first[i] to first[i + 1]."""
+
+    def __init__(self, table: pa.Table):
+        gid = table["gid"].to_numpy()
+        self.gids, self.first = np.unique(gid, return_index=True)
+        self.first = np.append(self.first, len(gid))
+        coded = table["target"].combine_chunks().dictionary_encode()
+        self.targets, self.column, self.weight = coded.dictionary, coded.indices.to_numpy(), table["weight"].to_numpy()
+
+    def at_time(self, facts: pa.Table) -> pa.Table:
+        gid, value = facts["gid"].to_numpy(), facts["value"].to_numpy()
+        known = facts["value"].is_valid().to_numpy()
+        site = np.minimum(np.searchsorted(self.gids, gid), max(len(self.gids) - 1, 0))
+        there = np.flatnonzero(self.gids[site] == gid) if len(self.gids) else np.zeros(0, np.int64)
+        first = self.first[site[there]]
+        n = self.first[site[there] + 1] - first if len(there) else first
+        cell = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        column, fact = self.column[cell], np.repeat(there, n)
+        size = len(self.targets)
+        counts = known[fact]
+        rows, valued = np.bincount(column, minlength=size), np.bincount(column[counts], minlength=size)
+        sums = np.bincount(column[counts], (self.weight[cell] * value[fact])[counts], minlength=size)
+        at = np.flatnonzero(rows)
+        time = pa.repeat(facts["ts"][0], len(at))
+        return pa.table({"target": self.targets.take(pa.array(at)), "ts": time, "value": pa.array(sums[at], mask=valued[at] == 0)})
+
+
+def store_weights(weights: DataFrame, path: str) -> None:
+    """Keeps a table of weights for further data of the same sites and targets."""
+    weights.write.mode("errorifexists").parquet(path)
+
+
+def stored_weights(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def regrid_onto(facts: DataFrame, sites: DataFrame, targets: DataFrame, dataset: str, k: int = 4, min_distance: float = 1e-12, target: str = "target", cache: str | None = None) -> DataFrame:
+    """Values at the targets in one call; weights are read from ``cache`` if they are there, else stored there if it is given."""
+    spark = facts.sparkSession
+    if cache is None:
+        return regrid(facts, regrid_weights(sites, targets, k, min_distance, target), dataset, target)
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{cache.rstrip('/')}/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        store_weights(regrid_weights(sites, targets, k, min_distance, target), cache)
+    return regrid(facts, stored_weights(spark, cache), dataset, target)
 
 
 def with_low_resolution(high: DataFrame, high_sites: DataFrame, low: DataFrame, low_sites: DataFrame, datasets: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aeolith.functions import heights, irradiance, quantiles, scaling, solar, units
-from aeolith.operators import derive, jointpd, ordered, select, spatial, stats
+from aeolith.operators import derive, fits, jointpd, ordered, select, selection, spatial, stats
 from aeolith.plans import site_model
 from aeolith.session import shared_path
 from aeolith.sources import layout, scan, sink
@@ -24,11 +24,11 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
+def query(sql: str | None = None, name: str | None = None, recursive: bool = False):
     def add(f: Query) -> Query:
         QUERIES[name or f.__name__] = f
         if sql:
-            ORACLE[name or f.__name__] = _WITH + sql
+            ORACLE[name or f.__name__] = (_WITH.replace("WITH", "WITH RECURSIVE", 1) if recursive else _WITH) + sql
         return f
 
     return add
@@ -198,6 +198,61 @@ def custom_min_mode(spark, d):
     return stats.stats(daily(spark, d), "l_quantity", ["min", "max", "mode"], "full").select("gid", "min", "max", "mode")
 
 
+_WEIBULL_SQL = """, v AS (SELECT gid, CAST(month(ts) AS INTEGER) AS month, l_quantity AS x FROM daily WHERE l_quantity > 0),
+g AS (SELECT gid, month, count(*) AS n, avg(ln(x)) AS m, max(x) AS top, greatest(0.02, least(100.0, power(sqrt(greatest(1e-12, avg(x * x) / (avg(x) * avg(x)) - 1)), -1.086))) AS k0 FROM v GROUP BY ALL HAVING min(x) < max(x)),
+c AS (SELECT gid, month, [x, cast(count(*) as double)] AS p FROM v GROUP BY gid, month, x), a AS (SELECT gid, month, list(p) AS p FROM c GROUP BY ALL),
+r AS (SELECT gid, month, 0 AS i, k0 AS k FROM g), s AS (SELECT g.*, p FROM g JOIN a USING (gid, month)){rounds}
+SELECT gid, month, n, CAST(unnest([0, 1, 2]) AS INTEGER) AS place, round(unnest([k, 0.0, top * power(list_sum(list_transform(p, lambda y: y[2] * power(y[1] / top, k))) / n, 1 / k)]), 5) AS weibull FROM s JOIN r{last} USING (gid, month)"""
+_NEWTON = """, t{i} AS (SELECT gid, month, k, m, list_sum(list_transform(p, lambda y: y[2] * power(y[1] / top, k))) AS a, list_sum(list_transform(p, lambda y: y[2] * power(y[1] / top, k) * ln(y[1]))) AS b, list_sum(list_transform(p, lambda y: y[2] * power(y[1] / top, k) * ln(y[1]) * ln(y[1]))) AS c FROM s JOIN r{before} USING (gid, month)),
+r{i} AS (SELECT gid, month, greatest(k / 3, least(k * 3, k - (b / a - 1 / k - m) / (c / a - (b / a) * (b / a) + 1 / (k * k)))) AS k FROM t{i})"""
+
+
+@query(_WEIBULL_SQL.format(rounds="".join(_NEWTON.format(i=i, before=i - 1 or "") for i in range(1, 9)), last=8))
+def weibull_fit(spark, d):
+    """Shape, place and scale by site and month, as the places of a list."""
+    out = fits.fit(daily(spark, d), "l_quantity", "weibull_min", "monthly").where("fit IS NOT NULL")
+    return out.select("gid", "month", "n", F.posexplode("fit").alias("place", "weibull")).withColumn("weibull", _r("weibull", 5))
+
+
+_DIGAMMA = "(ln({a} + 8) - 1 / (2 * ({a} + 8)) - 1 / (12 * power({a} + 8, 2)) + 1 / (120 * power({a} + 8, 4)) - 1 / (252 * power({a} + 8, 6)) + 1 / (240 * power({a} + 8, 8)) - " + " - ".join(f"1 / ({{a}} + {i})" for i in range(8)) + ")"
+
+
+@query(f""", g AS (SELECT gid, count(*) AS n, avg(value) AS mean, ln(avg(value)) - avg(ln(value)) AS s FROM facts WHERE value > 0 GROUP BY gid HAVING min(value) < max(value)),
+r AS (SELECT gid, n, mean, s, 1e-6 AS low, 1e6 AS high, 0 AS i FROM g UNION ALL SELECT gid, n, mean, s, CASE WHEN ln(sqrt(low * high)) - {_DIGAMMA.format(a='sqrt(low * high)')} > s THEN sqrt(low * high) ELSE low END, CASE WHEN ln(sqrt(low * high)) - {_DIGAMMA.format(a='sqrt(low * high)')} > s THEN high ELSE sqrt(low * high) END, i + 1 FROM r WHERE i < 56)
+SELECT gid, n, round(sqrt(low * high), 5) AS shape, round(mean / sqrt(low * high), 4) AS scale FROM r WHERE i = 56""", recursive=True)
+def gamma_fit(spark, d):
+    out = fits.fit(facts(spark, d), "value", "gamma").where("fit IS NOT NULL")
+    return out.select("gid", "n", _r(F.get("fit", F.lit(0)), 5).alias("shape"), _r(F.get("fit", F.lit(2)), 4).alias("scale"))
+
+
+@query("""SELECT gid, CAST(month(ts) AS INTEGER) AS month, round(quantile_cont(l_quantity, 0.1), 6) AS p10, round(quantile_cont(l_quantity, 0.9), 6) AS p90, max(l_quantity) - min(l_quantity) AS span, list_reverse_sort(list(l_quantity))[2] AS second FROM daily GROUP BY ALL""")
+def custom_arguments(spark, d):
+    """A list from arguments, a function of a group's values, and one of its two largest."""
+    wanted = {
+        "p": {"func": "percentiles", "kwargs": {"q": [0.1, 0.9]}},
+        "span": {"func": stats.of_values(lambda x: float(x.max() - x.min()))},
+        "second": {"func": lambda x, place: F.get(F.sort_array(F.collect_list(x), asc=False), F.lit(place)), "kwargs": {"place": 1}},
+    }
+    out = stats.stats(daily(spark, d), "l_quantity", wanted, "monthly")
+    return out.select("gid", "month", *[_r(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(("p10", "p90"))], "span", "second")
+
+
+_SHARES = (0.05, 0.5, 0.95)
+
+
+@query(f"SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS place, round(unnest(quantile_cont(value, {list(_SHARES)})), 6) AS value FROM facts")
+def selection_quantiles(spark, d):
+    """Exact quantiles of the whole selection, by counts in narrowing ranges."""
+    found = selection.quantiles(facts(spark, d), "value", _SHARES)
+    return spark.range(1).select(F.posexplode(F.array(*[F.lit(v).cast("double") for v in found])).alias("place", "value")).withColumn("value", _r("value"))
+
+
+@query("SELECT gid, month, hour, round(mean, 9) AS mean, round(std, 6) AS std, low, high, n FROM (SELECT gid, month, hour, avg(x) AS mean, CASE WHEN month IS NULL AND hour IS NULL THEN stddev_samp(x) ELSE stddev_pop(x) END AS std, min(x) AS low, max(x) AS high, count(x) AS n FROM (SELECT gid, CAST(month(ts) AS INTEGER) AS month, CAST(hour(ts) AS INTEGER) AS hour, value AS x FROM facts) GROUP BY GROUPING SETS ((gid), (gid, month), (gid, hour), (gid, month, hour)))")
+def merged_stats(spark, d):
+    out = stats.stats(facts(spark, d), "value", {"mean": "mean", "std": "std", "low": "min", "high": "max", "n": "count"}, "all")
+    return out.select("gid", "month", "hour", _r("mean", 9).alias("mean"), _r("std").alias("std"), "low", "high", "n")
+
+
 @query("SELECT gid, latitude, longitude, round(avg(value), 6) AS mean FROM facts JOIN meta USING (gid) GROUP BY ALL")
 def stats_with_meta(spark, d):
     return stats.with_meta(stats.stats(facts(spark, d), "value", ["mean"], "full"), meta(spark, d)).select("gid", "latitude", "longitude", _r("mean").alias("mean"))
@@ -503,14 +558,53 @@ def distance_threshold(spark, d):
     return spark.range(1).select(_r(spatial.distance_threshold(meta(spark, d)), 9).alias("threshold"))
 
 
+def crowd(spark: SparkSession, d: str) -> DataFrame:
+    """Many sites, nine of ten of them in one small place."""
+    k = F.col("o_orderkey")
+    far = k % 10 == 0
+    return _read(spark, d, "orders").select(
+        k.alias("gid"),
+        F.when(far, 25 + (k * 7 % 2400) / 100.0).otherwise(35 + (k * 7919 % 10007) / 100000.0).alias("latitude"),
+        F.when(far, -124 + (k * 13 % 5700) / 100.0).otherwise(-100 + (k * 104729 % 10009) / 100000.0).alias("longitude"),
+    )
+
+
+_CROWD = """, crowd AS (SELECT o_orderkey AS gid, CASE WHEN o_orderkey % 10 = 0 THEN 25 + (o_orderkey * 7 % 2400) / 100.0 ELSE 35 + (o_orderkey * 7919 % 10007) / 100000.0 END AS latitude,
+  CASE WHEN o_orderkey % 10 = 0 THEN -124 + (o_orderkey * 13 % 5700) / 100.0 ELSE -100 + (o_orderkey * 104729 % 10009) / 100000.0 END AS longitude FROM orders)"""
+
+
+@query(_CROWD + """, a AS (SELECT p.point, c.gid, sqrt((p.latitude - c.latitude) * (p.latitude - c.latitude) + (p.longitude - c.longitude) * (p.longitude - c.longitude)) AS d FROM points p, crowd c),
+r AS (SELECT point, min_by(gid, struct_pack(d := d, gid := gid)) AS gid, min(d) AS distance FROM a GROUP BY point) SELECT point, gid, round(distance, 9) AS distance FROM r""")
+def nearest_of_crowd(spark, d):
+    """More sites than go to a task, crowded ones."""
+    return spatial.nearest(points(spark, d), crowd(spark, d)).select("point", "gid", _r("distance", 9).alias("distance"))
+
+
+@query(_CROWD + """, a AS (SELECT m.gid AS point, c.gid, 2 * asin(least(1.0, sqrt(power(sin((radians(c.latitude) - radians(m.latitude)) / 2), 2) + cos(radians(m.latitude)) * cos(radians(c.latitude)) * power(sin((radians(c.longitude) - radians(m.longitude)) / 2), 2)))) AS d FROM meta m, crowd c)
+SELECT point, rank, round(d, 9) AS distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY point ORDER BY d, gid) AS INTEGER) AS rank FROM a) WHERE rank <= 4""")
+def four_nearest_of_crowd(spark, d):
+    near = spatial.nearest(meta(spark, d).withColumnRenamed("gid", "point"), crowd(spark, d), 4, "haversine")
+    return near.select("point", "rank", _r("distance", 9).alias("distance"))
+
+
 _WEIGHTS = ", k AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY great, gid) AS k FROM near QUALIFY k <= 4), w AS (SELECT point, gid, CASE WHEN min(great) OVER (PARTITION BY point) < 1e-12 THEN CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END ELSE 1 / greatest(great, 1e-12) END AS w FROM k), ww AS (SELECT point AS target, gid, w / sum(w) OVER (PARTITION BY point) AS weight FROM w)"
 
 
 @query(_WEIGHTS + " SELECT target, CAST(ts AS DATE) AS day, round(sum(weight * q), 4) AS value FROM ww JOIN (SELECT gid, ts, avg(l_quantity) AS q FROM daily GROUP BY gid, ts) USING (gid) GROUP BY ALL")
 def regrid_idw(spark, d):
     rows = daily(spark, d).groupBy("gid", "ts").agg(F.avg("l_quantity").alias("value"))
-    weights = spatial.regrid_weights(meta(spark, d), points(spark, d).withColumnRenamed("point", "target"))
-    return spatial.regrid(rows, weights, "value").select("target", F.to_date("ts").alias("day"), _r("value", 4).alias("value"))
+    out = spatial.regrid_onto(rows, meta(spark, d), points(spark, d).withColumnRenamed("point", "target"), "value")
+    return out.select("target", F.to_date("ts").alias("day"), _r("value", 4).alias("value"))
+
+
+@query(_WEIGHTS + " SELECT target, day, round(sum(weight * q), 4) AS quantity, round(sum(weight * t), 6) AS tax FROM ww JOIN (SELECT gid, CAST(date_trunc('month', ts) AS DATE) AS day, avg(l_quantity) AS q, avg(l_tax) AS t FROM daily GROUP BY ALL) USING (gid) GROUP BY ALL")
+def regrid_cached(spark, d):
+    """Two datasets by one table of weights, stored by the first and read by the second."""
+    rows = daily(spark, d).groupBy("gid", F.date_trunc("month", "ts").cast("date").alias("ts")).agg(F.avg("l_quantity").alias("quantity"), F.avg("l_tax").alias("tax"))
+    cache, targets = shared_path(spark, "weights"), points(spark, d).withColumnRenamed("point", "target")
+    quantity, tax = (spatial.regrid_onto(rows, meta(spark, d), targets, v, cache=cache) for v in ("quantity", "tax"))
+    out = quantity.join(tax, ["target", "ts"])
+    return out.select("target", F.col("ts").alias("day"), _r("quantity", 4).alias("quantity"), _r("tax").alias("tax"))
 
 
 @query("SELECT gid AS target, gid, 1.0 AS weight FROM meta")

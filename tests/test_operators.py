@@ -2,11 +2,12 @@ import datetime as dt
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from aeolith.errors import ResourceValueError
-from aeolith.operators import derive, jointpd, ordered, select, spatial, stats
+from aeolith.operators import derive, fits, jointpd, ordered, select, selection, spatial, stats
 from aeolith.plans import site_model
 from aeolith.sources.catalog import WIND, Catalog
 
@@ -50,6 +51,110 @@ def test_stats_against_numpy(facts):
         stats.stats(facts, "windspeed_80m", ["nope"])
 
 
+def _exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan, sum("Exchange hashpartitioning" in line and "Reused" not in line for line in plan.splitlines())
+
+
+def test_medians_of_all_groups_take_one_exchange(spark, facts, tmp_path):
+    facts.write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    plan, n = _exchanges(stats.stats(facts, "windspeed_80m", ["mean", "median", "std"], "all"))
+    assert "Expand" not in plan and n == 1 and plan.count("ReusedExchange") == 3, plan
+
+
+@pytest.mark.parametrize("period", ["full", "monthly", "diurnal", "monthly_diurnal", "all"])
+def test_merged_statistics_equal_direct_ones(spark, facts, period):
+    odd = facts.unionByName(facts.withColumn("gid", F.lit(9)).withColumn("windspeed_80m", F.lit(None).cast("double"))).unionByName(facts.limit(1).withColumn("gid", F.lit(10)))
+    names = ["mean", "min", "max", "sum", "count", "std"]
+    merged = stats.stats(odd, "windspeed_80m", names, period)
+    direct = stats.stats(odd, "windspeed_80m", [*names, "median"], period)
+    plan, _ = _exchanges(merged)
+    assert period != "all" or "partial_var_pop" in plan or "var_pop" in plan
+    a, b = ({(r.gid, r.month, r.hour): tuple(r[3:9]) for r in df.collect()} for df in (merged, direct))
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k], nan_ok=True), k
+
+
+def test_custom_statistics_take_arguments_and_give_lists(facts):
+    def span(x, low=0.0):
+        return x.max() - x.min() + low
+
+    wanted = {
+        "q": {"func": "percentiles", "kwargs": {"q": [0.1, 0.9]}}, "spread": {"func": "std"}, "top": {"func": lambda x, n=1: F.slice(F.sort_array(F.collect_list(x), asc=False), 1, n), "kwargs": {"n": 2}},
+        "span": {"func": stats.of_values(span), "kwargs": {"low": 5.0}}, "ends": {"func": stats.of_values(lambda x: [x.min(), x.max()], "array<double>")},
+    }
+    rows = stats.stats(facts, "windspeed_80m", wanted, "monthly").where("gid = 1").orderBy("month").collect()
+    x = np.array([10 + h % 24 for h in range(24)], float)
+    assert len(rows) == 2
+    for r in rows:
+        assert r.q == pytest.approx(np.quantile(x, [0.1, 0.9]).tolist()) and r.spread == pytest.approx(x.std())
+        assert (r.top, r.span, r.ends) == ([33.0, 32.0], 28.0, [10.0, 33.0])
+    for bad in ({"a": {"kwargs": {}}}, {"a": {"func": "mean", "kwargs": [1]}}):
+        with pytest.raises(ValueError):
+            stats.stats(facts, "windspeed_80m", bad)
+    with pytest.raises(KeyError):
+        stats.stats(facts, "windspeed_80m", {"a": {"func": "nope"}})
+
+
+def test_fits_maximise_likelihood(spark):
+    rng = np.random.default_rng(4)
+    samples = {(0, 1): rng.weibull(2.3, 800) * 7.9, (0, 2): rng.weibull(0.7, 500) * 3, (1, 1): rng.gamma(3.0, 2.0, 900), (None, 1): rng.weibull(9, 300) * 250}
+    rows = [(g, m, float(v)) for (g, m), x in samples.items() for v in x] + [(5, 1, 2.0), (5, 1, 2.0), (6, 1, None), (6, 1, 0.0), (0, 1, float("nan")), (0, 1, -3.0), (0, 1, 0.0)]
+    df = spark.createDataFrame(rows, "gid long, month int, x double")
+
+    def weibull(k, x):
+        scale = (x**k).mean() ** (1 / k)
+        return len(x) * math.log(k / scale) + ((k - 1) * np.log(x / scale) - (x / scale) ** k).sum()
+
+    def gamma(k, x):
+        scale = x.mean() / k
+        return ((k - 1) * np.log(x) - x / scale).sum() - len(x) * (math.lgamma(k) + k * math.log(scale))
+
+    for name, likelihood in (("weibull_min", weibull), ("gamma", gamma)):
+        got = {(r.gid, r.month): r for r in fits.FITS[name](df, "x", ["gid", "month"]).collect()}
+        assert got[5, 1].fit is None and (6, 1) not in got and got[0, 1].n == 800
+        for key, x in samples.items():
+            k, place, scale = got[key].fit
+            assert place == 0 and scale == pytest.approx(((x**k).mean() ** (1 / k)) if name == "weibull_min" else x.mean() / k, rel=1e-9)
+            best = likelihood(k, x)
+            assert all(best >= likelihood(k * f, x) for f in (0.99, 1.01, 0.9999, 1.0001)), (name, key)
+    assert {r.gid: r.fit for r in fits.fit_exponential(df.where("gid = 5"), "x").collect()} == {5: [2.0, 0.0]}
+    with pytest.raises(KeyError):
+        fits.fit(df, "x", "cauchy")
+
+
+def test_order_statistics_equal_sorting(spark):
+    rng = np.random.default_rng(1)
+    values = [*rng.normal(0, 1e6, 300), *([7.0] * 50), 1e300, -1e300, 5e-324, 0.0, float("inf"), 1e300]
+    df = spark.createDataFrame([(v,) for v in [*map(float, values), None, float("nan")]], "x double").repartition(5)
+    places = list(range(0, len(values), 37)) + [len(values) - 1]
+    assert selection.order_statistics(df.where("x < double('infinity')"), "x", places[:-1]) == [sorted(values)[p] for p in places[:-1]]
+    finite = [v for v in values if abs(v) < 1e9]
+    some = spark.createDataFrame([(float(v),) for v in finite], "x double")
+    assert selection.quantiles(some, "x", [0, 0.31, 0.5, 1]) == pytest.approx(np.quantile(finite, [0, 0.31, 0.5, 1]).tolist())
+    assert selection.quantiles(some.limit(0), "x", [0.5]) == [None]
+    with pytest.raises(IndexError):
+        selection.order_statistics(some, "x", [10**6])
+
+
+@pytest.mark.parametrize("values", [[1, 2, 3, 4], [1, 2, 2, 9], [5], [2, 2], [], [float("nan"), 3, None], [1, 3, 3, 8, 9], [0, 4]])
+def test_median_above(spark, values):
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values] or [(None,)], "x double")
+    known = [v for v in values if v is not None and v == v]
+    for limit in (0.0, 1.0, 2.0, 2.5, 3.0, 8.5):
+        want = bool(np.median(known) > limit) if known else None
+        assert df.agg(selection.median_above(F.col("x"), limit).alias("a")).first().a == want
+
+
+def test_units_without_a_sort(facts):
+    out = derive.in_model_units(facts.withColumn("temperature_80m", F.col("windspeed_80m") + 280), ["temperature_80m"], "windpower")
+    plan, _ = _exchanges(out)
+    assert "percentile" not in plan and "median" not in plan.replace("median_above", "") and out.agg(F.max("temperature_80m")).first()[0] == pytest.approx(53 + 280 - 273.15)
+
+
 def test_masked_and_missing_values(spark):
     df = spark.createDataFrame([(0, dt.datetime(2020, 1, 1, h), v) for h, v in enumerate([0.0, 2.0, float("nan"), None, 4.0])], "gid long, ts timestamp_ntz, x double")
     assert stats.stats(df, "x", ["mean"], "full", mask_zeros=True).first().mean == 3
@@ -121,6 +226,44 @@ def test_nearest_like_brute_force(spark, monkeypatch, limit):
     assert all(far[i] == great[i].argmin() for i in range(60))
 
 
+@pytest.mark.parametrize("metric", ["planar", "haversine"])
+@pytest.mark.parametrize("k", [1, 4])
+def test_nearest_of_crowded_sites(spark, monkeypatch, metric, k):
+    """Ranges of a few sites, most of them in one place, some equal, on both sides of the antimeridian."""
+    rng = np.random.default_rng(8)
+    s = np.concatenate([rng.normal((10, 20), 1e-3, (300, 2)), rng.uniform((-89, -180), (89, 180), (100, 2)), np.tile([[10.0, 20.0]], (40, 1))])
+    p = np.concatenate([rng.normal((10, 20), 2e-3, (80, 2)), rng.uniform((-90, -180), (90, 180), (120, 2)), [[0.0, 180.0], [0.0, -180.0], [90.0, 0.0]]])
+    sites = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(s)], "gid long, latitude double, longitude double")
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "point long, latitude double, longitude double")
+    direct = {(r.point, r.rank): (r.gid, r.distance) for r in spatial.nearest(points, sites, k, metric).collect()}
+    for name, value in {"ARRAY_SITES": 1, "RANGE_SITES": 16, "RANGE_POINTS": 30}.items():
+        monkeypatch.setattr(spatial, name, value)
+    ranged = {(r.point, r.rank): (r.gid, r.distance) for r in spatial.nearest(points, sites, k, metric).collect()}
+    assert len(direct) == len(p) * k and ranged == direct
+
+
+def test_ranges_have_bounded_populations(spark, monkeypatch):
+    """However crowded the sites, no range has many more than its share."""
+    sizes = []
+    made = spatial._compared
+
+    monkeypatch.setattr(spatial, "RANGE_SITES", 64)
+    rng = np.random.default_rng(8)
+    s = np.concatenate([rng.normal((10, 20), 1e-3, (3000, 2)), rng.uniform((-80, -180), (80, 180), (200, 2))])
+    sites = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(s)], "gid long, latitude double, longitude double")
+
+    def counting(k, metric):
+        def count(asked, sites):
+            return made(k, metric)(asked, sites).select(["point", "distance"]).append_column("gid", pa.array([sites.num_rows] * asked.num_rows))
+
+        return count
+
+    monkeypatch.setattr(spatial, "_compared", counting)
+    points = sites.select(F.col("gid").alias("point"), F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"))
+    sizes = [r.gid for r in spatial.nearest(points, sites, 1).collect()]
+    assert len(sizes) >= 3200 and max(sizes) <= 100
+
+
 def test_lookup_errors(spark, meta):
     point = spark.createDataFrame([(0, 40.1, -104.9)], "point long, latitude double, longitude double")
     assert spatial.lookup(point, meta).first().gid == 0
@@ -136,6 +279,21 @@ def test_regrid(spark):
     assert got[0] == 5 and got[1] == pytest.approx(2.5, abs=1e-3)
 
 
+def test_regrid_paths_agree(spark, monkeypatch, tmp_path):
+    """The packed and the joined way, with null values, absent facts, repeated ones and unknown sites."""
+    sites = spark.createDataFrame([(i, float(i // 4), float(i % 4)) for i in range(16)], "gid long, latitude double, longitude double")
+    targets = spark.createDataFrame([(f"t{i}", i * 0.37, i * 0.29) for i in range(9)], "target string, latitude double, longitude double")
+    facts = spark.createDataFrame([(g, dt.date(2020, 1, d), None if g % 5 == d else float(g * d)) for g in range(20) for d in (1, 2, 3) if g % 7 != d] + [(1, dt.date(2020, 1, 1), 5.0)], "gid long, ts date, v double")
+    cache = str(tmp_path / "weights")
+    packed = {(r.target, r.ts): r.v for r in spatial.regrid_onto(facts, sites, targets, "v", cache=cache).collect()}
+    assert spatial.stored_weights(spark, cache).count() == 36
+    monkeypatch.setattr(spatial, "regrid_weights", None)  # the second call reads what the first has stored
+    monkeypatch.setattr(spatial, "PACKED_WEIGHTS", 0)
+    joined = {(r.target, r.ts): r.v for r in spatial.regrid_onto(facts, sites, targets, "v", cache=cache).collect()}
+    assert packed.keys() == joined.keys() and len(packed) == 27
+    assert all(packed[k] == (None if v is None else pytest.approx(v)) for k, v in joined.items())
+
+
 def test_raster(spark):
     sites = spark.range(120).selectExpr("id AS gid", "30 + floor(id / 10) * 0.5 AS latitude", "-100 + id % 10 * 0.5 AS longitude").withColumn("latitude", F.col("latitude").cast("double")).withColumn("longitude", F.col("longitude").cast("double"))
     out = {(r.row, r.col): r.gid for r in spatial.raster(sites, (31.0, -99.0), (4, 3)).collect()}
