@@ -530,9 +530,23 @@ def time_interpolate(spark, d):
     return ordered.interpolate_in_time(rows, "value").select("gid", "ts", _r("value").alias("value"))
 
 
-@query("SELECT unnest(generate_series(TIMESTAMP '2012-01-01', TIMESTAMP '2012-12-31 23:00:00', INTERVAL 1 HOUR)) AS ts")
+@query("""SELECT CAST(y AS INTEGER) AS year, t.ts, coalesce(n, 0) AS n FROM (SELECT DISTINCT year(ts) AS y FROM daily) AS ys, unnest(generate_series(make_timestamp(y, 1, 1, 0, 0, 0.0), make_timestamp(y, 12, 31, 18, 0, 0.0), INTERVAL 6 HOUR)) AS t(ts)
+LEFT JOIN (SELECT ts, count(*) AS n FROM daily GROUP BY ts) AS c ON c.ts = t.ts""")
 def time_index(spark, d):
-    return ordered.time_index(spark, 2012)
+    """All times of the years that the data has, with the number of values at each."""
+    rows = daily(spark, d)
+    index = ordered.time_indices(rows.select(F.year("ts").alias("year")).distinct(), "6 hours")
+    return index.join(rows.groupBy("ts").agg(F.count("*").alias("n")), "ts", "left").select("year", "ts", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""SELECT gid, t.ts, round(CASE WHEN n.ts IS NULL OR n.ts = b.ts THEN b.value WHEN b.ts IS NULL THEN n.value ELSE b.value + (n.value - b.value) * (epoch_us(t.ts) - epoch_us(b.ts)) / CAST(epoch_us(n.ts) - epoch_us(b.ts) AS DOUBLE) END, 5) AS value, coalesce(b.kind, n.kind) AS kind
+FROM (SELECT gid, unnest(generate_series(date_trunc('day', lo), hi, INTERVAL 15 MINUTE)) AS ts, lo FROM (SELECT gid, min(ts) AS lo, max(ts) AS hi FROM facts GROUP BY gid)) AS t
+ASOF LEFT JOIN (SELECT gid AS g, ts, value, event_id % 7 AS kind FROM facts) AS b ON t.gid = b.g AND t.ts >= b.ts ASOF LEFT JOIN (SELECT gid AS g, ts, value, event_id % 7 AS kind FROM facts) AS n ON t.gid = n.g AND t.ts <= n.ts
+WHERE t.ts > lo - INTERVAL 15 MINUTE""")
+def upsampled_quarters(spark, d):
+    """Irregular times to quarter hours: one dataset on lines, one held."""
+    rows = facts(spark, d).select("gid", "ts", "value", (F.col("event_id") % 7).alias("kind"))
+    return ordered.upsampled(rows, "15 minutes", ["value"], ["kind"]).select("gid", "ts", _r("value", 5).alias("value"), "kind")
 
 
 @query("SELECT gid, ts, l_quantity FROM daily WHERE date_diff('day', (SELECT min(ts) FROM daily), ts) % 3 = 0")
@@ -627,10 +641,12 @@ def multi_resolution_join(spark, d):
     return out.select("gid", "ts", _r("value", 5).alias("value"))
 
 
-@query("SELECT 7 - (gid // 12 - 5) AS \"row\", gid % 12 - 3 AS col, gid FROM (SELECT unnest(range(0, 240)) AS gid) WHERE gid // 12 BETWEEN 5 AND 12 AND gid % 12 BETWEEN 3 AND 7")
+@query("""SELECT 7 - (gid // 12 - 2) AS "row", gid % 12 - 3 AS col, gid FROM (SELECT c_custkey - 1 AS gid FROM customer) WHERE gid // 12 BETWEEN 2 AND 9 AND gid % 12 BETWEEN 3 AND 7""")
 def raster_index(spark, d):
-    sites = spark.range(240).select(F.col("id").alias("gid"), (30 + F.floor(F.col("id") / 12) * 0.25).alias("latitude"), (-100 + F.col("id") % 12 * 0.3).alias("longitude"))
-    out = spatial.raster(sites, (31.25, -99.1), (8, 5))
+    """Customers as a grid of twelve columns and as many rows as they fill."""
+    k = F.col("c_custkey") - 1
+    sites = _read(spark, d, "customer").select(k.alias("gid"), (30 + F.floor(k / 12) * 0.25).alias("latitude"), (-100 + k % 12 * 0.3).alias("longitude"))
+    out = spatial.raster(sites, (30.5, -99.1), (8, 5))
     return out.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "gid")
 
 
@@ -761,10 +777,12 @@ def height_projection(spark, d):
     return layout.at_height(facts(spark, d), 100, WIND)
 
 
-@query("SELECT CAST(ceil(8760 / 4.0) AS BIGINT) AS full_t, CAST(ceil(2 / (2190 * 4 * 1e-6)) AS BIGINT) AS full_g, CAST(8 * 7 * 24 AS BIGINT) AS hourly_t, CAST(ceil(2 / (1344 * 2 * 1e-6)) AS BIGINT) AS hourly_g")
+@query("""SELECT dataset, 'double' AS dtype, CAST(t AS BIGINT) AS chunk_times, CAST(least(sites, ceil(2 / (t * 8 * 1e-6))) AS BIGINT) AS chunk_sites
+FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS dataset, CASE WHEN w >= times THEN ceil(times / 4.0) ELSE w END AS t, sites
+  FROM (SELECT times, sites, ceil(ceil(8 / (times / 8760.0)) * 7 * 24 * (times / 8760.0)) AS w FROM (SELECT count(DISTINCT ts) AS times, count(DISTINCT gid) AS sites FROM daily)))""")
 def chunk_plan(spark, d):
-    a, b = layout.timeseries_chunk(8760, 10_000, "float", weeks=60), layout.timeseries_chunk(8760, 10_000, "smallint")
-    return spark.createDataFrame([(*a, *b)], "full_t long, full_g long, hourly_t long, hourly_g long")
+    """The chunks that the datasets would get, from the times and sites they have."""
+    return layout.describe_layout(daily(spark, d), WIND)
 
 
 @query("SELECT gid, time_bucket(INTERVAL '1 day', ts) AS ts, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM facts GROUP BY 1, 2")
@@ -778,3 +796,40 @@ def windowed_stats(spark, d):
 def parametric_distribution(spark, d):
     p = quantiles.parametric_cdf("weibull_min", F.col("value"), 2.0, 1.0, 50.0)
     return facts(spark, d).agg(F.count("*").alias("n"), _r(F.avg(p)).alias("p"))
+
+
+@query("""SELECT gid, time_bucket(INTERVAL '1 day', ts) AS ts, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM facts GROUP BY 1, 2""")
+def streamed_stats(spark, d):
+    """Events replayed in batches, one of ten a batch late, equal to the statistics of all."""
+    from aeolith.streaming.stats import latest, upserted, windowed_stats
+
+    source, sunk = shared_path(spark, "replay"), shared_path(spark, "streamed")
+    rows = facts(spark, d).select("gid", "ts", "value", (F.floor(F.dayofmonth("ts") / 8) + (F.col("event_id") % 10 == 0).cast("int")).cast("int").alias("part"))
+    for part in range(5):  # files arrive in this order
+        rows.where(F.col("part") == part).drop("part").coalesce(4).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 4).parquet(source)
+    upserted(windowed_stats(stream, "value", "1 day", "20 days", median=True), f"{sunk}/windows", f"{sunk}/checkpoint").awaitTermination()
+    out = latest(spark, f"{sunk}/windows")
+    return out.select("gid", F.col("start").cast("timestamp_ntz").alias("ts"), "n", _r("mean").alias("mean"), _r("median").alias("median"))
+
+
+@query("""SELECT f.gid, f.ts, round(CASE WHEN f.ts < TIMESTAMP '2024-01-16' THEN round_even(value * 10, 0) / 10 ELSE round_even(value * 100, 0) / 100 END, 4) AS value, CAST(hour(f.ts) AS INTEGER) AS hour_of_day, m.timezone, m.latitude
+FROM facts AS f LEFT JOIN meta AS m USING (gid)""")
+def labelled_files(spark, d):
+    """One variable in two files of different scales, one by time alone and one by site alone, with coordinates."""
+    from aeolith.sources import labelled
+
+    rows, sites, cut = facts(spark, d), meta(spark, d), F.lit("2024-01-16").cast("timestamp_ntz")
+    root = shared_path(spark, "labelled")
+    values = rows.select("gid", "ts", "value")
+    parts = {
+        "early": sink.scaled(values.where(F.col("ts") < cut), {"value": {"dtype": "smallint", "scale_factor": 10, "units": "W"}}),
+        "late": sink.scaled(values.where(F.col("ts") >= cut), {"value": {"dtype": "int", "scale_factor": 100, "units": "W"}}),
+        "times": rows.select("ts", F.hour("ts").alias("hour_of_day")).distinct(),
+        "sites": sites.select("gid", "timezone"),
+    }
+    for name, part in parts.items():
+        part.write.parquet(f"{root}/{name}")
+    data = labelled.open_files(spark, [f"{root}/{n}" for n in parts], SOLAR, sites)
+    out = data.table("value", "hour_of_day", "timezone", coordinates=True)
+    return out.select("gid", "ts", _r(F.col("value").cast("double"), 4).alias("value"), "hour_of_day", "timezone", "latitude")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -11,6 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aeolith.errors import ResourceRuntimeError
 from aeolith.functions.scaling import smallest_integer, to_stored
 
 from .catalog import INDEX
@@ -76,43 +79,130 @@ def create_store(path: str, meta: DataFrame, times: DataFrame, configs: dict | N
         meta.sparkSession.createDataFrame(rows, "name string, config string").write.mode(mode).parquet(f"{path}/configs")
 
 
-def write_dataset(path: str, values: DataFrame, name: str, attributes: dict | None = None, mode: str = "errorifexists") -> None:
-    """A dataset of a store, in a folder of its own: no other is written again.
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
-    ``values`` (gid, ts, name) must hold every site at every time, once.
+
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    fs, where = _folder(spark, f"{path}/commits")
+    names = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+
+def manifest(spark: SparkSession, path: str, commit: int | None = None) -> dict[str, dict]:
+    """name: {"version": folder or null, "type": ..., "attributes": ...} of a store, as the last commit or an earlier one has it."""
+    known = _commits(spark, path)
+    if commit is not None and commit not in known:
+        raise FileNotFoundError(f"{path} has no commit {commit}")
+    if not known:
+        return {}
+    text = spark.read.text(f"{path}/commits/{known[-1] if commit is None else commit:08d}.json", wholetext=True).first()[0]
+    return json.loads(text)
+
+
+def _commit(spark: SparkSession, path: str, changes: dict[str, dict], seen: int) -> int:
+    """Names the state that follows commit ``seen``; another writer's commit since then is an error.
+
+    The manifest is written beside its place and renamed into it, which either happens or
+    does not: readers see the state before or after.
+    """
+    fs, folder = _folder(spark, f"{path}/commits")
+    fs.mkdirs(folder)
+    known = manifest(spark, path, seen) if seen else {}
+    _, place = _folder(spark, f"{path}/commits/{seen + 1:08d}.json")
+    _, fresh = _folder(spark, f"{path}/commits/_{uuid.uuid4().hex}")
+    out = fs.create(fresh, False)
+    out.write(bytearray(json.dumps({**known, **changes}, sort_keys=True).encode()))
+    out.close()
+    if fs.exists(place) or not fs.rename(fresh, place):
+        fs.delete(fresh, False)
+        raise ResourceRuntimeError(f"{path} was changed since commit {seen}")
+    return seen + 1
+
+
+def _last(spark: SparkSession, path: str) -> int:
+    return max(_commits(spark, path), default=0)
+
+
+def _put(path: str, stored: DataFrame, name: str, seen: int) -> int:
+    """Writes a version of a dataset whole, then commits it."""
+    spark, version = stored.sparkSession, f"v{uuid.uuid4().hex}"
+    stored.repartitionByRange("gid").sortWithinPartitions("gid", "ts").write.parquet(f"{path}/datasets/{name}/{version}")
+    field = stored.schema[name]
+    return _commit(spark, path, {name: {"version": version, "type": field.dataType.simpleString(), "attributes": field.metadata}}, seen)
+
+
+def declare_dataset(path: str, spark: SparkSession, name: str, dtype: str, attributes: dict | None = None) -> int:
+    """A dataset without values yet: its type and attributes are fixed, reads give null for every site and time."""
+    seen = _last(spark, path)
+    if name in manifest(spark, path):
+        raise ValueError(f"{name} is there already")
+    return _commit(spark, path, {name: {"version": None, "type": dtype, "attributes": attributes or {}}}, seen)
+
+
+def write_dataset(path: str, values: DataFrame, name: str, attributes: dict | None = None, mode: str = "errorifexists") -> int:
+    """A dataset of a store, in folders of its own: no other is written again.  Returns the number of the commit.
+
+    ``values`` (gid, ts, name) must hold every site at every time, once.  A declared
+    dataset takes its type and attributes from its declaration.
     """
     spark = values.sparkSession
+    seen = _last(spark, path)
+    known = manifest(spark, path).get(name)
+    if known and known["version"] and mode == "errorifexists":
+        raise ValueError(f"{name} is there already")
+    if known and not known["version"] and attributes is None:
+        attributes = {"dtype": known["type"], **known["attributes"]}
     check_shape(values, spark.read.parquet(f"{path}/meta"), spark.read.parquet(f"{path}/time_index"))
-    out = scaled(values.select("gid", "ts", name), {name: attributes} if attributes else {})
-    out.repartitionByRange("gid").sortWithinPartitions("gid", "ts").write.mode(mode).parquet(f"{path}/datasets/{name}")
+    return _put(path, scaled(values.select("gid", "ts", name), {name: attributes} if attributes else {}), name, seen)
 
 
 def update_dataset(path: str, values: DataFrame, name: str, attributes: dict | None = None) -> bool:
     """Writes a dataset again if that changes anything as stored; True if so.
 
-    The new one is whole before the old one goes, so ``values`` may be made from it.
+    The new version is whole before a commit names it, and the old one stays until
+    vacuum(): a reader finds one or the other, so ``values`` may be made from the old one.
     """
     spark = values.sparkSession
-    old = spark.read.parquet(f"{path}/datasets/{name}")
+    seen = _last(spark, path)
+    old = read_store(spark, path, [name])
     attributes = attributes or {"dtype": dict(old.dtypes)[name], **old.schema[name].metadata}
     new = scaled(values.select("gid", "ts", name), {name: attributes})
     if not differs(old, new, name):
         return False
     check_shape(values, spark.read.parquet(f"{path}/meta"), spark.read.parquet(f"{path}/time_index"))
-    folder = spark._jvm.org.apache.hadoop.fs.Path
-    place, fresh = folder(f"{path}/datasets/{name}"), folder(f"{path}/datasets/_{name}")
-    new.repartitionByRange("gid").sortWithinPartitions("gid", "ts").write.mode("overwrite").parquet(fresh.toString())
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(place, True)
-    if not fs.rename(fresh, place):
-        raise OSError(f"{fresh.toString()} holds {name} and could not be renamed")
+    _put(path, new, name, seen)
     return True
 
 
-def read_store(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    """Datasets of a store side by side, as stored; several are joined by site and time."""
-    parts = [spark.read.parquet(f"{path}/datasets/{n}") for n in names]
-    return reduce(lambda a, b: a.join(b, ["gid", "ts"]), parts)
+def read_store(spark: SparkSession, path: str, names: Sequence[str], commit: int | None = None) -> DataFrame:
+    """Datasets of a store side by side, as stored, in the state of the last commit or an earlier one; several are joined by site and time."""
+    known = manifest(spark, path, commit)
+    absent = [n for n in names if n not in known]
+    if absent:
+        raise ResourceRuntimeError(f"{path} has no {absent}")
+    parts = [spark.read.parquet(f"{path}/datasets/{n}/{known[n]['version']}") for n in names if known[n]["version"]]
+    if not parts:
+        parts = [spark.read.parquet(f"{path}/meta").select(F.col("gid").cast("long")).crossJoin(spark.read.parquet(f"{path}/time_index"))]
+    out = reduce(lambda a, b: a.join(b, ["gid", "ts"]), parts)
+    return out.withColumns({n: F.lit(None).cast(known[n]["type"]).alias(n, metadata=known[n]["attributes"]) for n in names if not known[n]["version"]}).select("gid", "ts", *names)
+
+
+def vacuum(spark: SparkSession, path: str) -> list[str]:
+    """Deletes versions that the last commit does not name, and earlier commits; for when no reader uses them."""
+    fs, top = _folder(spark, f"{path}/datasets")
+    known, last, gone = manifest(spark, path), _last(spark, path), []
+    for folder in fs.listStatus(top) if fs.exists(top) else []:
+        name = folder.getPath().getName()
+        for version in fs.listStatus(folder.getPath()):
+            if version.getPath().getName() != known.get(name, {}).get("version"):
+                fs.delete(version.getPath(), True)
+                gone.append(f"{name}/{version.getPath().getName()}")
+    for n in _commits(spark, path):
+        if n < last:
+            fs.delete(_folder(spark, f"{path}/commits/{n:08d}.json")[1], False)
+    return sorted(gone)
 
 
 def write_means(means: DataFrame, path: str, sites: int, mode: str = "errorifexists") -> None:
@@ -140,12 +230,27 @@ def subset(facts: DataFrame, sites: DataFrame, datasets: Sequence[str] | None =
 
 
 def write_statistics(stats: DataFrame, path: str, name: str = "stats") -> str:
-    """csv or json by the suffix; a folder gets ``<name>.csv`` (without *)."""
+    """One csv or json file by the suffix; into a folder goes ``<name>.csv`` (without *).
+
+    Rows are sorted by range in many tasks; the driver passes them on to the file one
+    partition at a time.
+    """
     if not path.endswith((".csv", ".json")):
         path = f"{path.rstrip('/')}/{name.replace('*', '')}.csv"
     flat = stats.select(*[F.to_json(c).alias(c) if k.startswith(("array", "struct", "map")) else F.col(c) for c, k in stats.dtypes])
-    out = flat.orderBy(flat.columns[0]).coalesce(1).write.mode("overwrite")  # a report: one row a site or group
-    (out.option("header", True).csv if path.endswith(".csv") else out.json)(path)
+    if path.endswith(".csv"):
+        quoted = [F.when(F.col(c).rlike('[",\n]'), F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in flat.columns]
+        lines, head = flat.orderBy(flat.columns[0]).select(F.concat_ws(",", *quoted).alias("line")), ",".join(flat.columns) + "\n"
+    else:
+        lines, head = flat.orderBy(flat.columns[0]).select(F.to_json(F.struct(*flat.columns)).alias("line")), ""
+    fs, place = _folder(stats.sparkSession, path)
+    out = fs.create(place, True)
+    try:
+        out.write(bytearray(head.encode()))
+        for some in itertools.batched(lines.toLocalIterator(), 10_000):
+            out.write(bytearray("".join(row.line + "\n" for row in some).encode()))
+    finally:
+        out.close()
     return path
 
 

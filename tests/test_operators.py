@@ -201,6 +201,22 @@ def test_interpolation_is_by_position(spark):
     assert [r.x for r in ordered.interpolate_in_time(df, "x").orderBy("ts").collect()] == [1.0, 1.0, 2.0, 3.0, 4.0, 4.0]
 
 
+def test_upsampling_by_elapsed_time(spark):
+    at = lambda h, m: dt.datetime(2020, 6, 1, h, m)
+    rows = [(0, at(1, 0), 0.0, 3), (0, at(2, 0), 4.0, 4), (0, at(2, 30), None, 5), (0, at(3, 0), 8.0, None), (1, at(5, 10), 7.0, 1), (2, None, 1.0, 1)]
+    out = ordered.upsampled(spark.createDataFrame(rows, "gid long, ts timestamp_ntz, x double, kind int"), "30 minutes", ["x"], ["kind"])
+    got = [(r.gid, r.ts.hour, r.ts.minute, r.x, r.kind) for r in out.orderBy("gid", "ts").collect()]
+    assert got == [(0, 1, 0, 0.0, 3), (0, 1, 30, 2.0, 3), (0, 2, 0, 4.0, 4), (0, 2, 30, 6.0, 5), (0, 3, 0, 8.0, 5), (1, 5, 0, 7.0, 1)]
+
+
+def test_downscaling_adds_the_sun(spark, meta):
+    at = lambda h: dt.datetime(2020, 6, 1, h)
+    rows = spark.createDataFrame([(0, at(18), 1.0, 5.0, 7), (0, at(19), 3.0, -9.0, 7), (0, at(20), 5.0, 9.0, 0)], "gid long, ts timestamp_ntz, x double, depth double, cloud_type int")
+    out = ordered.downscaled(rows, meta, "15 minutes", ["x"], ["depth"]).orderBy("ts").collect()
+    assert len(out) == 9 and [r.x for r in out] == [1 + i / 4 * 2 for i in range(9)] and out[4].depth == 2.5 and out[5].cloud_type == 7
+    assert all(0 < r.solar_zenith_angle < 45 for r in out)
+
+
 def test_cloud_property(spark):
     df = spark.createDataFrame([(0, 0, 5.0, 7), (0, 1, -9.0, 7), (0, 2, 7.0, 7), (0, 3, 3.0, 0)], "gid long, ts long, x double, cloud_type int")
     assert [r.x for r in ordered.fill_cloud_property(df, "x").orderBy("ts").collect()] == [5.0, 6.0, 7.0, 0.0]

@@ -160,3 +160,51 @@ def test_store_is_created_filled_and_updated(spark, tmp_path, facts, meta):
     sink.write_dataset(path, values.withColumn("u", F.col("v") * 2), "u")
     both = sink.read_store(spark, path, ["v", "u"])
     assert both.count() == facts.count() and both.columns == ["gid", "ts", "v", "u"]
+
+
+def test_readers_see_the_state_before_or_after(spark, tmp_path, facts, meta, monkeypatch):
+    """Between the writing of a version and its commit the old state is whole; two writers do not lose one's work."""
+    path = f"file://{tmp_path}/store"
+    sink.create_store(path, meta, facts.select("ts"))
+    values = facts.select("gid", "ts", F.col("windspeed_80m").alias("v"))
+    sink.declare_dataset(path, spark, "later", "smallint", {"scale_factor": 10})
+    assert sink.read_store(spark, path, ["later"]).where("later IS NULL").count() == 4 * 48
+    first = sink.write_dataset(path, values, "v")
+    seen = []
+    commit = sink._commit
+
+    def watched(session, where, changes, last):
+        seen.append(sink.read_store(session, where, ["v"]).agg(F.max("v")).first()[0])
+        out = commit(session, where, changes, last)
+        seen.append(sink.read_store(session, where, ["v"]).agg(F.max("v")).first()[0])
+        return out
+
+    monkeypatch.setattr(sink, "_commit", watched)
+    before = sink.read_store(spark, path, ["v"])
+    assert sink.update_dataset(path, values.withColumn("v", F.col("v") + 100), "v")
+    assert seen == [53.0, 153.0] and before.agg(F.max("v")).first()[0] == 53.0
+    assert sink.read_store(spark, path, ["v"], commit=first).agg(F.max("v")).first()[0] == 53.0
+    monkeypatch.setattr(sink, "_commit", commit)
+    with pytest.raises(ResourceRuntimeError):
+        sink._commit(spark, path, {}, first)
+    sink.write_dataset(path, values.withColumnRenamed("v", "later"), "later")
+    both = sink.read_store(spark, path, ["later", "v"])
+    assert dict(both.dtypes)["later"] == "smallint" and both.schema["later"].metadata == {"scale_factor": 10} and both.agg(F.max("later"), F.max("v")).first() == (530, 153.0)
+    assert len(sink.vacuum(spark, path)) == 1 and sink.read_store(spark, path, ["v"]).count() == 4 * 48
+    with pytest.raises(FileNotFoundError):
+        sink.read_store(spark, path, ["v"], commit=first)
+    with pytest.raises(ResourceRuntimeError):
+        sink.read_store(spark, path, ["nope"])
+
+
+def test_statistics_are_one_file(spark, tmp_path):
+    import csv
+    import json
+
+    table = spark.createDataFrame([(i, f'a "{i}", b', [float(i)]) for i in range(50, 0, -1)], "gid long, name string, fit array<double>").repartition(7)
+    path = sink.write_statistics(table, str(tmp_path / "out"), "wind*stats")
+    assert path.endswith("windstats.csv") and os.path.isfile(path)
+    rows = list(csv.reader(open(path)))
+    assert rows[0] == ["gid", "name", "fit"] and rows[1:] == [[str(i), f'a "{i}", b', f"[{i}.0]"] for i in range(1, 51)]
+    path = sink.write_statistics(table, str(tmp_path / "x.json"))
+    assert [json.loads(line)["gid"] for line in open(path)] == list(range(1, 51))
