@@ -148,13 +148,9 @@ def mapped_wind(x: Column, observed: Column, modelled: Column, future: Column |
     return F.when(x == 0, 0.0).otherwise(F.greatest(F.lit(0.0), out))
 
 
-def mapped_irradiance(ghi: Column, dni: Column, dhi: Column, ghi_knots: tuple[Column, Column, Column], dni_knots: tuple[Column, Column, Column], **options) -> dict[str, Column]:
-    """ghi and dni each by its own mapping (zeros as 1), dhi from the closure."""
-    from .irradiance import corrected
-
-    g = delta_mapping(F.when(ghi == 0, 1.0).otherwise(ghi), *ghi_knots, **options)
-    d = delta_mapping(F.when(dni == 0, 1.0).otherwise(dni), *dni_knots, **options)
-    return corrected(ghi, dni, dhi, g, d)
+def mapped_irradiance(ghi: Column, dni: Column, ghi_knots: tuple[Column, Column, Column], dni_knots: tuple[Column, Column, Column], **options) -> tuple[Column, Column]:
+    """ghi and dni each by its own mapping; zeros are mapped as 1.  Store both before ``irradiance.corrected`` makes dhi of them."""
+    return tuple(delta_mapping(F.when(x == 0, 1.0).otherwise(x), *k, **options) for x, k in ((ghi, ghi_knots), (dni, dni_knots)))
 
 
 def random_from(values: Column, seed: int, sampling: str = "linear", base: float = 10) -> Column:

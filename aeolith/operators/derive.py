@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aeolith.errors import ResourceWarning
 from aeolith.functions import heights, irradiance, quantiles, units
 from aeolith.functions.scaling import clean
 from aeolith.sources.catalog import Catalog, ResourceSpec, parse_name
@@ -131,9 +133,12 @@ def mapped_irradiance_bias(facts: DataFrame, table: DataFrame, **options) -> Dat
     names = [f"{v}_params_{p}" for v in ("ghi", "dni") for p in ("oh", "mh", "mf")]
     joined = with_factors(facts, parsed(table, names), names)
     k = [F.col(f"__{n}") for n in names]
-    new = quantiles.mapped_irradiance(F.col("ghi"), F.col("dni"), F.col("dhi"), tuple(k[:3]), tuple(k[3:]), **options)
+    # one column for each mapping: inside a larger expression Spark gives its lambda variables wrong values
+    both = quantiles.mapped_irradiance(F.col("ghi"), F.col("dni"), tuple(k[:3]), tuple(k[3:]), **options)
+    joined = joined.withColumns({"__g": both[0], "__d": both[1]})
+    new = irradiance.corrected(F.col("ghi"), F.col("dni"), F.col("dhi"), F.col("__g"), F.col("__d"))
     kept = {c: F.when(F.col(f"__{names[0]}").isNull(), F.col(c)).otherwise(x) for c, x in new.items()}
-    return joined.withColumns(kept).drop(*[f"__{n}" for n in names])
+    return joined.withColumns(kept).drop("__g", "__d", *[f"__{n}" for n in names])
 
 
 def parsed(table: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -146,6 +151,24 @@ def parsed(table: DataFrame, columns: Sequence[str]) -> DataFrame:
 CORRECTIONS = {"linear_wind": linear_wind_bias, "linear_irradiance": linear_irradiance_bias, "mapped_wind": mapped_wind_bias, "mapped_irradiance": mapped_irradiance_bias}
 
 
+def bias_corrected(facts: DataFrame, table: DataFrame, method: str | Callable[..., DataFrame], means: Sequence[str] = (), check: bool = False, **options) -> tuple[DataFrame, DataFrame | None]:
+    """(facts corrected by a table of sites, the sites' means of some datasets after that).
+
+    ``method`` is a name of ``CORRECTIONS`` or a function of facts, table and options.
+    Sites that the table lacks keep their values; with ``check`` they are counted, and a
+    warning tells how many there are.
+    """
+    if isinstance(method, str) and method not in CORRECTIONS:
+        raise KeyError(f"unknown correction: {method}")
+    if check:
+        lone = facts.select("gid").distinct().join(table.select("gid"), "gid", "left_anti").count()
+        if lone:
+            warnings.warn(f"{lone} sites have no bias factors and stay as they are", ResourceWarning, stacklevel=2)
+    out = (CORRECTIONS[method] if isinstance(method, str) else method)(facts, table, **options)
+    after = out.groupBy("gid").agg(*[F.avg(clean(F.col(m).cast("double"))).alias(f"{m}_mean") for m in means]) if means else None
+    return out, after
+
+
 def curtail(facts: DataFrame, shares: DataFrame, dataset: str) -> DataFrame:
     """Wind speed times a share by time, or by time and site."""
     keys = ["gid", "ts"] if "gid" in shares.columns else ["ts"]

@@ -210,6 +210,19 @@ def lookup(points: DataFrame, sites: DataFrame, check: bool = True, point: str =
     return found
 
 
+def series_at(facts: DataFrame, meta: DataFrame, dataset: str, latitude: float, longitude: float, check: bool = True) -> DataFrame:
+    """(ts, dataset) of the site nearest to a place."""
+    place = facts.sparkSession.createDataFrame([(0, float(latitude), float(longitude))], "point long, latitude double, longitude double")
+    near = F.broadcast(lookup(place, meta, check).select("gid"))  # one row
+    return facts.join(near, "gid", "left_semi").select("ts", dataset)
+
+
+def table_at(facts: DataFrame, meta: DataFrame, dataset: str, places: DataFrame, check: bool = True, point: str = "point") -> DataFrame:
+    """(point, gid, ts, dataset) of the sites nearest to places; those of one site each have its rows."""
+    near = lookup(places, meta, check, point).select("point", "gid")
+    return facts.join(near, "gid").select(F.col("point").alias(point), "gid", "ts", dataset)
+
+
 def regrid_weights(sites: DataFrame, targets: DataFrame, k: int = 4, min_distance: float = 1e-12, target: str = "target") -> DataFrame:
     """(target, gid, weight): inverse distances of the k nearest sites, summing to 1.
 

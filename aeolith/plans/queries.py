@@ -353,10 +353,13 @@ def power_law_shear(spark, d):
     return derive.with_dataset(facts(spark, d), "windspeed_120m", WIND).select("gid", "ts", _r("windspeed_120m", 5).alias("windspeed_120m"))
 
 
-@query("""SELECT gid, ts, round(windspeed_80m * power(120.0 / 80.0, greatest(0.06, least(0.6, ln(greatest(windspeed_100m, CASE WHEN windspeed_100m = 0 THEN 0.001 ELSE windspeed_100m END) / CASE WHEN windspeed_80m = 0 THEN 0.001 ELSE windspeed_80m END) / ln(100.0 / 80.0)))), 5) AS windspeed_120m
-FROM facts WHERE windspeed_80m > 0""")
+@query(""", z AS (SELECT gid, ts, CASE WHEN event_id % 11 = 0 THEN 0.0 ELSE windspeed_80m END AS a, CASE WHEN event_id % 13 = 0 THEN 0.0 ELSE windspeed_100m END AS b FROM facts)
+SELECT gid, ts, round(CASE WHEN a = 0 THEN 0.001 ELSE a END * power(120.0 / 80.0, greatest(0.06, least(0.6, ln((CASE WHEN b = 0 THEN 0.001 ELSE b END) / CASE WHEN a = 0 THEN 0.001 ELSE a END) / ln(100.0 / 80.0)))), 5) AS windspeed_120m FROM z""")
 def power_law_clipped(spark, d):
-    return derive.with_dataset(facts(spark, d).where("windspeed_80m > 0"), "windspeed_120m", WIND, per="row").select("gid", "ts", _r("windspeed_120m", 5).alias("windspeed_120m"))
+    """Exponents by row within bounds; zeros at either height count as 0.001."""
+    e = F.col("event_id")
+    rows = facts(spark, d).withColumns({"windspeed_80m": F.when(e % 11 == 0, 0.0).otherwise(F.col("windspeed_80m")), "windspeed_100m": F.when(e % 13 == 0, 0.0).otherwise(F.col("windspeed_100m"))})
+    return derive.with_dataset(rows, "windspeed_120m", WIND, per="row").select("gid", "ts", _r("windspeed_120m", 5).alias("windspeed_120m"))
 
 
 _TURN = "((2 * (((winddirection_100m - winddirection_80m) % 360 + 360) % 360)) % 360 - (((winddirection_100m - winddirection_80m) % 360 + 360) % 360))"
@@ -486,6 +489,41 @@ query(_QDM.format(grid=quantiles.grid(_KNOTS), out="o * x / m"), "qdm_relative")
 query(_QDM.format(grid=quantiles.grid(_KNOTS), out="o + x - m"), "qdm_absolute")(_qdm(False))
 
 
+_QDM_TAIL = _QDM[_QDM.index("q AS ") : _QDM.index("SELECT gid, ts, round({out}")].rstrip()
+
+
+@query(f""", i AS ({_IRR}), l AS (SELECT gid, ts, 'g' AS v, ghi AS raw FROM i UNION ALL SELECT gid, ts, 'd' AS v, dni AS raw FROM i),
+k AS (SELECT gid, v, quantile_cont(raw, {quantiles.grid(_KNOTS)}) AS mf FROM l GROUP BY gid, v), kk AS (SELECT gid, v, mf, list_transform(mf, lambda x: x * 0.9 + 1.0) AS mh, list_transform(mf, lambda x: x * 1.1) AS oh FROM k),
+p AS (SELECT gid, ts, v, x, mf, mh, oh, len(list_filter(mf, lambda z: z <= x)) AS a FROM (SELECT *, CASE WHEN raw = 0 THEN 1.0 ELSE raw END AS x FROM l) JOIN kk USING (gid, v)),
+{_QDM_TAIL}, n AS (SELECT gid, ts, max(CASE WHEN v = 'g' THEN o * x / m END) AS ng, max(CASE WHEN v = 'd' THEN o * x / m END) AS nd FROM t GROUP BY gid, ts),
+c AS (SELECT i.*, CASE WHEN ghi = 0 THEN 0 ELSE greatest(0, ng) END AS g, CASE WHEN dni = 0 THEN 0 ELSE greatest(0, nd) END AS b FROM i JOIN n USING (gid, ts)),
+h AS (SELECT gid, ts, g, b, CASE WHEN dhi = 0 THEN 0 WHEN dni = 0 THEN g ELSE greatest(0, g - b * (ghi - dhi) / dni) END AS h FROM c)
+SELECT gid, ts, round(g, 3) AS ghi, round(b, 3) AS dni, round(h, 3) AS dhi, round(avg(g) OVER (PARTITION BY gid), 4) AS ghi_mean FROM h""")
+def qdm_irradiance(spark, d):
+    """ghi and dni by mappings of their own, dhi from the closure, means after that."""
+    rows = _irradiance(spark, d)
+    table = None
+    for v in ("ghi", "dni"):
+        k = stats.cdf(rows, v, _KNOTS).select("gid", F.col("cdf").alias(f"{v}_params_mf"), F.transform("cdf", lambda x: x * 0.9 + 1.0).alias(f"{v}_params_mh"), F.transform("cdf", lambda x: x * 1.1).alias(f"{v}_params_oh"))
+        table = k if table is None else table.join(k, "gid")
+    out, means = derive.bias_corrected(rows, table, "mapped_irradiance", means=["ghi"])
+    return out.join(means, "gid").select("gid", "ts", *[_r(c, 3).alias(c) for c in ("ghi", "dni", "dhi")], _r("ghi_mean", 4).alias("ghi_mean"))
+
+
+@query("SELECT gid, ts, l_quantity, l_tax FROM daily WHERE gid BETWEEN 20 AND 24 AND ts >= TIMESTAMP '1997-03-01' AND ts < TIMESTAMP '1997-06-01'")
+def clustered_site_period(spark, d):
+    """Few sites and a season from files along a curve over both."""
+    path = shared_path(spark, "clustered")
+    rows = layout.clustered(daily(spark, d), path, 8, megabytes=0.25)
+    return rows.where(F.col("gid").between(20, 24) & layout.during("1997-03-01", "1997-06-01")).select("gid", "ts", "l_quantity", "l_tax")
+
+
+@query(", n AS (SELECT point, gid FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY planar, gid) AS k FROM near WHERE point <= 50) WHERE k = 1) SELECT point, gid, ts, value FROM n JOIN facts USING (gid)")
+def table_at_places(spark, d):
+    """Series of the sites nearest to fifty places."""
+    return spatial.table_at(facts(spark, d), meta(spark, d), "value", points(spark, d).where("point <= 50"), check=False).select("point", "gid", "ts", "value")
+
+
 @query(""", s AS (SELECT median(value + 250) AS mt, median(value * 1000) AS mp FROM facts)
 SELECT gid, ts, round(greatest(-200, least(100, value + 250 - CASE WHEN mt > 200 THEN 273.15 ELSE 0 END)), 5) AS temperature_80m, round(greatest(0.5, least(1.099, value * 1000 * CASE WHEN mp > 1000 THEN 9.86923e-6 ELSE 1 END)), 6) AS pressure_80m FROM facts, s""")
 def unit_normalise(spark, d):

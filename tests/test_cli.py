@@ -1,5 +1,6 @@
 import csv
 import glob
+import os
 
 import pytest
 
@@ -15,7 +16,8 @@ def resource(facts, meta, tmp_path_factory):
 
 
 def rows(path):
-    return [r for f in sorted(glob.glob(f"{path}/*.csv")) for r in csv.DictReader(open(f))]
+    """Of a file (statistics) or of the files of a folder."""
+    return [r for f in ([path] if os.path.isfile(path) else sorted(glob.glob(f"{path}/*.csv"))) for r in csv.DictReader(open(f))]
 
 
 def test_stats_and_means(spark, resource, tmp_path):

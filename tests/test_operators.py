@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from aeolith.errors import ResourceValueError
+from aeolith.errors import ResourceValueError, ResourceWarning
 from aeolith.operators import derive, fits, jointpd, ordered, select, selection, spatial, stats
 from aeolith.plans import site_model
 from aeolith.sources.catalog import WIND, Catalog
@@ -280,6 +280,24 @@ def test_ranges_have_bounded_populations(spark, monkeypatch):
     assert len(sizes) >= 3200 and max(sizes) <= 100
 
 
+def test_series_at_places(spark, facts, meta):
+    rows = spatial.series_at(facts, meta, "windspeed_80m", 41.1, -104.2).collect()
+    assert len(rows) == 48 and all(r.windspeed_80m == 10 + r.ts.hour for r in rows)
+    places = spark.createDataFrame([("a", 40.2, -105.0), ("b", 40.1, -104.9), ("c", 43.0, -102.0)], "name string, latitude double, longitude double")
+    out = spatial.table_at(facts, meta, "windspeed_80m", places, point="name")
+    assert {(r["name"], r.gid) for r in out.collect()} == {("a", 0), ("b", 0), ("c", 3)} and out.count() == 3 * 48
+
+
+def test_bias_correction_warns_and_gives_means(spark, facts):
+    table = spark.createDataFrame([(0, 2.0, 0.0), (1, 1.0, -100.0)], "gid long, scalar double, adder double")
+    with pytest.warns(ResourceWarning, match="2 sites"):
+        out, means = derive.bias_corrected(facts, table, "linear_wind", means=["windspeed_80m"], check=True, dataset="windspeed_80m")
+    assert {r.gid: r.windspeed_80m_mean for r in means.collect()} == {0: 23.0, 1: 0.0, 2: 31.5, 3: 41.5} and out.count() == 192
+    assert derive.bias_corrected(facts, table, lambda f, t: f.limit(1))[0].count() == 1
+    with pytest.raises(KeyError):
+        derive.bias_corrected(facts, table, "nope")
+
+
 def test_lookup_errors(spark, meta):
     point = spark.createDataFrame([(0, 40.1, -104.9)], "point long, latitude double, longitude double")
     assert spatial.lookup(point, meta).first().gid == 0

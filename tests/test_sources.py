@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import os
 
@@ -208,3 +209,13 @@ def test_statistics_are_one_file(spark, tmp_path):
     assert rows[0] == ["gid", "name", "fit"] and rows[1:] == [[str(i), f'a "{i}", b', f"[{i}.0]"] for i in range(1, 51)]
     path = sink.write_statistics(table, str(tmp_path / "x.json"))
     assert [json.loads(line)["gid"] for line in open(path)] == list(range(1, 51))
+
+
+def test_clustered_files_skip_row_groups(spark, tmp_path):
+    """A filter on site and period reads few of the rows, in either order of importance."""
+    rows = spark.range(200_000).selectExpr("id % 400 AS gid", "TIMESTAMP_NTZ '2012-01-01' + make_interval(0, 0, 0, 0, CAST(id DIV 400 AS int)) AS ts", "rand(1) AS v", "uuid() AS u")
+    out = layout.clustered(rows, f"file://{tmp_path}/clustered", 40, megabytes=0.25)
+    part = out.where(F.col("gid").between(100, 110) & layout.during("2012-01-05", "2012-01-07"))
+    assert part.count() == 11 * 48 and part.agg(F.min("ts"), F.max("ts")).first() == (dt.datetime(2012, 1, 5), dt.datetime(2012, 1, 6, 23))
+    assert layout.rows_scanned(part) < 25_000 and layout.rows_scanned(out.where("gid = 3")) < 60_000 and layout.rows_scanned(out) == 200_000
+    assert layout.clustered(rows.limit(0), f"file://{tmp_path}/none", 2).count() == 0
