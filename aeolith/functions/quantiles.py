@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,35 +33,72 @@ def bound(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+#: Halving steps, the largest first: lists of up to 65,535 knots.
+_STEPS = [1 << i for i in reversed(range(16))]
+
+
+def knots_below(x: Column, xs: Column) -> Column:
+    """How many of the sorted knots are at most x, by halving: as many steps as their number has binary digits."""
+    digits = F.length(F.bin(F.size(xs)))
+    steps = F.slice(F.array(*[F.lit(s) for s in _STEPS]), -digits, digits)
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(xs, at + s - 1) <= x, at + s).otherwise(at))
+
+
 def interpolate(x: Column, xs: Column, ys: Column) -> Column:
     """ys over the sorted knots xs at x: the ends hold outside, the last of equal knots counts."""
-    last = F.size(xs)
+    return _between(x, xs, F.size(xs), lambda i: F.get(ys, i))
+
 
-    def between(x: Column, at: Column) -> Column:
-        x0, x1, y0, y1 = F.get(xs, at - 1), F.get(xs, at), F.get(ys, at - 1), F.get(ys, at)
-        line = y0 + (x - x0) * (y1 - y0) / (x1 - x0)
-        return F.when(x.isNull() | xs.isNull(), None).when(at <= 0, F.get(ys, F.lit(0))).when(at >= last, F.get(ys, last - 1)).otherwise(line)
+def _between(x: Column, xs: Column, n: Column, y: Callable[[Column], Column]) -> Column:
+    def line(x: Column, at: Column) -> Column:
+        x0, x1, y0, y1 = F.get(xs, at - 1), F.get(xs, at), y(at - 1), y(at)
+        inside = y0 + (x - x0) * (y1 - y0) / (x1 - x0)
+        return F.when(x.isNull() | xs.isNull(), None).when(at <= 0, y(F.lit(0))).when(at >= n, y(n - 1)).otherwise(inside)
 
-    return bound(x, lambda x: bound(F.size(F.filter(xs, lambda k: k <= x)), lambda at: between(x, at)))
+    return bound(x, lambda x: bound(knots_below(x, xs), lambda at: line(x, at)))
 
 
 def quantile_of(x: Column, values: Column, sampling: str = "linear", base: float = 10) -> Column:
     """The empirical distribution function given by the values at the quantile grid."""
-    return interpolate(x, values, _grid_like(values, sampling, base))
+    n = F.size(values)
+    return _between(x, values, n, lambda i: _grid_at(i, n, sampling, base))
 
 
 def value_at(q: Column, values: Column, sampling: str = "linear", base: float = 10) -> Column:
-    """Its inverse."""
-    return interpolate(q, _grid_like(values, sampling, base), values)
+    """Its inverse.  The place of a quantile in the grid follows from its formula, so nothing is searched."""
+    n = F.size(values)
 
+    def line(q: Column, at: Column) -> Column:
+        g0, g1 = _grid_at(at, n, sampling, base), _grid_at(at + 1, n, sampling, base)
+        y0, y1 = F.get(values, at), F.get(values, at + 1)
+        return F.when(q.isNull() | values.isNull(), None).when(q >= 1, F.get(values, n - 1)).when((q <= 0) | (n < 2), F.get(values, F.lit(0))).otherwise(y0 + (q - g0) * (y1 - y0) / (g1 - g0))
 
-def _grid_like(values: Column, sampling: str, base: float) -> Column:
-    n = F.size(values)
-    even = F.transform(F.sequence(F.lit(0), n - 1), lambda i: i / (n - 1))
-    if sampling == "linear":
+    # rounding may give the part beside the right one, whose line meets it where both end
+    part = lambda q: F.greatest(F.lit(0), F.least(n - 2, F.floor(_share_of(q, sampling, base) * (n - 1)).cast("int")))
+    return bound(q, lambda q: bound(part(q), lambda at: line(q, at)))
+
+
+def _dense(x: Column, base: float) -> Column:
+    return (F.pow(F.lit(float(base)), x) - 1) / (base - 1)
+
+
+def _grid_at(i: Column, n: Column, sampling: str, base: float) -> Column:
+    """The i-th of ``grid(n)``, counted from 0."""
+    kind, even = sampling.casefold(), i / (n - 1)
+    if kind == "linear":
         return even
-    dense = F.transform(even, lambda x: (F.pow(F.lit(float(base)), x) - 1) / (base - 1))
-    return dense if sampling == "log" else F.array_sort(F.transform(dense, lambda x: 1 - x))
+    if kind not in ("log", "invlog"):
+        raise KeyError(f"unknown sampling: {sampling}")
+    return _dense(even, base) if kind == "log" else 1 - _dense(1 - even, base)
+
+
+def _share_of(q: Column, sampling: str, base: float) -> Column:
+    """How far along the grid a quantile lies, from 0 to 1."""
+    kind = sampling.casefold()
+    if kind == "linear":
+        return q
+    inverse = lambda x: F.log(1 + x * (base - 1)) / F.lit(math.log(base))
+    return inverse(q) if kind == "log" else 1 - inverse(1 - q)
 
 
 #: Numbers of shape parameters of the distributions in closed form.
