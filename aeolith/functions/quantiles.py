@@ -84,7 +84,7 @@ def _dense(x: Column, base: float) -> Column:
 
 def _grid_at(i: Column, n: Column, sampling: str, base: float) -> Column:
     """The i-th of ``grid(n)``, counted from 0."""
-    kind, even = sampling.casefold(), i / (n - 1)
+    kind, even = sampling.casefold(), i / F.greatest(n - 1, F.lit(1))
     if kind == "linear":
         return even
     if kind not in ("log", "invlog"):

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeolith.errors import ResourceWarning
+from aeolith.errors import ExtrapolationWarning, ResourceWarning
 from aeolith.functions import heights, irradiance, quantiles, units
 from aeolith.functions.scaling import clean
 from aeolith.sources.catalog import Catalog, ResourceSpec, parse_name
@@ -16,14 +16,28 @@ from aeolith.sources.catalog import Catalog, ResourceSpec, parse_name
 from . import selection
 
 
-def with_dataset(facts: DataFrame, name: str, spec: ResourceSpec, per: str = "selection") -> DataFrame:
+def with_roughness(facts: DataFrame, meta: DataFrame | None) -> DataFrame:
+    """facts with roughness_length: a dataset of their own, or else z0 of their sites."""
+    if "roughness_length" in facts.columns or meta is None or "z0" not in meta.columns:
+        return facts
+    return facts.join(meta.select("gid", F.col("z0").cast("double").alias("roughness_length")), "gid", "left")
+
+
+def with_dataset(facts: DataFrame, name: str, spec: ResourceSpec, per: str = "selection", meta: DataFrame | None = None, check: bool = False) -> DataFrame:
     """facts with a stored or derived dataset of that name.
 
     The exponent of the power law comes from the means of the whole selection, of
-    each site or of each row; a selection's is one row, joined by broadcast.
+    each site or of each row; a selection's is one row, joined by broadcast.  The
+    surface layer takes roughness from the facts, or else from z0 in ``meta``.  With
+    ``check`` exponents of a selection or of sites are computed at once, and a warning
+    tells how many lie outside the bounds that hold for rows.
     """
     if name in facts.columns:
         return facts
+    if meta is not None and name.startswith("windspeed_") and "inversemoninobukhovlength_2m" in facts.columns:
+        rough = with_roughness(facts, meta)
+        if rough is not facts:
+            return with_dataset(rough, name, spec, per, None, check).drop("roughness_length")
     catalog = Catalog.of(facts, spec)
     variable, height = parse_name(name, spec.unit)
     known = catalog.heights().get(variable, {})
@@ -35,6 +49,10 @@ def with_dataset(facts: DataFrame, name: str, spec: ResourceSpec, per: str = "se
             keys = ["gid"] if per == "site" else []
             means = facts.groupBy(*keys).agg(F.avg(clean(a.cast("double"))).alias("__low"), F.avg(clean(b.cast("double"))).alias("__high"))
             exponents = means.select(*keys, heights.shear_exponent(F.col("__low"), low, F.col("__high"), high).alias("__alpha"))
+            if check:
+                strange = exponents.where(~F.col("__alpha").between(*heights.SHEAR_BOUNDS)).count()
+                if strange:
+                    warnings.warn(f"{strange} shear exponents of {name} are outside {heights.SHEAR_BOUNDS}", ExtrapolationWarning, stacklevel=2)
             joined = facts.join(exponents, "gid") if keys else facts.join(F.broadcast(exponents))
             return joined.withColumn(name, catalog.column(name, per, F.col("__alpha"))).drop("__alpha")
     return facts.withColumn(name, catalog.column(name, per))
@@ -44,8 +62,21 @@ def at_site_heights(facts: DataFrame, variable: str, heights_by_site: DataFrame,
     """The variable at a height of each site's own, from (gid, height), by one expression over the stored heights.
 
     Heights count as in ``Catalog.column`` with ``per="row"``; a null height gives null.
+    Sites without a height go.
     """
-    catalog, height = Catalog.of(facts, spec), F.col("__height")
+    return all_at_site_heights(facts, {alias: variable}, heights_by_site, spec)
+
+
+def all_at_site_heights(facts: DataFrame, variables: dict[str, str], heights_by_site: DataFrame, spec: ResourceSpec) -> DataFrame:
+    """at_site_heights() of several variables, by their new names, with one join."""
+    height = F.col("__height")
+    new = {alias: F.when(height.isNotNull(), _at_height(facts, variable, height, spec)) for alias, variable in variables.items()}
+    out = facts.join(heights_by_site.select("gid", F.col("height").cast("double").alias("__height")), "gid")
+    return out.withColumns(new).drop("__height")
+
+
+def _at_height(facts: DataFrame, variable: str, height: Column, spec: ResourceSpec) -> Column:
+    catalog = Catalog.of(facts, spec)
     known = catalog.heights().get(variable, {})
     levels = sorted(known)
     if len(levels) < 2:
@@ -62,8 +93,7 @@ def at_site_heights(facts: DataFrame, variable: str, heights_by_site: DataFrame,
             value = between if last else F.when(F.abs(height - levels[i]) <= F.abs(height - levels[i + 2]), between).otherwise(value)
         for level in levels:
             value = F.when(height == level, F.col(f"`{known[level]}`")).otherwise(value)
-    out = facts.join(heights_by_site.select("gid", F.col("height").cast("double").alias("__height")), "gid")
-    return out.withColumn(alias, F.when(height.isNotNull(), value)).drop("__height")
+    return value
 
 
 def _between(variable: str, low: float, high: float, known: dict[float, str], height: Column, levels: list[float], columns: Sequence[str]) -> Column:
@@ -80,14 +110,15 @@ def _between(variable: str, low: float, high: float, known: dict[float, str], he
     return F.when((height < levels[0]) | (height > levels[-1]), beyond).otherwise(inside)
 
 
-def in_model_units(facts: DataFrame, variables: Sequence[str], technology: str) -> DataFrame:
+def in_model_units(facts: DataFrame, variables: Sequence[str], technology: str, check: bool = False) -> DataFrame:
     """Units by the median and least value of the selection, then valid ranges.
 
     Whether the median exceeds a limit follows from counts and the values next to the
-    limit: one aggregated row, joined by broadcast.
+    limit: one aggregated row, joined by broadcast.  With ``check`` values outside their
+    ranges are counted at once, and a warning tells of each variable that has some.
     """
     marks: dict[str, Column] = {}
-    values = {}
+    values, strange = {}, []
     for i, v in enumerate(variables):
 
         def above(limit: float, v: str = v, i: int = i) -> Column:
@@ -97,8 +128,17 @@ def in_model_units(facts: DataFrame, variables: Sequence[str], technology: str)
 
         marks[f"__least_{i}"] = F.min(v).alias(f"__least_{i}")
         base = parse_name(v)[0]
-        values[v] = units.clamped(units.normalised(F.col(v), base, technology, above, F.col(f"__least_{i}")), base, technology)
-    return facts.join(F.broadcast(facts.agg(*marks.values()))).withColumns(values).drop(*marks)
+        value = units.normalised(F.col(v), base, technology, above, F.col(f"__least_{i}"))
+        values[v] = units.clamped(value, base, technology)
+        outside = value != values[v]
+        strange += [F.count_if(outside).alias(f"n_{i}"), F.count_distinct(F.when(outside, F.col("gid"))).alias(f"sites_{i}"), F.min(value).alias(f"low_{i}"), F.max(value).alias(f"high_{i}")]
+    marked = facts.join(F.broadcast(facts.agg(*marks.values())))
+    if check and strange:
+        r = marked.agg(*strange).first()
+        for i, v in enumerate(variables):
+            if r[f"n_{i}"]:
+                warnings.warn(f"{r[f'n_{i}']} values of {v} at {r[f'sites_{i}']} sites are outside the range of {technology}: {r[f'low_{i}']} to {r[f'high_{i}']}", ResourceWarning, stacklevel=2)
+    return marked.withColumns(values).drop(*marks)
 
 
 def with_factors(facts: DataFrame, factors: DataFrame, columns: Sequence[str]) -> DataFrame:

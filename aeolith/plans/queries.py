@@ -17,7 +17,7 @@ from aeolith.operators import derive, fits, jointpd, ordered, select, selection,
 from aeolith.plans import site_model
 from aeolith.session import shared_path
 from aeolith.sources import layout, scan, sink
-from aeolith.sources.catalog import SOLAR, WAVE, WIND, Catalog
+from aeolith.sources.catalog import GEOTHERMAL, SOLAR, WAVE, WIND, Catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -396,6 +396,14 @@ def monin_obukhov(spark, d):
     return derive.with_dataset(rows, "windspeed_40m", WIND).select("gid", "ts", _r("windspeed_40m", 5).alias("windspeed_40m"))
 
 
+@query(f"SELECT gid, ts, round(v * {_profile_sql('40.0')} / {_profile_sql('80.0')}, 5) AS windspeed_40m FROM (SELECT gid, ts, windspeed_80m AS v, 0.05 + (gid % 7) / 100.0 AS z0, (event_id % 21 - 10) / 1000.0 AS l FROM facts)")
+def monin_obukhov_meta(spark, d):
+    """Roughness from the table of sites."""
+    rows = facts(spark, d).withColumn("inversemoninobukhovlength_2m", (F.col("event_id") % 21 - 10) / 1000.0)
+    sites = rows.select("gid").distinct().withColumn("z0", 0.05 + (F.col("gid") % 7) / 100.0)
+    return derive.with_dataset(rows, "windspeed_40m", WIND, meta=sites).select("gid", "ts", _r("windspeed_40m", 5).alias("windspeed_40m"))
+
+
 @query("SELECT gid, ts, round(CASE WHEN gid % 2 = 0 THEN (windspeed_100m + windspeed_80m) / 2 ELSE windspeed_100m END, 5) AS hub FROM facts")
 def site_heights(spark, d):
     rows = facts(spark, d)
@@ -745,6 +753,18 @@ def site_model_wave(spark, d):
     return site_model.site_table(site_model.loaded(rows, "wave", WAVE), time_columns=False).select("gid", "ts", _r("wave_height", 5).alias("wave_height"), _r("wave_period", 5).alias("wave_period"))
 
 
+@query("""SELECT gid, ts, round(least(1000, greatest(-200, value + 20 * depth / 100.0)), 5) AS temperature, round(least(1000000, value * depth / 100.0), 5) AS "potential_MW", CAST(depth AS DOUBLE) AS height
+FROM (SELECT gid, ts, value, 500 + gid % 4 * 1000 AS depth FROM facts)""", "site_model_geothermal")
+def site_model_geothermal(spark, d):
+    """Depths that differ by site: between, beyond and at the stored ones."""
+    v = F.col("value")
+    depths = (1500, 2500)
+    rows = facts(spark, d).select("gid", "ts", *[(v + 20 * h / 100).alias(f"temperature_{h}m") for h in depths], *[(v * h / 100).alias(f"potential_MW_{h}m") for h in depths])
+    wanted = rows.select("gid").distinct().withColumn("height", (500 + F.col("gid") % 4 * 1000).cast("double"))
+    table = site_model.loaded(rows, "geothermal", GEOTHERMAL, heights_by_site=wanted)
+    return site_model.with_heights(table, wanted).select("gid", "ts", _r("temperature", 5).alias("temperature"), _r("potential_MW", 5).alias("potential_MW"), "height")
+
+
 @query("SELECT gid, round(avg(least(1360, value * 4)), 5) AS ghi, round(avg(least(1360, value * 4)) / 1000 * 24, 7) AS ghi_daily FROM facts GROUP BY gid", "site_model_means")
 def site_model_means(spark, d):
     v = F.col("value")

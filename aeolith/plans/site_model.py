@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aeolith.errors import ResourceKeyError
 from aeolith.functions import irradiance, solar, units
-from aeolith.operators.derive import in_model_units, with_dataset
+from aeolith.operators.derive import all_at_site_heights, in_model_units, with_dataset
 from aeolith.operators.ordered import roll_to_local
 from aeolith.operators.spatial import with_low_resolution
 from aeolith.sources.catalog import INDEX, PRESETS, Catalog, ResourceSpec
@@ -46,17 +46,30 @@ def resolve(facts: DataFrame, variable: str, spec: ResourceSpec, height: float |
     raise ResourceKeyError(f"{variable} is not among the data")
 
 
-def loaded(facts: DataFrame, technology: str, spec: ResourceSpec | None = None, height: float | None = None, clearsky: bool = False, bifacial: bool = False, wind_direction: bool = True, extra: Sequence[str] = (), meta: DataFrame | None = None) -> DataFrame:
+def loaded(facts: DataFrame, technology: str, spec: ResourceSpec | None = None, height: float | None = None, clearsky: bool = False, bifacial: bool = False, wind_direction: bool = True, extra: Sequence[str] = (), meta: DataFrame | None = None, heights_by_site: DataFrame | None = None, precipitation: bool = False, icing: bool = False, check: bool = False) -> DataFrame:
     """gid, ts and the variables of a technology in its units and ranges.
 
     One of dni, dhi and ghi may be missing where ``meta`` gives coordinates.
+    ``heights_by_site`` (gid, height) takes the place of ``height`` where hub heights
+    or depths differ; sites that it lacks go.  Wind models may have precipitationrate
+    and, for icing, rh.  ``check`` warns of values outside their ranges.
     """
     base = "windpower" if technology in ("wind", "windpower") else technology if technology in VARIABLES else "csp" if technology in units.MILLIBAR else "pv"
     spec = spec or PRESETS[{"windpower": "wind", "wave": "wave", "geothermal": "geothermal"}.get(base, "solar")]
     names = [v for v in VARIABLES[base] if v != "winddirection" or wind_direction] + (["surface_albedo"] if bifacial else []) + list(extra)
     if height is not None and base == "windpower":
         height = Catalog.of(facts, spec).wind_height(height)
-    out, missing = facts, []
+    out, missing, fixed = facts, [], {"precipitationrate": "precipitationrate_0m"} if precipitation else {}
+    if icing:
+        fixed["rh"] = "relativehumidity_2m"
+    for v, stored in fixed.items():
+        if stored not in facts.columns:
+            raise ResourceKeyError(f"{stored} is not among the data")
+        out = out.withColumn(v, F.col(stored))
+    if heights_by_site is not None:
+        known = Catalog.of(facts, spec).heights()
+        out = all_at_site_heights(out, {v: v for v in names if v in known and v not in facts.columns}, heights_by_site, spec)
+    names += fixed
     for v in names:
         try:
             out = resolve(out, v, spec, height, clearsky)
@@ -69,7 +82,7 @@ def loaded(facts: DataFrame, technology: str, spec: ResourceSpec | None = None,
         out = out.join(meta.select("gid", "latitude", "longitude"), "gid")
         zenith = solar.zenith(F.col("ts"), F.col("latitude"), F.col("longitude"))
         out = out.withColumns(irradiance.fill_missing(parts["ghi"], parts["dni"], parts["dhi"], zenith))
-    return in_model_units(out.select("gid", "ts", *(["t_idx"] if "t_idx" in facts.columns else []), *names), names, technology)
+    return in_model_units(out.select("gid", "ts", *(["t_idx"] if "t_idx" in facts.columns else []), *names), names, technology, check)
 
 
 def loaded_files(parts: Sequence[DataFrame], technology: str, check: bool = False, **options) -> DataFrame:
@@ -90,6 +103,25 @@ def means(table: DataFrame) -> DataFrame:
     return out.withColumns({f"{c}_daily": irradiance.daily_irradiation(F.col(c)) for c in names if c in ("dni", "dhi", "ghi")})
 
 
+def with_heights(meta: DataFrame, heights: float | DataFrame) -> DataFrame:
+    """Metadata of the sites of a model with their height: one for all, or by (gid, height)."""
+    if isinstance(heights, DataFrame):
+        return meta.drop("height").join(heights.select("gid", "height"), "gid", "left")
+    return meta.withColumn("height", F.lit(float(heights)))
+
+
+def wind_titles(table: DataFrame, height: float) -> DataFrame:
+    """site_table() of a wind model with the height in the names of its columns."""
+    names = {"Pressure": f"Pressure {height:g}m", "Temperature": f"Temperature {height:g}m", "Speed": f"Wind Speed {height:g}m", "Direction": f"Wind Direction {height:g}m", "rh": "Relative Humidity 2m"}
+    return table.withColumnsRenamed({a: b for a, b in names.items() if a in table.columns})
+
+
+def wind_heads(table: DataFrame, height: float, units_of: dict[str, str]) -> list[list[str]]:
+    """The two rows above the values of a wind file: the unit of each column (of a time's, its name) and the height."""
+    columns = [c for c in table.columns if c not in ("gid", "ts")]
+    return [[units_of.get(c, c.lower()) for c in columns], [f"{height:g}"] * len(columns)]
+
+
 def site_table(table: DataFrame, timezones: DataFrame | None = None, steps_per_hour: int = 1, time_columns: bool = True) -> DataFrame:
     """The table as models read it: values rolled to local time (where ``t_idx`` is there), time in columns."""
     names = [c for c in table.columns if c not in ("gid", "ts", "t_idx")]

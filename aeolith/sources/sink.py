@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import uuid
+import warnings
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -13,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeolith.errors import ResourceRuntimeError
+from aeolith.errors import ResourceRuntimeError, ResourceWarning
 from aeolith.functions.scaling import smallest_integer, to_stored
 
 from .catalog import INDEX
@@ -55,8 +56,16 @@ def check_shape(facts: DataFrame, meta: DataFrame, times: DataFrame) -> None:
         raise ValueError(f"{have} rows for {want} places of sites and times")
 
 
-def write_profiles(facts: DataFrame, path: str, attributes: dict[str, dict] | None = None, meta: DataFrame | None = None, configs: dict | None = None, mode: str = "errorifexists", by_year: bool = False) -> None:
-    """facts, sorted by site and time inside files, with metadata and configs beside them."""
+def write_profiles(
+    facts: DataFrame, path: str, attributes: dict[str, dict] | None = None, meta: DataFrame | None = None, configs: dict | None = None, mode: str = "errorifexists", by_year: bool = False, times: DataFrame | None = None
+) -> None:
+    """facts, sorted by site and time inside files, with metadata and configs beside them.
+
+    With ``meta`` and ``times`` every site must be there at every time, once; nothing is
+    written otherwise.
+    """
+    if meta is not None and times is not None:
+        check_shape(facts, meta, times)
     out = scaled(facts, attributes or {})
     if by_year:
         out = out.withColumn("year", F.year("ts"))
@@ -224,7 +233,10 @@ def differs(stored: DataFrame, values: DataFrame, name: str) -> bool:
 
 
 def subset(facts: DataFrame, sites: DataFrame, datasets: Sequence[str] | None = None) -> DataFrame:
-    """Raw values of some sites; attributes stay in the schema."""
+    """Raw values of some sites; attributes stay in the schema.  Datasets that are not there are passed over with a warning."""
+    absent = [n for n in datasets or () if n not in facts.columns]
+    if absent:
+        warnings.warn(f"no datasets {absent}: they are passed over", ResourceWarning, stacklevel=2)
     keep = [c for c in facts.columns if datasets is None or c in INDEX or c in datasets]
     return facts.join(sites.select("gid"), "gid", "left_semi").select(*keep)
 
@@ -268,8 +280,11 @@ def header(meta: dict, wind: bool = False) -> list[str]:
     return [",".join(k for k, _ in pairs), ",".join(v for _, v in pairs)]
 
 
-def write_site_files(tables: DataFrame, meta: DataFrame, folder: str, wind: bool = False) -> DataFrame:
-    """One csv a site, written by the tasks; returns (gid, file).  A site's rows fit in memory: one site, all times."""
+def write_site_files(tables: DataFrame, meta: DataFrame, folder: str, wind: bool = False, heads: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """One csv a site, written by the tasks; returns (gid, file).  A site's rows fit in memory: one site, all times.
+
+    ``heads`` are rows between the names of the columns and their values.
+    """
     columns = [c for c in tables.columns if c not in ("gid", "ts")]
     joined = tables.join(meta.select("gid", F.struct(*meta.columns).alias("__meta")), "gid")
 
@@ -279,7 +294,7 @@ def write_site_files(tables: DataFrame, meta: DataFrame, folder: str, wind: bool
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         rows = zip(*[table[c].to_pylist() for c in columns], strict=True)
-        text = "\n".join([*header(info, wind), ",".join(columns), *[",".join("" if x is None else str(x) for x in r) for r in rows]]) + "\n"
+        text = "\n".join([*header(info, wind), ",".join(columns), *[",".join(h) for h in heads], *[",".join("" if x is None else str(x) for x in r) for r in rows]]) + "\n"
         with fs.open_output_stream(f"{root}/{gid}.csv", compression=None) as out:
             out.write(text.encode())
         return pa.table({"gid": pa.array([gid], pa.int64()), "file": pa.array([f"{gid}.csv"], pa.string())})

@@ -154,3 +154,28 @@ def test_dates(spark):
     assert one(spark, dates.time_in_name(F.col("p")), p="/a/out_2010-07-04_05:06:07.parquet") == dt.datetime(2010, 7, 4, 5, 6, 7)
     assert one(spark, dates.time_in_name(F.col("p"), "%Y%m%d"), p="/a/x_20100704.parquet") == dt.datetime(2010, 7, 4)
     assert one(spark, dates.time_in_name(F.col("p")), p="/a/none.parquet") is None
+
+
+@pytest.mark.parametrize("sampling", ["linear", "log", "invlog"])
+def test_quantiles_both_ways_like_numpy(spark, sampling):
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 16, 50, 200) if sampling == "invlog" else (1, 2, 3, 16, 50, 200):
+        values = sorted(float(x) for x in rng.integers(0, max(2, n), n))  # with equal knots
+        g = quantiles.grid(n, sampling)
+        xs = [-1.0, *values, *rng.uniform(0, n, 20).tolist(), n + 1.0]
+        qs = [0.0, 1.0, -0.5, 1.5, *g, *rng.uniform(0, 1, 20).tolist()]
+        rows = spark.createDataFrame([(x, q, values) for x, q in zip(xs + xs[: len(qs)], qs, strict=False)], "x double, q double, v array<double>")
+        got = rows.select("x", "q", quantiles.quantile_of(F.col("x"), F.col("v"), sampling).alias("of"), quantiles.value_at(F.col("q"), F.col("v"), sampling).alias("at")).collect()
+        # at a knot that is repeated the last one counts
+        last = [max(i for i, v in enumerate(values) if v <= x) if x >= values[0] else -1 for x in (r.x for r in got)]
+        of = [g[0] if i < 0 else g[-1] if i == n - 1 else g[i] + (r.x - values[i]) * (g[i + 1] - g[i]) / (values[i + 1] - values[i]) for i, r in zip(last, got, strict=True)]
+        assert [r.of for r in got] == pytest.approx(of, abs=1e-9)
+        assert [r["at"] for r in got] == pytest.approx([float(np.interp(r.q, g, values)) for r in got], abs=1e-6)
+    nothing = rows.select(quantiles.value_at(F.lit(None).cast("double"), F.col("v"), sampling).alias("a"), quantiles.quantile_of(F.lit(1.0), F.lit(None).cast("array<double>"), sampling).alias("b")).first()
+    assert nothing.a is None and nothing.b is None
+
+
+def test_draws_follow_their_distribution(spark):
+    values = [0.0, 1.0, 4.0, 9.0]
+    got = np.array([r.x for r in spark.range(4000).select(quantiles.random_from(F.array(*[F.lit(v) for v in values]), 5).alias("x")).collect()])
+    assert abs((got < 1).mean() - 1 / 3) < 0.03 and abs((got < 4).mean() - 2 / 3) < 0.03 and got.min() >= 0 and got.max() <= 9

@@ -6,9 +6,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from aeolith.errors import ResourceValueError, ResourceWarning
+from aeolith.errors import ExtrapolationWarning, ResourceKeyError, ResourceValueError, ResourceWarning
 from aeolith.operators import derive, fits, jointpd, ordered, select, selection, spatial, stats
 from aeolith.plans import site_model
+from aeolith.sources import sink
 from aeolith.sources.catalog import WIND, Catalog
 
 
@@ -452,3 +453,56 @@ def test_site_model_from_files_and_resolutions(spark, facts, meta):
     assert got.count() == facts.count() and got.where("temperature IS NULL OR pressure IS NULL").count() == 0
     at = got.where("gid = 2 AND hour(ts) = 5").first()
     assert at["temperature"] == pytest.approx((24 + 26) / 4) and at["windspeed"] == 25
+
+
+def test_roughness_of_sites_and_warnings_of_exponents(spark, facts, meta):
+    rows = facts.withColumn("inversemoninobukhovlength_2m", F.lit(0.01))
+    rough = meta.withColumn("z0", F.lit(0.1))
+    got = derive.with_dataset(rows, "windspeed_40m", WIND, meta=rough)
+    want = derive.with_dataset(rows.withColumn("roughness_length", F.lit(0.1)), "windspeed_40m", WIND).drop("roughness_length")
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+    own = rows.withColumn("roughness_length", F.lit(0.2))
+    assert derive.with_roughness(own, rough) is own and derive.with_roughness(rows, meta) is rows
+    steep = facts.withColumn("windspeed_100m", F.col("windspeed_80m") * 3)
+    with pytest.warns(ExtrapolationWarning, match="shear exponents"):
+        derive.with_dataset(steep, "windspeed_120m", WIND, per="site", check=True)
+
+
+def test_depths_by_site(spark):
+    """Each site at a depth of its own equals the model of all sites at that depth."""
+    rows = spark.range(4).select(F.col("id").alias("gid"), F.lit(dt.datetime(2012, 1, 1)).cast("timestamp_ntz").alias("ts"), *[(F.col("id") + h / 10).alias(f"{v}_{h}m") for v in ("temperature", "potential_MW") for h in (1500, 2500)])
+    depths = spark.createDataFrame([(0, 1500.0), (1, 2000.0), (2, 3500.0)], "gid long, height double")
+    out = {r.gid: r for r in site_model.loaded(rows, "geothermal", heights_by_site=depths).collect()}
+    assert sorted(out) == [0, 1, 2]
+    for gid, depth in ((0, 1500), (1, 2000)):
+        one = site_model.loaded(rows, "geothermal", height=depth).where(f"gid = {gid}").first()
+        assert out[gid].temperature == pytest.approx(one.temperature) == pytest.approx(gid + depth / 10) and out[gid]["potential_MW"] == pytest.approx(one["potential_MW"])
+    assert out[2].temperature == pytest.approx(352)
+    assert {r.gid: r.height for r in site_model.with_heights(rows.select("gid"), depths).collect()} == {0: 1500, 1: 2000, 2: 3500, 3: None}
+    assert site_model.with_heights(rows.select("gid"), 90).first().height == 90
+
+
+def test_wind_model_with_icing_precipitation_and_heads(facts, meta, tmp_path):
+    rows = facts.withColumns({"temperature_80m": F.lit(20.0), "pressure_80m": F.lit(1.0), "winddirection_80m": F.lit(10.0), "relativehumidity_2m": F.lit(120.0), "precipitationrate_0m": F.lit(0.5)})
+    with pytest.warns(ResourceWarning, match="192 values of rh at 4 sites"):
+        table = site_model.loaded(rows, "windpower", WIND, 80, icing=True, precipitation=True, check=True)
+    assert {(r.rh, r.precipitationrate) for r in table.collect()} == {(99.9, 0.5)}
+    with pytest.raises(ResourceKeyError):
+        site_model.loaded(rows.drop("relativehumidity_2m"), "windpower", WIND, 80, icing=True)
+    shown = site_model.wind_titles(site_model.site_table(table), 80)
+    assert {"Wind Speed 80m", "Pressure 80m", "Relative Humidity 2m"} <= set(shown.columns)
+    heads = site_model.wind_heads(shown, 80, {"Wind Speed 80m": "m/s"})
+    sink.write_site_files(shown, meta, f"file://{tmp_path}", True, heads).collect()
+    lines = open(f"{tmp_path}/0.csv").read().splitlines()
+    names = lines[1].split(",")
+    assert dict(zip(names, lines[2].split(","), strict=True))["Wind Speed 80m"] == "m/s" and set(lines[3].split(",")) == {"80"} and len(lines) == 4 + 48
+
+
+def test_writers_check_shapes_and_tell_of_absent_datasets(facts, meta, tmp_path):
+    times = facts.select("ts").distinct()
+    with pytest.raises(ValueError, match="places"):
+        sink.write_profiles(facts.where("gid < 3"), f"{tmp_path}/short", meta=meta, times=times)
+    sink.write_profiles(facts, f"{tmp_path}/whole", meta=meta, times=times)
+    with pytest.warns(ResourceWarning, match="ghi"):
+        out = sink.subset(facts, meta.where("gid = 1"), ["windspeed_80m", "ghi"])
+    assert out.columns == ["gid", "ts", "windspeed_80m"] and out.count() == 48
