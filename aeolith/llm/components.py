@@ -48,7 +48,12 @@ def parted(wanted: DataFrame, key: str, frame: DataFrame, by: Column) -> tuple[D
 
 def _hot(rows: DataFrame, key: str) -> DataFrame:
     """(__hot) the keys that most rows share; few enough to broadcast at any size."""
-    counted = rows.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("n")).where(F.col("n") > _HOT_ROWS)
+    return hottest(rows.groupBy(key).agg(F.count("*").alias("n")), key)
+
+
+def hottest(counts: DataFrame, key: str) -> DataFrame:
+    """(__hot) the keys of most rows from a table of keys and their numbers ``n``."""
+    counted = counts.select(F.col(key).alias("__hot"), "n").where(F.col("n") > _HOT_ROWS)
     return counted.orderBy(F.desc("n")).limit(_HOT_KEYS).select("__hot")
 
 
@@ -67,9 +72,12 @@ def _copied(table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     return salts.withColumn("__salt", F.explode(F.coalesce("__salt", F.array(F.lit(0).cast("long")))))
 
 
-def lookup(rows: DataFrame, key: str, table: DataFrame, how: str = "inner") -> DataFrame:
-    """rows joined with the row of table, which holds each key once, so that no task gets all rows of a hot key."""
-    hot = _hot(rows, key)
+def lookup(rows: DataFrame, key: str, table: DataFrame, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """rows joined with the row of table, which holds each key once, so that no task gets all rows of a hot key.
+
+    ``hot``, as hottest() gives it, saves counting the rows of each key.
+    """
+    hot = _hot(rows, key) if hot is None else hot
     return _spread(rows, key, hot).join(_copied(table, key, hot), [key, "__salt"], how).drop("__salt")
 
 

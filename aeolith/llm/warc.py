@@ -19,6 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .components import hottest, lookup, parted
 from .storage import new_path, stored
 
 SEGMENT_BYTES = 16 << 10
@@ -142,7 +143,8 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     A null payload is empty.  Of equal payloads of at least ``min_revisit_bytes``
     the one with the smallest id is a response and the others revisit it; repeated
     rows of that id are responses all, and so are rows of a group without any id.
-    Only files in the list count: a lost task's files are left unread.
+    Only files in the list count: a lost task's files are left unread.  Only payloads
+    that may have an equal one are shuffled, those of frequent ones dealt.
     """
     spark = pages.sparkSession
     folder = new_path(spark, "archives")
@@ -150,8 +152,11 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("body")).withColumn("digest", F.sha1("body"))
-    groups = rows.where(F.length("body") >= min_revisit_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(groups, "digest", "left")
+    groups = rows.where(F.length("body") >= min_revisit_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = stored(groups, "equal-payloads")
+    maybe, lone = parted(groups, "digest", rows, F.col("digest"))
+    looked = lookup(maybe, "digest", groups.drop("n"), "left", hottest(groups, "digest"))
+    rows = looked.select("id", "url", "body", "first").unionByName(lone.select("id", "url", "body", F.lit(None).cast("long").alias("first")))
     refers_to = F.when((F.length("body") >= min_revisit_bytes) & ~F.col("first").eqNullSafe(F.col("id")), F.col("first"))
     listed = rows.select("id", "url", "body", refers_to.alias("refers_to")).mapInArrow(_writer(folder, date), "file string, records long")
     return folder, stored(listed, "archive-list")
@@ -185,6 +190,8 @@ def parse_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         if not head[0].startswith("WARC/"):
             raise WarcError("no WARC record")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
+        if not fields.get("content-length", "").isdecimal():
+            raise WarcError("record without a length")
         length = int(fields["content-length"])
         while len(data) < end + 8 + length:
             if not more():
@@ -197,21 +204,33 @@ _RECORD = "origin string, number int, total long, type string, page_id string, r
 _BATCH_BYTES = 8 << 20
 
 
+def _rows_of(stream, name: str) -> Iterator[tuple]:
+    """A row a record; one whose fields are wrong has an error instead of a place among segments, and so has an archive's unreadable rest."""
+    try:
+        for f, block in parse_records(stream):
+            page, segment = f.get("warc-page-id"), [f.get("warc-segment-number"), f.get("warc-segment-total-length")]
+            known = (f.get("warc-type"), None if page == "None" else page, f.get("warc-refers-to-page-id"), f.get("warc-payload-digest"))
+            origin = f.get("warc-segment-origin-id", f.get("warc-record-id"))
+            if origin is None or known[0] is None or not all(x is None or (x.isdecimal() and int(x) < most) for x, most in zip(segment, (1 << 31, 1 << 63), strict=True)):
+                yield (origin, None, None, *known, None, "fields are missing or no numbers")
+            else:
+                yield (origin, *[x and int(x) for x in segment], *known, block, None)
+    except (WarcError, zlib.error) as error:
+        yield (None,) * 8 + (f"{name}: {error}",)
+
+
 def _reader(folder: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        names = ["origin", "number", "total", "type", "page_id", "refers_to", "digest", "block"]
-        kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.string()] * 4, pa.binary()]
+        names = ["origin", "number", "total", "type", "page_id", "refers_to", "digest", "block", "error"]
+        kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.string()] * 4, pa.binary(), pa.string()]
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows, size = [], 0
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                    for f, block in parse_records(stream):
-                        number = int(f["warc-segment-number"]) if "warc-segment-number" in f else None
-                        total = int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None
-                        page = f.get("warc-page-id")
-                        rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), number, total, f["warc-type"], None if page == "None" else page, f.get("warc-refers-to-page-id"), f.get("warc-payload-digest"), block))
-                        size += len(block) + 500
+                    for row in _rows_of(stream, name):
+                        rows.append(row)
+                        size += len(row[7] or b"") + 500
                         if size >= _BATCH_BYTES:
                             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                             rows, size = [], 0
@@ -222,27 +241,31 @@ def _reader(folder: str):
 
 
 def read_records(spark: SparkSession, folder: str, listed: DataFrame) -> DataFrame:
-    """The records of the listed archives, not yet reassembled."""
+    """The records of the listed archives, not yet reassembled.
+
+    A record with wrong fields is a row with an ``error``.  Where an archive is cut short
+    or its records cannot be told apart, one such row stands for all that follows in it.
+    """
     files = listed.select("file").repartition(spark.sparkContext.defaultParallelism * 4, "file")
-    return files.mapInArrow(_reader(folder), _RECORD)
+    return files.mapInArrow(_reader(folder), f"{_RECORD}, error string")
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for kind, page, refers, digest, block in zip(*[batch.column(c).to_pylist() for c in ("type", "page_id", "refers_to", "digest", "block")], strict=True):
+        for kind, page, refers, digest, blocks, wrong in zip(*[batch.column(c).to_pylist() for c in ("type", "page_id", "refers_to", "digest", "blocks", "error")], strict=True):
             declared = (digest or "").removeprefix("sha1:")
             try:
-                if block is None:
-                    raise WarcError("segments are missing")
-                headers, payload = decode_http(block)
+                if wrong or blocks is None:
+                    raise WarcError(wrong or "segments are missing")
+                headers, payload = decode_http(b"".join(blocks))
                 if kind == "revisit":
                     out.append((page, int(headers["content-length"]), declared, kind, refers, None, None))
                 elif base32_sha1(payload) != declared:
                     raise WarcError("payload differs from its digest")
                 else:
                     out.append((page, len(payload), declared, kind, refers, payload, None))
-            except (WarcError, KeyError) as error:
+            except (WarcError, KeyError, ValueError) as error:
                 out.append((page, None, declared, kind, refers, None, str(error)))
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "error"]
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
@@ -257,13 +280,13 @@ def reassembled(records: DataFrame) -> DataFrame:
     payload.  A group with a number missing or doubled, or another length than its
     last segment states, has an error and no payload.
     """
-    columns = ["type", "page_id", "refers_to", "digest", "block"]
-    single = records.where("number IS NULL").select(*columns)
+    columns = ["type", "page_id", "refers_to", "digest"]
+    if "error" not in records.columns:
+        records = records.withColumn("error", F.lit(None).cast("string"))
+    single = records.where("number IS NULL").select(*columns, F.when(F.col("block").isNotNull(), F.array("block")).alias("blocks"), "error")
     parts = records.where("number IS NOT NULL").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "block", "type", "page_id", "refers_to", "digest"))).alias("s"), F.max("total").alias("total"))
-    joined = F.expr("aggregate(s, CAST('' AS binary), (a, x) -> concat(a, x.block))")
-    whole = parts.select("s", "total", joined.alias("joined"), F.expr("transform(s, x -> x.number) = sequence(1, size(s))").alias("ordered"))
-    block = F.when(F.col("ordered") & (F.col("total") == F.length("joined")), F.col("joined"))
+    ordered = F.expr("transform(s, x -> x.number) = sequence(1, size(s)) AND total = aggregate(s, 0L, (a, x) -> a + octet_length(x.block))")
     first = F.col("s")[0]
-    whole = whole.select(first["type"].alias("type"), first["page_id"].alias("page_id"), first["refers_to"].alias("refers_to"), first["digest"].alias("digest"), block.alias("block"))
+    whole = parts.select(*[first[c].alias(c) for c in columns], F.when(ordered, F.col("s.block")).alias("blocks"), F.lit(None).cast("string").alias("error"))
     schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary, error string"
     return single.unionByName(whole).mapInArrow(_decode, schema)

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, and its defined results on odd ones."""
 
 import base64
+import gzip
 import hashlib
 import io
 import itertools
@@ -144,6 +145,40 @@ def test_segments_are_verified(spark):
     assert result([(1, a, False), (1, a, False), (2, b, False), (3, c, True)], len(block)).error
 
 
+def test_long_payloads_of_frequent_bodies(spark):
+    """A payload of 400 segments, and one body that 1,200 pages share: dealt, the smallest id stays the response."""
+    long = "".join(chr(97 + i % 26) for i in range(16 * 1024 * 400))
+    pages = spark.range(1200).selectExpr("id + 10 AS page_id", "'u' AS url", "'same' AS html").unionByName(spark.createDataFrame([(1, "l", long), (2, "l", long)], "page_id long, url string, html string"))
+    folder, listed = warc.write_archives(pages.repartition(3))
+    out = {r.page_id: r for r in warc.reassembled(warc.read_records(spark, folder, listed)).collect()}
+    assert len(out) == 1202 and not any(r.error for r in out.values())
+    assert bytes(out["1"].payload) == long.encode() and out["2"].refers_to == "1" and out["2"].payload_bytes == len(long)
+    assert [k for k, r in out.items() if r.record_type == "response"] in (["1", "10"], ["10", "1"]) and {r.refers_to for k, r in out.items() if int(k) > 10} == {"10"}
+
+
+def test_malformed_records_are_rows_with_errors(spark, tmp_path):
+    def gz(data):
+        return gzip.compress(data)
+
+    good = warc.response_records(1, "u", b"fine", "2024-01-01T00:00:00Z")[0]
+    http = b"HTTP/1.1 200 OK\r\n\r\nx"
+    number = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<a>"), ("WARC-Page-ID", 2), ("WARC-Segment-Number", "two")], http)
+    nameless = warc.record([("WARC-Type", "response")], http)
+    sizeless = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nx\r\n\r\n"
+    files = {"a": [good, number, nameless, good], "b": [good, sizeless, good], "c": [b"junk\r\n\r\n"], "e": []}
+    packed = {k: b"".join(x if x[:2] == b"\x1f\x8b" else gz(x) for x in v) for k, v in files.items()}
+    packed["d"] = packed["a"][: len(packed["a"]) - 60]
+    packed["f"] = b"no gzip at all"
+    for k, v in packed.items():
+        (tmp_path / k).write_bytes(v)
+    listed = spark.createDataFrame([(k,) for k in packed], "file string")
+    out = warc.reassembled(warc.read_records(spark, f"file://{tmp_path}", listed)).collect()
+    whole = [r for r in out if not r.error]
+    assert len(whole) == 4 and {bytes(r.payload) for r in whole} == {b"fine"}  # two of a, one each of b and d
+    assert sorted(r.error.split(":")[0] for r in out if r.error) == ["b", "c", "d", "f", *["fields are missing or no numbers"] * 4]
+    assert [r.page_id for r in out if r.error and r.page_id] == ["2", "2"]
+
+
 def test_chunk_framing():
     assert warc.decode_chunked(b"3;x=y\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
     for bad in (b"", b"zz\r\n", b"5\r\nabc\r\n0\r\n\r\n"):
