@@ -9,6 +9,8 @@ task holds a whole source.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,29 @@ def exponential_key(identity: Column, weight: Column, seed: int) -> Column:
     return -F.log(u) / weight
 
 
+def _given_weight(unlabelled: float) -> Column:
+    weight = F.coalesce("__weight", F.lit(unlabelled)).cast("double")
+    return F.when(weight > 0, weight).otherwise(1.0)
+
+
+def _rates(low: float, high: float) -> list[float]:
+    """Rates from the largest weight down to the least or below it, each half of the one before; of wider spans at most 64, further apart."""
+    steps = max(0, math.ceil(math.log2(high / low)))
+    n = min(64, steps + 1)
+    return [high * 2.0 ** (-steps * i / max(1, n - 1)) for i in range(n)]
+
+
+def key_range(key: Column, rates: list[float], ranges: int) -> Column:
+    """The range of a key: even parts of the mean of the exponential distributions of some rates.
+
+    Keys of a weight are exponential with its rate, whose density is at most twice that of
+    the rate below it, so a range holds at most 2 * len(rates) / ranges of the documents,
+    whatever the shares of the weights.
+    """
+    beyond = sum((F.exp(key * -r) for r in rates), F.lit(0.0)) / len(rates)
+    return F.floor((1 - beyond) * ranges).cast("int")
+
+
 def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """source_size and target of each source (s_null, s_key); one row a source, so one window over all of them.
 
@@ -79,10 +104,14 @@ def mix(docs: DataFrame, keep: list[str], text: str = "text", source: str = "sou
 
     def with_key(frame: DataFrame) -> DataFrame:
         """frame, with ``__weight``, with the exponential key and its range."""
-        weight = F.coalesce("__weight", F.lit(unlabelled)).cast("double")
-        keyed = frame.withColumn("key", exponential_key(F.col("identity"), F.when(weight > 0, weight).otherwise(1.0), seed))
-        return keyed.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int")).drop("__weight")
-
+        keyed = frame.withColumn("key", exponential_key(F.col("identity"), _given_weight(unlabelled), seed))
+        return keyed.withColumn("range", key_range(F.col("key"), rates, ranges)).drop("__weight")
+
+    bounds = [1.0]
+    if given is not None:
+        weight = _given_weight(unlabelled)
+        bounds = [w for w in given.agg(F.min(weight), F.max(weight)).first() if w is not None and math.isfinite(w)] + [unlabelled if unlabelled > 0 else 1.0]
+    rates = _rates(min(bounds), max(bounds))
     units = rows.groupBy(*unit).agg(F.count("*").alias("copies"))
     units = units.withColumn("__weight", F.lit(1.0)) if given is None else units.join(given, "identity", "left")
     units = with_key(units).withColumn("words", F.col("size") * F.col("copies"))

@@ -572,6 +572,28 @@ def test_heavier_documents_come_first(spark):
     assert 740 < first < 860
 
 
+def test_no_range_of_mixing_keys_is_large(spark):
+    """Whatever weights prevail: a range holds no more than twice the number of rates times an even part."""
+    assert mixing._rates(1.0, 1.0) == [1.0] and mixing._rates(0.25, 1.0) == [1.0, 0.5, 0.25] and mixing._rates(0.3, 1.0)[-1] == 0.25
+    wide = mixing._rates(1e-300, 1e300)
+    assert len(wide) == 64 and wide[-1] <= 1e-300
+    n, ranges = 100_000, 256
+    for w in (0.25, 0.4, 1.0):
+        keys = spark.range(n).select(mixing.exponential_key(F.col("id"), F.lit(w), 0).alias("k"))
+        sizes = [r["count"] for r in keys.groupBy(mixing.key_range(F.col("k"), [1.0, 0.5, 0.25], ranges).alias("r")).count().collect()]
+        assert max(sizes) < 2 * 3 / ranges * n
+    order = spark.range(2000).select(mixing.exponential_key(F.col("id"), F.lit(0.25), 0).alias("k")).withColumn("r", mixing.key_range(F.col("k"), [1.0, 0.25], 64)).orderBy("k").collect()
+    assert [x.r for x in order] == sorted(x.r for x in order)
+
+
+def test_mixing_with_odd_weights(spark):
+    """Weights that are null, zero, negative, infinite or no number crash nothing; results do not depend on the ranges."""
+    odd = spark.createDataFrame([(1, None), (2, 0.0), (3, -1.0), (4, float("inf")), (5, float("nan")), (6, 1e-9), (7, 1e9)], "__key long, __weight double")
+    docs = spark.range(1, 40).selectExpr("id AS doc_id", "'s' || id % 3 AS source", "repeat('w ', CAST(id % 7 AS int)) AS text")
+    a, b = (sorted(map(tuple, mixing.mix(docs, ["doc_id"], weights=odd, ranges=k).collect())) for k in (1, 64))
+    assert a == b and len(a) == 39
+
+
 def test_mixing_nothing(spark):
     assert mixing.mix(documents(spark, ODD).limit(0), ["doc_id"]).count() == 0
     assert mixing.mix(documents(spark, ODD), ["doc_id"]).count() == len(ODD)
