@@ -41,9 +41,10 @@ def _given_weight(unlabelled: float) -> Column:
 
 def _rates(low: float, high: float) -> list[float]:
     """Rates from the largest weight down to the least or below it, each half of the one before; of wider spans at most 64, further apart."""
-    steps = max(0, math.ceil(math.log2(high / low)))
+    top = math.log2(high)
+    steps = max(0, math.ceil(top - math.log2(low)))
     n = min(64, steps + 1)
-    return [high * 2.0 ** (-steps * i / max(1, n - 1)) for i in range(n)]
+    return [2.0 ** (top - steps * i / max(1, n - 1)) for i in range(n)]
 
 
 def key_range(key: Column, rates: list[float], ranges: int) -> Column:
