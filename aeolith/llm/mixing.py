@@ -36,7 +36,7 @@ def exponential_key(identity: Column, weight: Column, seed: int) -> Column:
 
 def _given_weight(unlabelled: float) -> Column:
     weight = F.coalesce("__weight", F.lit(unlabelled)).cast("double")
-    return F.when(weight > 0, weight).otherwise(1.0)
+    return F.when((weight > 0) & ~F.isnan(weight), weight).otherwise(1.0)
 
 
 def _rates(low: float, high: float) -> list[float]:
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, keep: list[str], text: str = "text", source: str = "sou
     """The columns ``keep`` with size, source_size, target, epochs (times the document is taken) and taken (words).
 
     ``weights`` has a ``__weight`` for each ``__key``, an identity; others weigh
-    ``unlabelled``, and a weight that is null or not above 0 counts as 1.  Null and
+    ``unlabelled``, and a weight that is no number or not above 0 counts as 1.  Null and
     empty texts have size 0 and take nothing; a null source is a source of its own,
     the last; rows of one identity, source and size are taken together.  Reruns
     agree.  ``weights`` holds each key once.  A source's border, the last document
