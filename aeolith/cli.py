@@ -44,6 +44,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--meta", help="path of the sites")
     p.add_argument("--kind", default="generic", choices=sorted(PRESETS))
     p.add_argument("--years", type=_integers, help="only these years")
+    p.add_argument("--domain", choices=["West_Coast", "Hawaii"], help="RESOURCE is the root of wave data; read the yearly files of this domain")
+    p.add_argument("--buoy", action="store_true", help="the virtual buoys of the domain")
     p.add_argument("--out", required=True, help="where the result goes")
     p.add_argument("--master", help="Spark master")
     sub = p.add_subparsers(dest="command", required=True)
@@ -98,7 +100,10 @@ def parser() -> argparse.ArgumentParser:
 
 def _load(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame | None]:
     spec = PRESETS[a.kind]
-    paths = scan.expand(spark, a.resource) if "*" in a.resource else [a.resource]
+    if a.buoy and not a.domain:
+        raise SystemExit("--buoy needs --domain")
+    resource = scan.wave_domain(a.resource, a.domain, a.buoy) if a.domain else a.resource
+    paths = scan.expand(spark, resource) if "*" in resource else [resource]
     if a.years and all(scan.year_of(PurePosixPath(p).name, required=False) for p in paths):
         facts = scan.by_year(spark, paths, a.years, lambda s, p: scan.read_facts(s, p, spec))
     else:

@@ -31,6 +31,11 @@ def is_object_store(path: str) -> bool:
     return path.split("://", 1)[0] in ("s3", "s3a", "s3n", "gs", "abfss")
 
 
+def wave_domain(root: str, domain: str, buoys: bool = False) -> str:
+    """The pattern of the yearly files of a domain below a root, or of its virtual buoys."""
+    return f"{root.rstrip('/')}/{'virtual_buoy/' if buoys else ''}{domain}/*"
+
+
 def require_writable(path: str, mode: str) -> None:
     """Object stores reached for reading only are never opened for writing."""
     if is_object_store(path) and mode not in ("r", "read"):

@@ -47,3 +47,20 @@ def test_layout_commands(spark, resource, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/r").count() == 64
     run([resource, "--kind", "wind", "--out", f"{tmp_path}/c", "combine", "--others", f"{resource}/facts", "--axis", "sites"], spark)
     assert spark.read.parquet(f"{tmp_path}/c").select("gid").distinct().count() == 8
+
+
+def test_domains_of_waves(spark, facts, meta, tmp_path):
+    """The yearly files of one domain, of its buoys, and of some years."""
+    for folder, years, height in (("West_Coast", (2009, 2010), 2.0), ("virtual_buoy/West_Coast", (2010,), 3.0)):
+        for y in years:
+            facts.selectExpr("gid", f"ts + INTERVAL '{y - 2012}' YEAR AS ts", f"{height}D + {y % 10} AS energy_period").write.parquet(f"{tmp_path}/wave/{folder}/wave_{y}.parquet")
+    meta.write.parquet(f"{tmp_path}/meta")
+
+    def got(*options):
+        run([f"{tmp_path}/wave", "--kind", "wave", "--domain", "West_Coast", "--meta", f"{tmp_path}/meta", "--out", f"{tmp_path}/o.csv", *options, "site", "--gid", "1", "--dataset", "energy_period"], spark)
+        out = rows(f"{tmp_path}/o.csv")
+        return len(out), {float(r["energy_period"]) for r in out}
+
+    assert got() == (96, {11.0, 2.0}) and got("--years", "2010") == (48, {2.0}) and got("--buoy") == (48, {3.0})
+    with pytest.raises(SystemExit):
+        run([f"{tmp_path}/wave", "--buoy", "--out", "x", "site", "--gid", "1", "--dataset", "energy_period"], spark)
