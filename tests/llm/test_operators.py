@@ -9,13 +9,14 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aeolith.llm import components, decontaminate, forest, jaccard, licenses, lines, mixing, resample, sanitise, toxicity, warc
+from aeolith.llm import components, decontaminate, forest, jaccard, licenses, lines, mixing, resample, sanitise, storage, toxicity, warc
 from aeolith.llm import queries as Q
 
 from .test_tokens import words
@@ -334,6 +335,31 @@ def test_dedup_equals_brute_force_components(spark, prose):
     assert got == want and 30 < len(want) < len(rows) - 24
 
 
+def test_dedup_keeps_sketches_out_of_bucket_tables(spark, monkeypatch):
+    """Tables with a row for each line of each bucket hold a few longs a row, far less than the table of lines with keys and sketches."""
+    rng = random.Random(11)
+    heads = [" ".join(f"{rng.choice('bdgklmn')}{rng.choice('aeiou')}{rng.randrange(40)}" for _ in range(30)) for _ in range(20)]
+    rows = [(i, f"{rng.choice(heads)} " + " ".join(f"own{i}x{j}" for j in range(30))) for i in range(400)]
+    sizes = {}
+
+    def stored(df, name):
+        out = storage.stored(df, name)
+        sizes[name] = sum(x.stat().st_size for x in Path(out._stored_path.removeprefix("file:")).rglob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(lines, "stored", stored)
+    settings = {"parquet.enable.dictionary": "false", "spark.sql.parquet.compression.codec": "uncompressed"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert lines.dedup_lines(documents(spark, rows), ["doc_id"]).count() == len(rows)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    print({k: round(v / sizes["lines"], 2) for k, v in sizes.items()})
+    assert sizes["bucket-members"] < sizes["lines"] and sizes["placed"] < 1.5 * sizes["lines"]
+
+
 def test_dedup_recall_of_similar_pairs(spark, capsys):
     """Pairs of lines against edit similarity alone, not the keys: at the threshold exactly, with words replaced, left out and put in."""
     rng = random.Random(8)
