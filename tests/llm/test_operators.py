@@ -335,6 +335,24 @@ def test_dedup_equals_brute_force_components(spark, prose):
     assert got == want and 30 < len(want) < len(rows) - 24
 
 
+def test_lines_are_split_once_and_sketches_count_edits(spark, prose):
+    """A filter on words made the plan split each line twice; a word put in changes one bit of a sketch, a replaced one at most two."""
+    base = prose(40).split()
+    texts = [" ".join(base), " ".join([*base, "put"]), " ".join(["new", *base[1:]]), "--\n" + " ".join(base)]
+    docs = documents(spark, list(enumerate(texts))).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    read = lines._read_lines(docs, 4)
+    splits = read._jdf.queryExecution().optimizedPlan().toString().count(r"[\x00-\x2F\x3A")
+    assert splits == 1
+    rows = {(r.id, r.pos): r for r in read.collect() if r.n_words}
+    assert sorted(rows) == [(0, 0), (1, 0), (2, 0), (3, 1)] and rows[3, 1].k1 == rows[0, 0].k1 != rows[1, 0].k1
+
+    def differ(i, j):
+        return sum(((rows[i][c] ^ rows[j][c]) & (1 << 64) - 1).bit_count() for c in lines._SKETCH)
+
+    assert differ((0, 0), (3, 1)) == 0 and differ((0, 0), (1, 0)) == 1 and differ((0, 0), (2, 0)) in (0, 2)
+    assert differ((1, 0), (2, 0)) in (1, 3) and len(set(rows[0, 0]["keys"]) & set(rows[1, 0]["keys"])) >= lines.KEYS - 1
+
+
 def test_dedup_keeps_sketches_out_of_bucket_tables(spark, monkeypatch):
     """Tables with a row for each line of each bucket hold a few longs a row, far less than the table of lines with keys and sketches."""
     rng = random.Random(11)
