@@ -378,6 +378,28 @@ def test_dedup_keeps_sketches_out_of_bucket_tables(spark, monkeypatch):
     assert sizes["bucket-members"] < sizes["lines"] and sizes["placed"] < 1.5 * sizes["lines"]
 
 
+def test_buckets_of_two_lines_are_compared_once_and_garbage_is_collected(spark, monkeypatch):
+    """Two lines that share a key without being similar stood in the tables of the second comparison; the driver kept what ended jobs left."""
+    rows = [(2 * i + j, f"head{i}a head{i}b head{i}c head{i}d " + " ".join(f"own{i}x{j}y{k}" for k in range(6))) for i in range(20) for j in range(2)]
+    rows += [(100 + j, "wide1 wide2 wide3 wide4 wide5 " + " ".join(f"other{j}y{k}" for k in range(6))) for j in range(3)]
+    counts = {}
+
+    def stored(df, name):
+        out = storage.stored(df, name)
+        counts[name] = out.count()
+        return out
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Scavenge" not in b.getName())
+
+    monkeypatch.setattr(lines, "stored", stored)
+    before = collections()
+    assert all(r.n_dropped == 0 for r in lines.dedup_lines(documents(spark, rows), ["doc_id"]).collect())
+    assert collections() >= before + 2
+    assert counts["hubs"] >= 43 and 0 < counts["placed"] <= 3 * 2
+
+
 def test_dedup_recall_of_similar_pairs(spark, capsys):
     """Pairs of lines against edit similarity alone, not the keys: at the threshold exactly, with words replaced, left out and put in."""
     rng = random.Random(8)
