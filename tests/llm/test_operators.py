@@ -400,6 +400,30 @@ def test_buckets_of_two_lines_are_compared_once_and_garbage_is_collected(spark,
     assert counts["hubs"] >= 43 and 0 < counts["placed"] <= 3 * 2
 
 
+def test_words_are_parted_without_filters_and_lines_alone_meet_no_last_join(spark, monkeypatch):
+    """Sketches asked each word six times in filters; lines in no group stood in the last joins, and sketches were gathered apart from the lines."""
+    rows = [(i, " ".join(f"own{i}x{j}" for j in range(8))) for i in range(60)]
+    rows += [(100 + i, " ".join(["put" * i, *(f"near{j}" for j in range(8))])) for i in range(3)] + [(200 + i, "told twice") for i in range(2)]
+    docs = documents(spark, rows)
+    read = lines._read_lines(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text"), 4)
+    assert "filter(" not in read._jdf.queryExecution().optimizedPlan().toString()
+    for r in read.collect():
+        # an even number of words in a class leaves no bit
+        bits = sum((r[c] & (1 << 64) - 1).bit_count() for c in lines._SKETCH) if r.n_words >= 4 else 0
+        assert r.n_words < 4 or bits <= r.n_words and (r.n_words - bits) % 2 == 0 and bits >= r.n_words - 4
+    counts = {}
+
+    def stored(df, name):
+        out = storage.stored(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lines, "stored", stored)
+    gone = {r.doc_id for r in lines.dedup_lines(docs, ["doc_id"]).collect() if r.n_dropped}
+    assert gone == {101, 102, 201} and "sketches" not in counts
+    assert counts["unique-lines"] == 64 and 3 <= counts["grouped"] <= 10 and counts["owners"] == 4
+
+
 def test_dedup_recall_of_similar_pairs(spark, capsys):
     """Pairs of lines against edit similarity alone, not the keys: at the threshold exactly, with words replaced, left out and put in."""
     rng = random.Random(8)
