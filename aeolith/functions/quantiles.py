@@ -132,14 +132,20 @@ def parametric_cdf(name: str, x: Column, *p: Column | float) -> Column:
     return forms[name]()
 
 
+def _log(x: Column) -> Column:
+    """The logarithm with its limits: Spark's own is null at 0 and below."""
+    return F.when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan)).otherwise(F.log(x))
+
+
 def parametric_ppf(name: str, q: Column, *p: Column | float) -> Column:
+    """Their inverses; at quantiles 0 and 1 the ends of the distribution, which may be infinite."""
     *shape, loc, scale = _parameters(p)
     forms = {
         "uniform": lambda: q,
-        "expon": lambda: -F.log(1 - q),
-        "weibull_min": lambda: F.pow(-F.log(1 - q), 1 / shape[0]),
-        "gumbel_r": lambda: -F.log(-F.log(q)),
-        "logistic": lambda: F.log(q / (1 - q)),
+        "expon": lambda: -_log(1 - q),
+        "weibull_min": lambda: F.pow(-_log(1 - q), 1 / shape[0]),
+        "gumbel_r": lambda: -_log(-_log(q)),
+        "logistic": lambda: F.when(q == 1, F.lit(math.inf)).otherwise(_log(q / (1 - q))),
     }
     if name not in forms:
         raise KeyError(f"unknown distribution: {name}")

@@ -129,6 +129,17 @@ def test_distributions_invert(spark, name, shape):
     assert q == pytest.approx(0.37)
 
 
+@pytest.mark.parametrize(("name", "shape", "ends"), [("weibull_min", [2.0], (1.0, np.inf)), ("expon", [], (1.0, np.inf)), ("uniform", [], (1.0, 4.0)), ("gumbel_r", [], (-np.inf, np.inf)), ("logistic", [], (-np.inf, np.inf))])
+def test_distributions_end(spark, name, shape, ends):
+    assert tuple(one(spark, quantiles.parametric_ppf(name, F.col("q"), *shape, 1.0, 3.0), q=q) for q in (0.0, 1.0)) == ends
+
+
+def test_mapping_beyond_the_last_quantile_is_no_number(spark):
+    """1 - exp(-38.4) is 1 in double precision: both quantiles are infinite, and inf * (x / inf) is no number, not 0."""
+    got = one(spark, quantiles.mapped_wind(F.col("x"), F.col("a"), F.col("b"), F.col("c"), dist="weibull_min"), x=560.0, a=[2.0, 0.0, 63.0], b=[2.0, 0.0, 83.0], c=[2.0, 0.0, 90.0])
+    assert np.isnan(got)
+
+
 def test_units(spark):
     def unit(x, v, t, m, lo):
         return one(spark, units.normalised(F.lit(x), v, t, lambda limit: F.lit(m) > limit, F.lit(lo)))
