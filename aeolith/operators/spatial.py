@@ -193,8 +193,8 @@ def _compared(k: int, metric: str):
 
 
 def distance_threshold(sites: DataFrame) -> Column:
-    """1.05 sqrt(2) / 2 times the largest distance from a site to its nearest other one, as a scalar."""
-    near = nearest(sites.withColumnRenamed("gid", "point"), sites, 2).where("distance > 0")
+    """1.05 sqrt(2) / 2 times the largest distance from a site to its nearest other one (0 if that is at the same place), as a scalar."""
+    near = nearest(sites.withColumnRenamed("gid", "point"), sites, 2).where("gid <> point")
     return near.groupBy("point").agg(F.min("distance").alias("d")).agg((F.max("d") * 1.05 * math.sqrt(2) / 2).alias("threshold")).scalar()
 
 

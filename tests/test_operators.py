@@ -306,6 +306,16 @@ def test_lookup_errors(spark, meta):
         spatial.lookup(point.withColumn("latitude", F.lit(70.0)), meta)
 
 
+@pytest.mark.parametrize("limit", [10**6, 1])
+def test_threshold_of_sites_at_one_place(spark, monkeypatch, limit):
+    """A site at another's place has a nearest one at distance 0; three in one place do not drop out."""
+    monkeypatch.setattr(spatial, "ARRAY_SITES", limit)
+    rows = [(7, 1.0, 1.0), (3, 1.0, 1.0), (5, 1.0, 1.0), (1, 2.0, 2.0), (2, 2.0, 2.0)]
+    threshold = lambda rows: spark.range(1).select(spatial.distance_threshold(spark.createDataFrame(rows, "gid long, latitude double, longitude double"))).first()[0]
+    assert threshold(rows) == 0
+    assert threshold([*rows, (9, 1.0, 4.0)]) == pytest.approx(5**0.5 * 1.05 * 2**0.5 / 2)
+
+
 def test_regrid(spark):
     sites = spark.createDataFrame([(i, float(i // 4), float(i % 4)) for i in range(16)], "gid long, latitude double, longitude double")
     targets = spark.createDataFrame([(0, 1.0, 1.0), (1, 0.5, 0.5)], "target long, latitude double, longitude double")
