@@ -223,13 +223,16 @@ def table_at(facts: DataFrame, meta: DataFrame, dataset: str, places: DataFrame,
     return facts.join(near, "gid").select(F.col("point").alias(point), "gid", "ts", dataset)
 
 
-def regrid_weights(sites: DataFrame, targets: DataFrame, k: int = 4, min_distance: float = 1e-12, target: str = "target") -> DataFrame:
+def regrid_weights(sites: DataFrame, targets: DataFrame, k: int = 4, min_distance: float = 1e-12, target: str = "target", own: bool = False) -> DataFrame:
     """(target, gid, weight): inverse distances of the k nearest sites, summing to 1.
 
-    A site nearer than ``min_distance`` leaves all weight to the nearest.  Store the
-    table to regrid more data with it.
+    A site nearer than ``min_distance`` leaves all weight to the nearest.  With ``own``
+    targets are named as the sites are: of equally near sites that of the target's name
+    comes first.  Store the table to regrid more data with it.
     """
     near = nearest(targets, sites, k, "haversine", target)
+    if own:
+        near = _own_first(near, targets, sites, k, target)
     own = Window.partitionBy("point")
     close = F.min("distance").over(own) < min_distance
     inverse = F.when(close, (F.col("rank") == 1).cast("double")).otherwise(1 / F.greatest(F.col("distance"), F.lit(min_distance)))
@@ -237,6 +240,16 @@ def regrid_weights(sites: DataFrame, targets: DataFrame, k: int = 4, min_distanc
     return weighed.select(F.col("point").alias(target), "gid", (F.col("w") / F.sum("w").over(own)).alias("weight"))
 
 
+def _own_first(near: DataFrame, targets: DataFrame, sites: DataFrame, k: int, target: str) -> DataFrame:
+    """The k nearest by haversine with the site of the point's own name, which equal ones of smaller names may have kept out, before its equals."""
+    t = targets.select(F.col(target).alias("point"), F.col("latitude").alias("plat"), F.col("longitude").alias("plon")).dropna()
+    same = t.join(sites.select("gid", "latitude", "longitude").dropna(), F.col("point") == F.col("gid"))
+    same = same.select("point", "gid", haversine(F.col("plat"), F.col("plon"), F.col("latitude"), F.col("longitude")).alias("distance"))
+    both = near.where("gid <> point").select("point", "gid", "distance").unionByName(same)
+    order = Window.partitionBy("point").orderBy("distance", F.col("gid") != F.col("point"), "gid")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def regrid(facts: DataFrame, weights: DataFrame, dataset: str, target: str = "target") -> DataFrame:
     """Weighted sums of the neighbours' values at each time.
 

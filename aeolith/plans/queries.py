@@ -670,7 +670,7 @@ def regrid_cached(spark, d):
 @query("SELECT gid AS target, gid, 1.0 AS weight FROM meta")
 def regrid_exact_match(spark, d):
     sites = meta(spark, d)
-    return spatial.regrid_weights(sites, sites.withColumnRenamed("gid", "target")).where("weight > 0").select("target", "gid", "weight")
+    return spatial.regrid_weights(sites, sites.withColumnRenamed("gid", "target"), own=True).where("weight > 0").select("target", "gid", "weight")
 
 
 @query(""", lowres AS (SELECT gid AS low_gid, latitude, longitude FROM meta WHERE gid % 10 = 0),

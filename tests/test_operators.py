@@ -316,6 +316,17 @@ def test_threshold_of_sites_at_one_place(spark, monkeypatch, limit):
     assert threshold([*rows, (9, 1.0, 4.0)]) == pytest.approx(5**0.5 * 1.05 * 2**0.5 / 2)
 
 
+@pytest.mark.parametrize("limit", [10**6, 1])
+def test_weights_of_sites_at_one_place(spark, monkeypatch, limit):
+    """Each of six sites at one place is its own nearest, if the targets are the sites."""
+    monkeypatch.setattr(spatial, "ARRAY_SITES", limit)
+    sites = spark.createDataFrame([(i, 40.0 + i // 6, -100.0) for i in range(8)], "gid long, latitude double, longitude double")
+    targets = sites.withColumnRenamed("gid", "target")
+    weights = spatial.regrid_weights(sites, targets, own=True)
+    assert {(r.target, r.gid, r.weight) for r in weights.where("weight > 0").collect()} == {(i, i, 1.0) for i in range(8)} and weights.count() == 32
+    assert {(r.target, r.gid) for r in spatial.regrid_weights(sites, targets).where("weight > 0").collect()} == {(i, i // 6 * 6) for i in range(8)}
+
+
 def test_regrid(spark):
     sites = spark.createDataFrame([(i, float(i // 4), float(i % 4)) for i in range(16)], "gid long, latitude double, longitude double")
     targets = spark.createDataFrame([(0, 1.0, 1.0), (1, 0.5, 0.5)], "target long, latitude double, longitude double")
