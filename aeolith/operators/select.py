@@ -114,9 +114,11 @@ def expand_spatial(values: DataFrame, times: DataFrame) -> DataFrame:
     """Values that only depend on the site, at all times (repeated along the missing axis).
 
     The time axis is the small side: it holds each time once, and is broadcast
-    only while Spark's size estimate allows it.
+    only while Spark's size estimate allows it.  Sites are dealt to all tasks first, as
+    few of them make many rows.
     """
-    return values.join(times.select("ts").distinct())
+    dealt = values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.join(times.select("ts").distinct())
 
 
 def spectrum(facts: DataFrame, dataset: str, frequencies: Sequence[float], directions: Sequence[float]) -> DataFrame:

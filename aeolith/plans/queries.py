@@ -789,6 +789,7 @@ def store_update(spark, d):
     sites, times = meta(spark, d), daily(spark, d).select("ts").distinct()
     path = shared_path(spark, "store")
     sink.create_store(path, sites, times, {"made_by": "store_update"})
+    times = spark.read.parquet(f"{path}/time_index")
     values = select.expand_spatial(sites.select("gid"), times)  # a value for every site and time is what a store holds
     values = values.select("gid", "ts", (F.col("gid") + F.dayofyear("ts") / 10).alias("q")).withColumn("stored", F.col("q"))
     sink.write_dataset(path, values, "q")

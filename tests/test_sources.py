@@ -163,6 +163,36 @@ def test_store_is_created_filled_and_updated(spark, tmp_path, facts, meta):
     assert both.count() == facts.count() and both.columns == ["gid", "ts", "v", "u"]
 
 
+def test_store_checks_rows_as_it_writes_them(spark, tmp_path, facts, meta):
+    """Repeated rows in place of absent ones, and rows without a time, are errors that leave nothing; no pass counts distinct rows."""
+    path = f"file://{tmp_path}/store"
+    sink.create_store(path, meta, facts.select("ts"))
+    values = facts.select("gid", "ts", F.col("windspeed_80m").alias("v"))
+    first = F.col("ts") == facts.agg(F.min("ts")).first()[0]
+    for wrong in (
+        values.where(~(first & (F.col("gid") == 2))).unionByName(values.where(first & (F.col("gid") == 1))),
+        values.withColumn("ts", F.when(~(first & (F.col("gid") == 2)), F.col("ts"))),
+        values.unionByName(values.where(first)),
+    ):
+        with pytest.raises(ValueError, match="192 places"):
+            sink.write_dataset(path, wrong, "v")
+        assert not (tmp_path / "store" / "datasets").exists() or not os.listdir(tmp_path / "store" / "datasets")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sink, "check_shape", None)
+        sink.write_dataset(path, values, "v")
+        whole, seen = sink.differs, []
+        patch.setattr(sink, "differs", lambda old, new, name: seen.append(old.count()) or whole(old, new, name))
+        # the first site has changed; then only another has; then none
+        assert sink.update_dataset(path, values.withColumn("v", F.col("v") + 1), "v") and seen == [48]
+        some = sink.read_store(spark, path, ["v"]).first().gid
+        only = values.withColumn("v", F.when(F.col("gid") != some, F.col("v")).otherwise(F.col("v") + 1))
+        assert sink.update_dataset(path, only, "v") and seen == [48, 48, 192]
+        assert not sink.update_dataset(path, only, "v")
+        with pytest.raises(ValueError):
+            sink.update_dataset(path, only.where("gid < 3"), "v")
+    assert sink.read_store(spark, path, ["v"]).exceptAll(only).count() == 0
+
+
 def test_readers_see_the_state_before_or_after(spark, tmp_path, facts, meta, monkeypatch):
     """Between the writing of a version and its commit the old state is whole; two writers do not lose one's work."""
     path = f"file://{tmp_path}/store"
