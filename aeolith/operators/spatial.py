@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aeolith.errors import ResourceValueError
+from aeolith.session import shared_path
 
 from .ordered import interpolate_in_time
 
@@ -18,6 +19,8 @@ from .ordered import interpolate_in_time
 ARRAY_SITES = 2048
 #: Sites of a range, unless that makes more than so many ranges; each task knows the extents of all.
 RANGE_SITES, RANGES = 1024, 4096
+#: About so many sites, by their hashes, show where to cut ranges of equal population; all sites are searched.
+CUT_SITES = 1_000_000
 #: Points of a range that one task compares with its sites.
 RANGE_POINTS = 20_000
 #: Weights that go to all tasks when regridding (24 bytes each); more are joined.
@@ -36,6 +39,13 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * F.asin(F.least(F.lit(1.0), F.sqrt(s * s + F.cos(a) * F.cos(b) * t * t)))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written into the shared folder and read back, so that it is made once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 METRICS = {"planar": planar, "haversine": haversine}
 
 
@@ -76,7 +86,7 @@ def _by_array(points: DataFrame, sites: DataFrame, k: int, metric: str) -> DataF
             for i in range(0, batch.num_rows if k else 0, 256):
                 d = _distances(metric, plat[i : i + 256], plon[i : i + 256], lat, lon)
                 # of equally near sites the smaller gid, which comes first
-                order.append(d.argmin(1)[:, None] if k == 1 else np.argsort(d, 1, kind="stable")[:, :k])
+                order.append(_nearest_places(d, k))
                 distance.append(np.take_along_axis(d, order[-1], 1))
             order, distance = np.concatenate(order), np.concatenate(distance)
             flat = pa.StructArray.from_arrays([pa.array(distance.ravel()), gid.take(pa.array(order.ravel()))], ["distance", "gid"])
@@ -88,9 +98,10 @@ def _by_array(points: DataFrame, sites: DataFrame, k: int, metric: str) -> DataF
     return rows.mapInArrow(near, f"point {kinds['point']}, near array<struct<distance:double,gid:{kinds['gid']}>>")
 
 
-def _on_curve(box: tuple[float, float, float, float]):
-    """Adds ``code``, the place on a Z-order curve through the box, 26 bits a side: half a metre on the globe, and exact as a double."""
+def _on_curve(box: tuple[float, float, float, float], cuts: list[float] | None = None):
+    """Adds ``code``, the place on a Z-order curve through the box, 26 bits a side: half a metre on the globe, and exact as a double; or ``range``, how many of the sorted cuts are up to it."""
     south, north, west, east = box
+    cut = None if cuts is None else np.asarray(cuts, float)
 
     def spread(x: np.ndarray) -> np.ndarray:
         for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
@@ -103,7 +114,9 @@ def _on_curve(box: tuple[float, float, float, float]):
             for name, low, high in (("latitude", south, north), ("longitude", west, east)):
                 x = batch.column(name).to_numpy(zero_copy_only=False)
                 side.append(spread((np.clip((x - low) / max(high - low, 1e-300), 0, 1) * (2**26 - 1)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(side[0] << 1 | side[1])], [*batch.schema.names, "code"])
+            code = side[0] << 1 | side[1]
+            last, name = (code, "code") if cut is None else (np.searchsorted(cut, code, "right").astype(np.int32), "range")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(last)], [*batch.schema.names, name])
 
     return coded
 
@@ -123,30 +136,58 @@ def _at_least(metric: str, lat: np.ndarray, lon: np.ndarray, box: np.ndarray) ->
     return np.maximum(np.radians(up), beside) * (1 - 1e-12)
 
 
+def _extents(n: int, k: int):
+    """(range, extent, k of its sites at most) of the sites that a task holds, n ranges."""
+    low, high = np.minimum, np.maximum
+
+    def extents(batches):
+        box = [np.full(n, x) for x in (np.inf, -np.inf, np.inf, -np.inf)]
+        some: list[list] = [[] for _ in range(n)]
+        short = np.ones(n, bool)
+        for batch in batches:
+            at, lat, lon = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("range", "latitude", "longitude"))
+            for side, bound, x in zip(box, (low, high, low, high), (lat, lat, lon, lon), strict=True):
+                bound.at(side, at, x)
+            for i in np.flatnonzero(short[at]):
+                r = at[i]
+                if short[r]:
+                    some[r].append({"latitude": lat[i], "longitude": lon[i]})
+                    short[r] = len(some[r]) < k
+        there = np.flatnonzero(box[0] <= box[1])
+        kind = pa.list_(pa.struct([("latitude", pa.float64()), ("longitude", pa.float64())]))
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *(pa.array(side[there]) for side in box), pa.array([some[r] for r in there], kind)], ["range", "e0", "e1", "e2", "e3", "some"])
+
+    return extents
+
+
 def _by_ranges(points: DataFrame, sites: DataFrame, k: int, metric: str) -> DataFrame:
-    # of sites at one place only the k smallest can be among the nearest
-    place = Window.partitionBy("latitude", "longitude").orderBy("gid")
-    sites = sites.withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= k).drop("__n")
     n, *box = sites.agg(F.count("*"), F.min("latitude"), F.max("latitude"), F.min("longitude"), F.max("longitude")).first()
     gid, point = (f.schema[c].dataType.simpleString() for f, c in ((sites, "gid"), (points, "point")))
-    coded = sites.mapInArrow(_on_curve(tuple(box)), f"gid {gid}, latitude double, longitude double, code long")
+    # points at one place have the same sites: one of them asks for all
+    points = points.select("point", F.col("plat").cast("double"), F.col("plon").cast("double"))
+    points = stored(points.withColumn("__asks", F.min("point").over(Window.partitionBy("plat", "plon"))), "points")
     parts = max(1, min(RANGES, -(-n // RANGE_SITES)))
-    cuts = sorted(set(coded.approxQuantile("code", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    ranged = coded.withColumn("range", _range_of(cuts)).drop("code")
-    extent = [F.min("latitude"), F.max("latitude"), F.min("longitude"), F.max("longitude")]
-    known = ranged.groupBy("range").agg(*[e.alias(f"e{i}") for i, e in enumerate(extent)], F.slice(F.collect_list(F.struct("latitude", "longitude")), 1, k).alias("some"))
+    cuts = []
+    if parts > 1:  # where ranges are cut changes no result: of many sites, those of some hashes show how they lie
+        shown = sites.where(F.pmod(F.xxhash64("gid"), F.lit(max(1, n // CUT_SITES))) == 0)
+        coded = shown.mapInArrow(_on_curve(tuple(box)), f"gid {gid}, latitude double, longitude double, code long")
+        cuts = sorted(set(coded.approxQuantile("code", [i / parts for i in range(1, parts)], 0.1 / parts)))
+    ranged = sites.mapInArrow(_on_curve(tuple(box), cuts), f"gid {gid}, latitude double, longitude double, range int")
+    known = ranged.mapInArrow(_extents(len(cuts) + 1, k), "range int, e0 double, e1 double, e2 double, e3 double, some array<struct<latitude:double,longitude:double>>")
+    known = known.groupBy("range").agg(F.min("e0").alias("e0"), F.max("e1").alias("e1"), F.min("e2").alias("e2"), F.max("e3").alias("e3"), F.slice(F.flatten(F.collect_list("some")), 1, k).alias("some"))
     known = known.orderBy("range").collect()  # at most RANGES rows, each with k sites
     numbers, boxes = np.array([r["range"] for r in known]), np.array([[r[f"e{i}"] for r in known] for i in range(4)], float)
     # k sites of a range bound the distance of the k nearest of all
     full = [i for i, r in enumerate(known) if len(r.some) == k]
     some = np.array([[(s.latitude, s.longitude) for s in known[i].some] for i in full], float).reshape(-1, 2)
+    step = max(1, min(256, 2**20 // max(1, len(some))))
 
     def candidates(batches):
         for batch in batches:
             plat, plon = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             rows, ranges = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i in range(0, batch.num_rows, 256):
-                lat, lon = plat[i : i + 256], plon[i : i + 256]
+            for i in range(0, batch.num_rows, step):
+                lat, lon = plat[i : i + step], plon[i : i + step]
                 reach = np.full(len(lat), np.inf)
                 if full:
                     reach = _distances(metric, lat, lon, some[:, 0], some[:, 1]).reshape(len(lat), -1, k).max(2).min(1)
@@ -156,24 +197,26 @@ def _by_ranges(points: DataFrame, sites: DataFrame, k: int, metric: str) -> Data
             rows = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns), pa.array(np.concatenate(ranges).astype(np.int32))], ["point", "plat", "plon", "range"])
 
-    asked = points.select("point", F.col("plat").cast("double"), F.col("plon").cast("double")).mapInArrow(candidates, f"point {point}, plat double, plon double, range int")
+    asking = points.where("point = __asks").select("point", "plat", "plon").repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = stored(asking.mapInArrow(candidates, f"point {point}, plat double, plon double, range int"), "asked")
     shares = F.broadcast(asked.groupBy("range").agg(F.ceil(F.count("*") / RANGE_POINTS).cast("int").alias("shares")))  # at most RANGES rows
     asked = asked.join(shares, "range").withColumn("share", F.pmod(F.xxhash64("point"), F.col("shares")).cast("int")).drop("shares")
-    dealt = ranged.join(shares, "range").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    # only sites of ranges that are asked for go on; of those at one place only the k smallest can be among the nearest
+    place = Window.partitionBy("latitude", "longitude").orderBy("gid")
+    dealt = ranged.join(shares, "range").withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= k).drop("__n")
+    dealt = dealt.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
     near = asked.groupBy("range", "share").cogroup(dealt.groupBy("range", "share")).applyInArrow(_compared(k, metric), f"point {point}, distance double, gid {gid}")
-    return near.groupBy("point").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "gid"))), 1, k).alias("near"))
-
-
-def _range_of(cuts: list[float]) -> Column:
-    """The number of cuts up to the code, by halving."""
+    near = near.groupBy("point").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "gid"))), 1, k).alias("near"))
+    return points.select("point", "__asks").join(near.withColumnRenamed("point", "__asks"), "__asks").select("point", "near")
 
-    def halved(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("code") < F.lit(cuts[middle]), halved(low, middle)).otherwise(halved(middle + 1, high))
 
-    return halved(0, len(cuts))
+def _nearest_places(d: np.ndarray, m: int) -> np.ndarray:
+    """For each row the places of its m smallest, of equal ones the first: a stable sort without the rest."""
+    if m == 1:
+        return d.argmin(1)[:, None]
+    rows, columns = np.nonzero(d <= np.partition(d, m - 1, 1)[:, m - 1 : m])
+    columns = columns[np.lexsort((columns, d[rows, columns], rows))]
+    return columns[np.searchsorted(rows, np.arange(len(d)))[:, None] + np.arange(m)]
 
 
 def _compared(k: int, metric: str):
@@ -184,7 +227,7 @@ def _compared(k: int, metric: str):
         order, distance = [np.zeros((0, m), np.int64)], [np.zeros((0, m))]
         for i in range(0, len(plat) if m else 0, 256):
             d = _distances(metric, plat[i : i + 256], plon[i : i + 256], lat, lon)
-            order.append(np.argsort(d, 1, kind="stable")[:, :m] if m > 1 else d.argmin(1)[:, None])
+            order.append(_nearest_places(d, m))
             distance.append(np.take_along_axis(d, order[-1], 1))
         of = pa.array(np.repeat(np.arange(len(plat)), m))
         return pa.table({"point": asked["point"].take(of), "distance": np.concatenate(distance).ravel(), "gid": sites["gid"].take(pa.array(np.concatenate(order).ravel()))})

@@ -281,6 +281,28 @@ def test_ranges_have_bounded_populations(spark, monkeypatch):
     assert len(sizes) >= 3200 and max(sizes) <= 100
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_points_at_one_place_ask_once(spark, monkeypatch, k):
+    """Many points at few places; every place is compared with its sites once, and sites of ranges that none asks for with none."""
+    for name, value in {"ARRAY_SITES": 1, "RANGE_SITES": 8, "CUT_SITES": 100}.items():
+        monkeypatch.setattr(spatial, name, value)
+    rng = np.random.default_rng(3)
+    s = np.concatenate([rng.normal((10, 20), 1e-3, (400, 2)), np.repeat(rng.uniform((-80, -180), (80, 180), (20, 2)), 5, 0)])
+    p = np.tile(rng.uniform((-80, -180), (80, 180), (7, 2)), (30, 1))
+    sites = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(s)], "gid long, latitude double, longitude double")
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "point long, latitude double, longitude double")
+    compared, met = spatial._compared, spark.sparkContext.accumulator(0)
+
+    def counting(k, metric):
+        inner = compared(k, metric)
+        return lambda asked, sites: met.add(len(set(asked["point"].to_pylist()) - set(range(7)))) or inner(asked, sites)
+
+    monkeypatch.setattr(spatial, "_compared", counting)
+    got = {(r.point, r["rank"]): r.gid for r in spatial.nearest(points, sites, k).collect()}
+    want = np.argsort(np.hypot(*(p[:, None] - s[None]).transpose(2, 0, 1)), 1, kind="stable")[:, :k]
+    assert got == {(i, r + 1): want[i, r] for i in range(len(p)) for r in range(k)} and met.value == 0
+
+
 def test_series_at_places(spark, facts, meta):
     rows = spatial.series_at(facts, meta, "windspeed_80m", 41.1, -104.2).collect()
     assert len(rows) == 48 and all(r.windspeed_80m == 10 + r.ts.hour for r in rows)
