@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +27,10 @@ RANGE_SITES, RANGES = 1024, 4096
 CUT_SITES = 1_000_000
 #: Points of a range that one task compares with its sites.
 RANGE_POINTS = 20_000
-#: Weights that go to all tasks when regridding (24 bytes each); more are joined.
+#: Weights that go to all tasks when regridding (24 bytes each); more are stored.
 PACKED_WEIGHTS = 2_000_000
+#: Stored weights that a task holds at once, and facts that meet them.
+BLOCK_WEIGHTS, BLOCK_FACTS = 500_000, 500_000
 
 
 def planar(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -296,22 +302,83 @@ def _own_first(near: DataFrame, targets: DataFrame, sites: DataFrame, k: int, ta
 def regrid(facts: DataFrame, weights: DataFrame, dataset: str, target: str = "target") -> DataFrame:
     """Weighted sums of the neighbours' values at each time.
 
-    Up to ``PACKED_WEIGHTS`` weights (counted first) go to all tasks as a sparse matrix, and
-    facts are shuffled once, by time, each time's values being one vector; more are
-    joined, which sends a fact to each of its targets.  A target has a row where any
-    neighbour has one; null values do not count, and only they give null.
+    Facts are shuffled once, by time, and each time's values are one vector.  Up to
+    ``PACKED_WEIGHTS`` weights (counted first) go to all tasks as a sparse matrix.  Of more,
+    targets with the same weights are one, blocks of the matrix are stored, each task reads
+    one after the other for many times at once, and facts of sites without weights are left
+    out.  A target has a row where any neighbour has one; null values do not count, and
+    only they give null.
     """
     table = weights.select(F.col(target).alias("target"), "gid", F.col("weight").cast("double").alias("weight")).where("gid IS NOT NULL AND target IS NOT NULL")
-    if table.limit(PACKED_WEIGHTS + 1).count() > PACKED_WEIGHTS:
-        return facts.join(weights, "gid").groupBy(target, "ts").agg(F.sum(F.col("weight") * F.col(dataset)).alias(dataset))
-    packed = table.orderBy("gid").toArrow()  # at most PACKED_WEIGHTS rows
-    kind = facts.schema["ts"].dataType.simpleString()
+    schema = f"target {table.schema['target'].dataType.simpleString()}, ts {facts.schema['ts'].dataType.simpleString()}, value double"
     rows = facts.select("gid", "ts", F.col(dataset).cast("double").alias("value"))
-    shared = rows.sparkSession.sparkContext.broadcast(_Weights(packed))
-    out = rows.groupBy("ts").applyInArrow(lambda table: shared.value.at_time(table), f"target {table.schema['target'].dataType.simpleString()}, ts {kind}, value double")
+    if table.limit(PACKED_WEIGHTS + 1).count() > PACKED_WEIGHTS:
+        out = _regrid_in_blocks(rows, table, schema)
+    else:
+        packed = table.orderBy("gid").toArrow()  # at most PACKED_WEIGHTS rows
+        shared = rows.sparkSession.sparkContext.broadcast(_Weights(packed))
+        out = rows.groupBy("ts").applyInArrow(lambda table: shared.value.at_time(table), schema)
     return out.select(F.col("target").alias(target), "ts", F.col("value").alias(dataset))
 
 
+def _regrid_in_blocks(rows: DataFrame, table: DataFrame, schema: str) -> DataFrame:
+    few = lambda df: F.broadcast(df) if df.limit(PACKED_WEIGHTS + 1).count() <= PACKED_WEIGHTS else df
+    lists = stored(table.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("gid", "weight"))).alias("near")), "targets")
+    kinds = stored(lists.groupBy("near").agg(F.min("target").alias("kind")), "kinds")
+    members = stored(lists.join(kinds, "near").select("kind", F.col("target").alias("__target")), "members")
+    cells = kinds.select(F.col("kind").alias("target"), F.inline("near"))
+    blocks = max(1, -(-cells.count() // BLOCK_WEIGHTS))
+    path = shared_path(rows.sparkSession, "weights")
+    dealt = cells.withColumn("block", F.pmod(F.xxhash64("target"), F.lit(blocks)).cast("int"))
+    dealt.repartition(min(blocks, 1000), "block").sortWithinPartitions("block", "gid").write.partitionBy("block").parquet(path)
+    known = rows.join(few(cells.select("gid").distinct()), "gid", "left_semi")
+    values = known.repartition("ts").sortWithinPartitions("ts").mapInArrow(_in_blocks(path, blocks), schema)
+    return values.join(few(members), values["target"] == members["kind"]).select(F.col("__target").alias("target"), "ts", "value")
+
+
+def _changes(values: pa.Array) -> np.ndarray:
+    """Places of an array whose value is another than the one before."""
+    now, before = values[1:], values[:-1]
+    same = pc.fill_null(pc.equal(now, before), pa.scalar(False))
+    return np.flatnonzero(~pc.or_(same, pc.and_(pc.is_null(now), pc.is_null(before))).to_numpy(zero_copy_only=False)) + 1
+
+
+def _whole_times(batches):
+    """Tables of about BLOCK_FACTS facts sorted by time; none ends inside a time, so one may have more."""
+    waiting, n = [], 0
+    for batch in batches:
+        if waiting and n >= BLOCK_FACTS:
+            ends = _changes(pa.concat_arrays([waiting[-1].column("ts")[-1:], batch.column("ts")]))
+            if len(ends):
+                yield pa.Table.from_batches([*waiting, batch.slice(0, ends[0] - 1)])
+                waiting, n, batch = [], 0, batch.slice(ends[0] - 1)
+        if batch.num_rows:
+            waiting.append(batch)
+            n += batch.num_rows
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _in_blocks(path: str, blocks: int):
+    def block(i: int):
+        fs, root = pafs.FileSystem.from_uri(f"{path}/block={i}")
+        if fs.get_file_info(root).type == pafs.FileType.NotFound:
+            return None
+        return _Weights(pq.read_table(root, filesystem=fs, partitioning=None).sort_by("gid"))
+
+    def in_blocks(batches):
+        held = block(0) if blocks == 1 else None
+        for table in _whole_times(batches):
+            table = table.combine_chunks()
+            starts = [0, *_changes(table["ts"].combine_chunks() if table["ts"].num_chunks != 1 else table["ts"].chunk(0)), table.num_rows]
+            for i in range(blocks):
+                weights = held or block(i)
+                for a, b in pairwise(starts) if weights else ():
+                    yield from weights.at_time(table.slice(a, b - a)).combine_chunks().to_batches()
+
+    return in_blocks
+
+
 class _Weights:
     """Weights by site: those of site i stand from first[i] to first[i + 1]."""
 

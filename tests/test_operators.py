@@ -442,6 +442,26 @@ def test_more_site_heights_than_a_list_takes(spark):
         assert [out[i] for i in some] == pytest.approx(list(want))
 
 
+@pytest.mark.parametrize(("weights", "facts"), [(10**6, 10**6), (7, 5), (1, 1)])
+def test_regrid_in_blocks(spark, monkeypatch, weights, facts):
+    """More weights than go to all tasks, in one or many blocks: the rows of the packed way, and no join of facts with each target's weights."""
+    sites = spark.createDataFrame([(i, float(i // 4), float(i % 4)) for i in range(16)], "gid long, latitude double, longitude double")
+    targets = spark.createDataFrame([(i, i % 9 * 0.37, i % 9 * 0.29) for i in range(40)], "target long, latitude double, longitude double")
+    rows = [(g, None if d == 3 else dt.date(2020, 1, d), None if g % 5 == d else float(g * d)) for g in range(20) for d in (1, 2, 3, 4) if g % 7 != d]
+    table = spark.createDataFrame([*rows, rows[1]], "gid long, ts date, v double")
+    table_of_weights = spatial.regrid_weights(sites, targets).cache()
+    packed = {(r.target, r.ts): r.v for r in spatial.regrid(table, table_of_weights, "v").collect()}
+    for name, value in {"PACKED_WEIGHTS": 100, "BLOCK_WEIGHTS": weights, "BLOCK_FACTS": facts}.items():
+        monkeypatch.setattr(spatial, name, value)
+    out = spatial.regrid(table, table_of_weights, "v")
+    found = out.collect()
+    blocks = {(r.target, r.ts): r.v for r in found}
+    assert len(found) == len(packed) == 160 and packed.keys() == blocks.keys()
+    assert all(packed[k] == (None if v is None else pytest.approx(v)) for k, v in blocks.items())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashAggregate" not in plan.split("MapInArrow")[0]
+
+
 def test_nearest_paths_agree_across_the_antimeridian(spark, monkeypatch):
     sites = spark.createDataFrame([(i, -60.0 + 7.3 * (i % 17), -180.0 + 360.0 * ((i * 37) % 64) / 64) for i in range(64)] + [(64, 10.0, 179.95), (65, 10.0, -179.9)], "gid long, latitude double, longitude double")
     points = spark.createDataFrame([(i, -50.0 + 5.1 * (i % 20), -179.99 + 11.7 * i) for i in range(30)] + [(30, 10.0, 179.99), (31, 10.0, -179.99), (32, None, 0.0)], "point long, latitude double, longitude double")
